@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,3 +85,15 @@ def _arrow(kind: str) -> pa.DataType:
     if kind.startswith("array<"):
         return pa.list_(_arrow(kind[6:-1]))
     return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[kind]
+
+
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """For work that makes many small objects and no reference cycles: the collector waits."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, decontam, exact, simhash, tokencounts
+from tidemill.llm import bpe, decontam, exact, langid, quality, simhash, tokencounts
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op3_quality_classifier": quality.query,
     "op5_bpe_round_trip": bpe.query,
+    "op6_language_id": langid.query,
     "op7_benchmark_decontamination": decontam.query,
     "op9_exact_dedup": exact.query,
     "op10_token_counts": tokencounts.query,

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.bpe import encoder
+from tidemill.llm.bpe import encoded_rows, encoder
 from tidemill.llm.common import map_rows, settle, table
 
 RUN = 256
@@ -26,8 +26,8 @@ def histogram(docs: DataFrame, text_col: str = "text", path: str | None = None)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         enc, counts = encoder(path), {}
-        for (text,) in rows:
-            n = len(enc.packed(text or "")) // 4
+        for _, packed in encoded_rows(enc, ((None, text) for (text,) in rows)):
+            n = len(packed) // 4
             counts[n] = counts.get(n, 0) + 1
         yield from counts.items()
 
