@@ -31,6 +31,8 @@ FIT_ROWS = 8000
 ROWS, DIM, WINDOW, NONZERO = 1 << 15, 32, 2, 4
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 CACHE_ROWS = 300_000
+#: Tokens whose contexts are added up at a time.
+TOGETHER = 200_000
 
 _RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -109,9 +111,26 @@ def pooled(words: np.ndarray, shapes: np.ndarray, vectors: np.ndarray) -> np.nda
 
 def word_vectors(streams: list[np.ndarray]) -> np.ndarray:
     """Context sums of the streams over WINDOW neighbours on each side, scaled to unit length."""
-    index = index_vectors()
-    rows = np.concatenate([np.r_[s, np.full(WINDOW, -1)] for s in streams]) if streams else np.empty(0, np.int64)
-    out = np.zeros((ROWS, DIM), np.float64)
+    index, out = index_vectors(), np.zeros((ROWS, DIM), np.float64)
+    part: list[np.ndarray] = []
+    size = 0
+    for s in streams:
+        part += [s.astype(np.int64), np.full(WINDOW, -1)]
+        size += len(s)
+        if size >= TOGETHER:
+            _add_contexts(out, np.concatenate(part), index)
+            part, size = [], 0
+    if part:
+        _add_contexts(out, np.concatenate(part), index)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    mean = out.sum(0, keepdims=True) / max(1e-9, norm.sum())
+    out = np.where(norm > 0, out / np.maximum(norm, 1e-9) - mean, 0)
+    # A word keeps its own index vector beside its context; unseen words have that alone.
+    return (out + 0.5 * index / np.sqrt(NONZERO)).astype(np.float32)
+
+
+def _add_contexts(out: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None:
+    """Adds to each row the index vectors of its neighbours; a row below 0 parts documents."""
     for gap in range(1, WINDOW + 1):
         a, b = rows[:-gap], rows[gap:]
         ok = (a >= 0) & (b >= 0)
@@ -121,11 +140,6 @@ def word_vectors(streams: list[np.ndarray]) -> np.ndarray:
                 order = np.argsort(x, kind="stable")
                 at = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
                 out[x[order][at]] += np.add.reduceat(index[y[order]], at, axis=0)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    mean = out.sum(0, keepdims=True) / max(1e-9, norm.sum())
-    out = np.where(norm > 0, out / np.maximum(norm, 1e-9) - mean, 0)
-    # A word keeps its own index vector beside its context; unseen words have that alone.
-    return (out + 0.5 * index / np.sqrt(NONZERO)).astype(np.float32)
 
 
 class Model:
@@ -179,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     tokens, streams, pairs, y = Tokens(), [], [], []
     # fit_rows ids bound what comes to the driver; repeated rows of an id count once.
     for _, text, mark in rows.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
-        w, s = tokens.rows(text)
+        w, s = (x.astype(np.uint16) for x in tokens.rows(text))
         streams += [w, s]
         pairs.append((w, s))
         y.append(int(mark))
