@@ -477,3 +477,31 @@ def _(spark, d):
     b = history.hash_pairs(docs.select("doc_id", F.struct("n_chars", "source").alias("h")), "doc_id", "h").withColumn("b", F.lit(1))
     j = a.join(b, ["low", "high"], "full")
     return j.agg(F.count(F.when(F.col("a").isNotNull(), F.col("b"))).alias("in_both"), F.count_if(F.col("b").isNull()).alias("only_hash"), F.count_if(F.col("a").isNull()).alias("only_other"))
+
+
+@query("t1_strip_html")
+def _(spark, d):
+    from tidemill.functions.chunks import strip_html
+
+    return t(spark, d, "pages").select("page_id", strip_html("html").alias("text"))
+
+
+@query("t9_chunk_sections")
+def _(spark, d):
+    from tidemill.functions.chunks import chunk_sections
+
+    return t(spark, d, "documents").select("doc_id", F.posexplode(chunk_sections(F.col("source"), F.col("text"))).alias("chunk_index", "content"))
+
+
+@query("g1_rate_limit")
+def _(spark, d):
+    from tidemill.streaming.events import rate_limited
+
+    return rate_limited(t(spark, d, "events"), "user_id", "ts", "event_id", 2, 86400)
+
+
+@query("g5_windowed_counts", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) AS total FROM events GROUP BY ALL""")
+def _(spark, d):
+    from tidemill.streaming.events import counts
+
+    return counts(t(spark, d, "events"), "ts", ["event_type"], "value", (10, 50), "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
