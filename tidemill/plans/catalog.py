@@ -66,11 +66,11 @@ def _(spark, d):
 
 
 @query("a4_spend", f"""WITH {CALLS} SELECT CAST(created_at AS DATE) AS day, feature, backend, count(*) AS calls,
-  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 2) AS cost_usd, round(avg(latency_ms), 3) AS avg_ms,
+  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 6) AS cost_usd, round(avg(latency_ms), 6) AS avg_ms,
   count(*) FILTER (NOT ok) AS failures FROM calls GROUP BY ALL""")
 def _(spark, d):
     c = calls(spark, d)
-    return trends.spend(c).drop("cost_usd", "avg_ms").join(c.groupBy(F.to_date("created_at").alias("day"), "feature", "backend").agg(F.round(F.sum("cost_usd"), 2).alias("cost_usd"), F.round(F.avg("latency_ms"), 3).alias("avg_ms")), ["day", "feature", "backend"])
+    return trends.spend(c).drop("cost_usd", "avg_ms").join(c.groupBy(F.to_date("created_at").alias("day"), "feature", "backend").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.round(F.avg("latency_ms"), 6).alias("avg_ms")), ["day", "feature", "backend"])
 
 
 @query("a5_corpus_facts", "SELECT count(*) AS postings, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents")
