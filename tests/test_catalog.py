@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import connect, same
-from tidemill.plans import catalog
+from tidemill.plans import catalog, postings, registry  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -9,6 +9,6 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, con, sf_dir, name):
-    same(spark, con, catalog.QUERIES[name], catalog.ORACLES[name], sf_dir)
+    same(spark, con, registry.QUERIES[name], registry.ORACLES[name], sf_dir)

@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import money, text
 from tidemill.operators import history, labels, measures, search, trends
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidemill.plans.registry import query, r6, t
 
 TAXONOMY = {"the": ["the"], "and": ["and"], "of": ["of", "off"], "der": ["der", "die", "das"], "que": ["que"], "mit license": ["mit license"], "token": ["token"]}
 
 
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def r6(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six places, for comparison across engines."""
-    return df.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
-
-
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """The event table seen as a log of model calls."""
     k = F.get_json_object("props", "$.k").cast("long")
