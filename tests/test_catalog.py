@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import connect, same
-from tidemill.plans import catalog, postings, registry, topics  # noqa: F401
+from tidemill.plans import catalog, postings, registry, reviews, topics  # noqa: F401
 
 
 @pytest.fixture(scope="module")

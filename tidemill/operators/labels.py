@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,86 @@ def balance(df: DataFrame, key: str, empty: Column, share: float, seed: int) ->
     filled = df.where(~empty)
     keep = int(filled.count() * share / (1 - share))
     return filled.unionByName(df.where(empty).orderBy(hash_order(seed, F.col(key)), key).limit(keep))
+
+
+def decided(df: DataFrame, decisions: DataFrame, key: str, teacher: str, rules: str) -> DataFrame:
+    """df with `label`: the decision's terms tidied and sorted, or what both labellers have where there is none.
+
+    decisions(key, terms); a decision of no terms counts as one.
+    """
+    d = decisions.select(key, F.array_sort(F.array_distinct(F.filter(F.transform("terms", lambda x: F.trim(F.lower(x))), lambda x: x != ""))).alias("_t"))
+    return df.join(d, key, "left").withColumn("label", F.coalesce("_t", F.array_sort(F.array_intersect(teacher, rules)))).drop("_t")
+
+
+def pool(df: DataFrame, key: str, teacher: str, rules: str, seed: int) -> DataFrame:
+    """(key, term, origin, position): each term that either labeller gives, in hash order within its key."""
+    low = lambda c: F.transform(c, lambda x: F.lower(x))
+    rows = df.select(F.col(key), low(rules).alias("_r"), low(teacher).alias("_t")).withColumn("term", F.explode(F.array_union("_r", "_t")))
+    by_rules, by_teacher = F.array_contains("_r", F.col("term")), F.array_contains("_t", F.col("term"))
+    origin = F.when(by_rules & by_teacher, "both").when(by_rules, "rules").otherwise("teacher")
+    w = Window.partitionBy(key).orderBy(hash_order(seed, F.concat(F.col(key).cast("string"), F.lit("|"), F.col("term"))), "term")
+    return rows.select(key, "term", origin.alias("origin"), F.row_number().over(w).alias("position"))
+
+
+def provenance(verdicts: DataFrame, origins: DataFrame, key: str) -> DataFrame:
+    """Counts by origin and verdict of verdicts(key, term, verdict) against origins(key, term, origin).
+
+    A term nobody offered is human_only where it is kept or added, and the teacher's where it is dropped.
+    """
+    unknown = F.when(F.col("verdict") == "dropped", "teacher").otherwise("human_only")
+    j = verdicts.join(origins.select(key, "term", "origin"), [key, "term"], "left")
+    return j.groupBy(F.coalesce("origin", unknown).alias("origin"), "verdict").agg(F.count("*").alias("n"))
+
+
+def pass_pairs(first: DataFrame, second: DataFrame, key: str, offered: DataFrame) -> DataFrame:
+    """(key, term, a, b): whether each pass kept each offered term, 0 or 1; first and second are (key, term)."""
+    mark = lambda df, name: df.select(key, "term").distinct().withColumn(name, F.lit(1))
+    j = offered.select(key, "term").join(mark(first, "a"), [key, "term"], "left").join(mark(second, "b"), [key, "term"], "left")
+    return j.fillna(0, ["a", "b"])
+
+
+def merge_grades(stored: DataFrame, new: DataFrame, keys: list[str], replace: bool = False) -> DataFrame:
+    """(keys, grade) with new grades over stored ones, zeros kept.
+
+    With replace, the stored grades of queries that get any new one go; keys start with the query.
+    """
+    fresh = new.select(*keys, F.col("grade").alias("_g"))
+    if replace:
+        touched = new.select(keys[0]).distinct()
+        stored = stored.join(touched, keys[0], "left_anti")
+    j = stored.select(*keys, "grade").join(fresh, keys, "full")
+    return j.select(*keys, F.coalesce("_g", "grade").alias("grade"))
+
+
+def to_label(candidates: DataFrame, done: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Candidates without a label yet, by natural key, in its order; limit is the size of a batch."""
+    rest = candidates.join(done.select(*keys), keys, "left_anti").orderBy(*keys)
+    return rest.limit(limit) if limit else rest
+
+
+def fingerprint(df: DataFrame, key: str, length: int = 12) -> DataFrame:
+    """The first hex digits of sha256 of the keys in order, joined by bars.
+
+    Brings the keys into one row, so it is for evaluation splits; use digest for whole corpora.
+    """
+    return df.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "|"), 256), 1, length).alias("fingerprint"), F.count("*").alias("rows"))
+
+
+def digest(df: DataFrame, key: str) -> DataFrame:
+    """An order-free digest that combines map-side: rows, and the sum of 60-bit md5 prefixes."""
+    part = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
+
+
+def hold_out(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """A split whose test part is that share of the rows, one at least."""
+    return split(df, key, max(1, int(df.count() * share)), seed)
+
+
+def chat_rows(df: DataFrame, prompt: str, title: Column, description: Column, label: str) -> DataFrame:
+    """One JSON column: a system, a user and an assistant turn that answers with the sorted label."""
+    from tidemill.functions import text
+
+    answer = F.to_json(F.struct(F.array_sort(label).alias("skills")))
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return df.select(F.to_json(F.struct(F.array(turn("system", F.lit(prompt)), turn("user", text.render(title, description)), turn("assistant", answer)).alias("messages"))).alias("value"))

@@ -90,3 +90,74 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, qs: dict[str, float])
 
 def verdict(condition: Column) -> Column:
     return F.when(condition, "pass").otherwise("fail")
+
+
+def best_config(metrics: DataFrame, metric: str) -> DataFrame:
+    """The config of the highest value; metrics(config, position, values...), the first of equals wins."""
+    return metrics.orderBy(F.desc(metric), "position").limit(1)
+
+
+def winner(configs: DataFrame, base: str, metric: str, gain: float = 0.05, p95: float = 500.0) -> DataFrame:
+    """configs(config, p95_ms, metric) that gain enough over the base fast enough, the best one first.
+
+    Adds `passing` and `chosen`; of equal metrics the lower p95 is chosen.
+    """
+    was = configs.where(F.col("config") == base).agg(F.max(metric).alias("_was"))
+    j = configs.crossJoin(F.broadcast(was)).withColumn("passing", F.coalesce((F.col("config") != base) & (F.col(metric) - F.col("_was") >= gain) & (F.col("p95_ms") < p95), F.lit(False)))
+    first = j.where("passing").agg(F.min_by("config", F.struct(-F.col(metric), "p95_ms", "config")).alias("_c"))
+    return j.crossJoin(F.broadcast(first)).withColumn("chosen", F.coalesce(F.col("config") == F.col("_c"), F.lit(False))).drop("_was", "_c")
+
+
+def compare(metrics: DataFrame, left: str, right: str) -> DataFrame:
+    """metrics(version, metric, value) of two versions side by side, and right less left."""
+    wide = metrics.where(F.col("version").isin(left, right)).groupBy("metric").agg(F.max(F.when(F.col("version") == left, F.col("value"))).alias("left"), F.max(F.when(F.col("version") == right, F.col("value"))).alias("right"))
+    return wide.withColumn("delta", F.col("right") - F.col("left"))
+
+
+def chat_scores(df: DataFrame) -> DataFrame:
+    """Scores of answers(faithfulness 0..2, completeness 0..2, cited, must_refuse, refused, cost_usd).
+
+    refusal_accuracy is 1 where nothing had to be refused; no rows give nulls and 1.
+    """
+    share = lambda c: F.avg(c.cast("double"))
+    return df.agg(
+        (F.avg("faithfulness") / 2).alias("faithfulness"), (F.avg("completeness") / 2).alias("completeness"), share(F.col("cited")).alias("citation_rate"),
+        F.coalesce(share(F.when(F.col("must_refuse"), F.col("refused"))), F.lit(1.0)).alias("refusal_accuracy"), F.sum("cost_usd").alias("cost_usd"),
+    )
+
+
+def calibration(df: DataFrame, pairs: dict[str, tuple[str, str]], key: str, at_least: int = 20, floor: float = 0.4) -> DataFrame:
+    """Agreement and kappa of a human and a machine by dimension; trustworthy with enough rows and kappa on key."""
+    out = None
+    for name, (a, b) in pairs.items():
+        k = kappa(df, a, b).select(F.lit(name).alias("dimension"), "n", "agreement", "kappa")
+        out = k if out is None else out.unionByName(k)
+    own = out.agg(F.max(F.when(F.col("dimension") == key, (F.col("n") >= at_least) & (F.col("kappa") >= floor))).alias("trustworthy"))
+    return out.crossJoin(F.broadcast(own))
+
+
+def hit_share(hits: DataFrame, good: Column, k: int = 10, by: list[str] = ()) -> DataFrame:
+    """Mean over queries of the share of their first k hits that are good."""
+    per = hits.where(F.col("rank") <= k).groupBy(*by, "query_id").agg(F.avg(good.cast("double")).alias("_s"))
+    return per.groupBy(*by).agg(F.avg("_s").alias("share"), F.count("*").alias("queries"))
+
+
+def bucket_quantile(histogram: DataFrame, by: list[str], q: float) -> DataFrame:
+    """A quantile by linear interpolation in cumulative buckets (by, le, n).
+
+    In the infinite bucket it is the highest finite bound; null without rows.
+    """
+    w = Window.partitionBy(*by).orderBy("le")
+    b = histogram.withColumn("_low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).withColumn("_below", F.coalesce(F.lag("n").over(w), F.lit(0))).withColumn("_rank", q * F.max("n").over(Window.partitionBy(*by)))
+    hit = b.where((F.col("n") >= F.col("_rank")) & (F.col("_rank") > 0))
+    value = F.when(F.isnan("le") | (F.col("le") == float("inf")), F.col("_low")).when(F.col("n") == F.col("_below"), F.col("le")).otherwise(F.col("_low") + (F.col("le") - F.col("_low")) * (F.col("_rank") - F.col("_below")) / (F.col("n") - F.col("_below")))
+    return hit.groupBy(*by).agg(F.min_by(value, "le").alias("quantile"))
+
+
+def firing(evaluations: DataFrame, by: list[str], ts: str, broken: Column, seconds: int) -> DataFrame:
+    """Adds `firing`: the condition has held without a break for that long up to the evaluation."""
+    w = Window.partitionBy(*by).orderBy(ts)
+    e = evaluations.withColumn("_b", F.coalesce(broken, F.lit(False)))
+    e = e.withColumn("_run", F.sum((~F.col("_b")).cast("int")).over(w))
+    since = F.min(F.when(F.col("_b"), F.unix_timestamp(ts))).over(Window.partitionBy(*by, "_run"))
+    return e.withColumn("firing", F.col("_b") & (F.unix_timestamp(ts) - since >= seconds)).drop("_b", "_run")

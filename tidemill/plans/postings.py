@@ -20,7 +20,7 @@ def _(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", (F.floor("o_totalprice") + 1000).alias("w"))
     forms = [F.expr(x) for x in _PAY]
     raw = F.when(F.col("o_orderkey") % 4 == 0, forms[0]).when(F.col("o_orderkey") % 4 == 1, forms[1]).when(F.col("o_orderkey") % 4 == 2, forms[2]).otherwise(forms[3])
-    p = o.select("o_orderkey", money.pay(raw).alias("p"))
+    p = money.with_pay(o.select("o_orderkey", raw.alias("raw")), "raw", "p")
     return p.select("o_orderkey", F.col("p.min").alias("low"), F.col("p.max").alias("high"), money.annualised(F.col("p.max"), F.col("p.period")).alias("yearly"), "p.period", "p.currency")
 
 
