@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
+#: Bytes of an Arrow batch on its way to a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,8 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]],
     Other columns of df are not read, so their names cannot clash.
     """
     spark = df.sparkSession
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     out = spark.createDataFrame([], schema).schema
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType.simpleString())) for f in out.fields])
 
@@ -73,6 +77,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]],
                 kept = []
         if kept:
             yield _batch(kept, arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, out)
 
