@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def retrieval(hits: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+def retrieval(hits: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10), counts: DataFrame | None = None) -> DataFrame:
     """Per query: recall, precision, nDCG at each k, and the reciprocal rank.
 
     hits(query_id, key, rank); grades(query_id, key, grade), grade above 0 being relevant.
-    Precision divides by the number returned, and nDCG's ideal uses all grades.
+    Precision divides by the number returned, and nDCG's ideal uses all grades: those of grades,
+    or of counts(query_id, grade, n) where given, and then grades need only hold the hits.
     """
     judged = hits.join(grades, ["query_id", "key"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
     gain = lambda r: F.col("grade") / F.log2(F.col(r) + 1)
@@ -22,11 +25,19 @@ def retrieval(hits: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10))
         )],
         F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"),
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "key")
-    ideal = grades.withColumn("pos", F.row_number().over(w)).groupBy("query_id").agg(
-        F.count_if(F.col("grade") > 0).alias("relevant"), *[F.sum(F.when(F.col("pos") <= k, gain("pos")).otherwise(0.0)).alias(f"ideal{k}") for k in ks]
-    )
-    j = per.join(ideal, "query_id")
+    if counts is None:
+        w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "key")
+        ideal = grades.withColumn("pos", F.row_number().over(w)).groupBy("query_id").agg(
+            F.count_if(F.col("grade") > 0).alias("relevant"), *[F.sum(F.when(F.col("pos") <= k, gain("pos")).otherwise(0.0)).alias(f"ideal{k}") for k in ks]
+        )
+        j = per.join(ideal, "query_id")
+    else:
+        w = Window.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ends = counts.where("grade > 0 AND n > 0").groupBy("query_id", "grade").agg(F.sum("n").alias("n")).withColumn("end", F.sum("n").over(w))
+        # A position's discount, summed over those of a grade within the first k.
+        due = lambda k: F.col("grade") * sum(F.when((F.col("end") - F.col("n") < p) & (F.col("end") >= p), 1 / math.log2(p + 1)).otherwise(0.0) for p in range(1, k + 1))
+        ideal = ends.groupBy("query_id").agg(F.sum("n").alias("relevant"), *[F.sum(due(k)).alias(f"ideal{k}") for k in ks])
+        j = per.join(ideal, "query_id", "left")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     cols = [c for k in ks for c in (share(f"rel{k}", "relevant").alias(f"recall_{k}"), share(f"rel{k}", f"ret{k}").alias(f"precision_{k}"), share(f"dcg{k}", f"ideal{k}").alias(f"ndcg_{k}"))]
     return j.select("query_id", *cols, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
