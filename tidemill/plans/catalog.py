@@ -239,9 +239,9 @@ _KW = f"""w AS (SELECT doc_id, unnest({_OWN.format('text')}) AS term FROM docume
     FROM w JOIN q USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 20)"""
 
 
-def keyword_hits(spark, d):
+def keyword_hits(spark, d, limit=20):
     queries = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.keyword(search.posting_list(t(spark, d, "documents"), "doc_id", {"text": 0.5}), queries, "doc_id", 20)
+    return search.keyword(search.posting_list(t(spark, d, "documents"), "doc_id", {"text": 0.5}), queries, "doc_id", limit)
 
 
 @query("r3_keyword_search", f"WITH {_KW} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM k")
@@ -255,9 +255,13 @@ _FUSED = """f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12)
   fr AS (SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first, id) AS rank FROM f)"""
 
 
+#: Hits of each retriever that are fused.
+CANDIDATES = 50
+
+
 def two_lists(spark, d):
-    words = keyword_hits(spark, d).where("query_id % 100 = 0").select("query_id", F.col("doc_id").alias("id"), "rank")
-    return words, hits(spark, d, 20).select("query_id", F.col("vec_id").alias("id"), "rank")
+    words = keyword_hits(spark, d, CANDIDATES).where("query_id % 100 = 0").select("query_id", F.col("doc_id").alias("id"), "rank")
+    return words, hits(spark, d, CANDIDATES).select("query_id", F.col("vec_id").alias("id"), "rank")
 
 
 @query("a12_rank_fusion", f"WITH {_LISTS}, {_FUSED.format('lists')} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM fr WHERE rank <= 15")
