@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
+from tidemill.operators import topics as ops
 from tidemill.plans import catalog, postings, registry, reviews, topics  # noqa: F401
 
 QUERY_SET = (("q.vec_id < 10", "q.vec_id % 100 = 0"), ("WHERE query_id < 10", "WHERE query_id % 100 = 0"))
@@ -52,3 +53,19 @@ def test_fifty_candidates(spark, sf_dir, name):
 def test_both_lists_have_fifty(spark, sf_dir):
     for side in catalog.two_lists(spark, sf_dir):
         assert {r.n for r in side.groupBy("query_id").agg(F.max("rank").alias("n")).collect()} == {50}
+
+
+def test_k_is_chosen_of_3_to_10_with_10_restarts(spark, sf_dir, monkeypatch):
+    fitted, fit = [], ops.k_means
+
+    def one(points, k, restarts=10, seed=42):
+        fitted.append((k, restarts))
+        return fit(points, k, 1, seed)
+
+    monkeypatch.setattr(ops, "k_means", one)
+    every = [(k, 10) for k in range(3, 11)]
+    scores = registry.QUERIES["r12_choose_k"](spark, sf_dir).collect()
+    assert fitted == every and [r.k for r in scores] == list(range(3, 11))
+    fitted.clear()
+    clusters = registry.QUERIES["r13_cluster_documents"](spark, sf_dir).count()
+    assert fitted[:-1] == every and fitted[-1][1] == 10 and clusters <= fitted[-1][0]

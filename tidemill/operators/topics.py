@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,11 +80,26 @@ def dense(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).select(key, array_to_vector(F.col(column).cast("array<double>")).alias("features"))
 
 
+@contextmanager
+def held(points: DataFrame) -> Iterator[None]:
+    """Points are kept while they are fitted, as each fit is many passes; a caller's own cache stays."""
+    own = points.storageLevel
+    if own.useMemory or own.useDisk:
+        yield
+        return
+    points.persist()
+    try:
+        yield
+    finally:
+        points.unpersist()
+
+
 def k_means(points: DataFrame, k: int, restarts: int = 10, seed: int = 42):
     """The model of the lowest cost of several seeds."""
     from pyspark.ml.clustering import KMeans
 
-    fits = [KMeans(k=k, seed=seed + n).fit(points) for n in range(restarts)]
+    with held(points):
+        fits = [KMeans(k=k, seed=seed + n).fit(points) for n in range(restarts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -91,12 +107,13 @@ def silhouettes(points: DataFrame, ks: Sequence[int] = range(3, 11), restarts: i
     """(k, silhouette over squared distances) of each k below the number of points that gives two clusters or more."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    n, out = points.count(), []
-    for k in ks:
-        if k < n:
-            found = k_means(points, k, restarts, seed).transform(points)
-            if found.select("prediction").distinct().limit(2).count() > 1:
-                out.append((k, ClusteringEvaluator().evaluate(found)))
+    with held(points):
+        n, out = points.count(), []
+        for k in ks:
+            if k < n:
+                found = k_means(points, k, restarts, seed).transform(points)
+                if found.select("prediction").distinct().limit(2).count() > 1:
+                    out.append((k, ClusteringEvaluator().evaluate(found)))
     return out
 
 
@@ -104,12 +121,14 @@ def cluster(points: DataFrame, key: str, k: int | None = None, ks: Sequence[int]
     """(key, cluster) by k-means; k is that of the best silhouette, the first of equals, if not given."""
     if points.limit(at_least).count() < at_least:
         raise ValueError(f"clustering needs {at_least} rows or more")
-    if k is None:
-        scores = silhouettes(points, ks, restarts, seed)
-        if not scores:
-            raise ValueError("no usable k: too few or too uniform rows")
-        k = max(scores, key=lambda s: s[1])[0]
-    return k_means(points, k, restarts, seed).transform(points).select(key, F.col("prediction").alias("cluster"))
+    with held(points):
+        if k is None:
+            scores = silhouettes(points, ks, restarts, seed)
+            if not scores:
+                raise ValueError("no usable k: too few or too uniform rows")
+            k = max(scores, key=lambda s: s[1])[0]
+        model = k_means(points, k, restarts, seed)
+    return model.transform(points).select(key, F.col("prediction").alias("cluster"))
 
 
 def describe(clusters: DataFrame, terms: DataFrame, skills: DataFrame, key: str, top_terms: int = 10, top_skills: int = 8) -> DataFrame:

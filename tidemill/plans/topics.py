@@ -39,13 +39,13 @@ def _(spark, d):
 @query("r12_choose_k")
 def _(spark, d):
     points = topics.dense(t(spark, d, "embeddings"), "vec_id", "embedding")
-    return spark.createDataFrame(topics.silhouettes(points, range(3, 6), 1), "k int, silhouette double")
+    return spark.createDataFrame(topics.silhouettes(points), "k int, silhouette double")
 
 
 @query("r13_cluster_documents")
 def _(spark, d):
     terms = cluster_terms(spark, d)
-    clusters = topics.cluster(topics.vectors(terms, "doc_id"), "doc_id", k=4, restarts=1)
+    clusters = topics.cluster(topics.vectors(terms, "doc_id"), "doc_id")
     skills = t(spark, d, "documents").select("doc_id", F.explode(trends.skills_in(F.col("text"), TAXONOMY)).alias("skill"))
     return topics.describe(clusters, terms, skills, "doc_id")
 
