@@ -1,13 +1,15 @@
 """Secret scans: a character convolutional network over candidates in their context.
 
-Base findings come from three patterns and always stay. Every other run of 16 or more token
-characters that holds a digit is a candidate; a numpy network of two convolutions reads its
-characters and those around it. It is trained on labelled findings from a seeded generator,
+Base findings come from three patterns and always stay. What is left of a run of token characters
+beside them is a candidate if it has 16 characters, or 8 and a digit; so is any value of 6
+characters after a credential word. A run longer than the network's window is judged as a whole,
+by its head and tail, and in sliding windows; candidates found that meet are one span. A numpy
+network of two convolutions reads a candidate's characters and those around it. It is trained on labelled findings from a seeded generator,
 calibrated by temperature on findings kept from training, and its threshold is the highest one
 whose recall on those is at least RECALL.
 
 Defined cases: null counts as empty, and empty texts have no spans; very long texts are read
-whole, and a candidate longer than the network's window is judged by its head and tail; repeated
+whole; repeated
 rows are scanned each; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -27,7 +29,11 @@ KINDS = ("assign", "access", "hex", "network")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+LONG = 16  # a shorter run needs a digit
+#: A value after a credential word needs no digit and may hold other characters.
+NEAR = re.compile(r"""(?:pwd|pass|password|passwd|passphrase|secret|token|key|auth|credentials?|bearer|private)["']?\x20*[:=\x20]\x20*["']?([^\s"'<>,;()]{6,})""", re.I | re.A)
+_NEAR = ("pwd", "pass", "secret", "token", "key", "auth", "credential", "bearer", "private")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -53,12 +59,34 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def beside(start: int, end: int, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no base finding covers."""
+    for s, _, e in base:
+        if s < end and e > start:
+            if start < s:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate and, if it is longer than the network's window, every half window of it."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(start, end), *((a, a + INSIDE) for a in range(start, end - INSIDE, INSIDE // 2)), (end - INSIDE, end)]
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Runs of token characters with a digit that no base finding touches."""
-    if not _DIGIT.search(text):
-        return []
-    out = [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
-    return [(a, b) for a, b in out if all(e <= a or s >= b for s, _, e in base)]
+    """Runs of token characters and values near credential words, less base findings, with their windows."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() >= LONG or _DIGIT.search(m[0]):
+            out += [(a, b) for a, b in beside(*m.span(), base) if b - a >= LONG or b - a >= 8 and _DIGIT.search(text, a, b)]
+    low = text.lower()
+    if any(k in low for k in _NEAR):
+        out += [(a, b) for m in NEAR.finditer(text) for a, b in beside(*m.span(1), base) if b - a >= 6]
+    return sorted({w for a, b in out for w in windows(a, b)})
 
 
 def codes(text: str, start: int, end: int) -> np.ndarray:
@@ -122,18 +150,82 @@ def findings(n: int = FINDINGS, seed: int = 7) -> tuple[list[tuple[str, int, int
     out, y = [], np.arange(n) % 2
     for label in y:
         own = secret() if label else other()
-        while not (_DIGIT.search(own) and CANDIDATE.fullmatch(own)):
+        while not (_DIGIT.search(own) and len(own) >= LONG and CANDIDATE.fullmatch(own)):
             own = secret() if label else other()
         lead = " ".join(word() for _ in range(int(r.integers(0, 6))))
         if r.random() < (0.5 if label else 0.15):
             lead += " " + str(r.choice(["key", "auth", "credential", "bearer", "access", "private", "id", "see"])) + str(r.choice([": ", "=", " = \"", " "]))
         lead += str(r.choice(["", " ", " ", "\n", "("]))
-        lead = lead.rstrip("+/_.=-") if lead and CANDIDATE.fullmatch(lead[-1:].ljust(16, "a")) and not lead.endswith("=") else lead
+        lead = lead.rstrip("+/_.=-") if lead and CANDIDATE.fullmatch(lead[-1:].ljust(LONG, "a")) and not lead.endswith("=") else lead
         lead = lead + " " if lead and re.match(r"[A-Za-z0-9+/_.=-]", lead[-1]) else lead
         out.append((lead + own + " " + word() + ". " + word(), len(lead), len(lead) + len(own)))
     return out, y
 
 
+def shapes(n: int = FINDINGS, seed: int = 17) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """Labelled findings that are short, have no digit, follow a credential word or lie in long runs."""
+    r = np.random.default_rng(seed)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = lower + lower.upper()
+
+    def draw(alphabet: str, size: int) -> str:
+        return "".join(r.choice(list(alphabet), size))
+
+    def word(low: int = 2, high: int = 9) -> str:
+        return "".join(str(r.choice(list(k))) for k in ("nrstlmdhcpbgvk", "aeiou") * 5)[: int(r.integers(low, high))]
+
+    def compound() -> str:
+        """A long word of syllables with clusters, as of German or French."""
+        ends = ("", "", "n", "r", "s", "t", "l", "ch", "cht", "ng", "st", "nd", "rt", "x", "pf", "tz")
+        starts = ("b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "z", "sch", "st", "tr", "br", "fl", "qu", "ch", "")
+        vowels = ("a", "e", "e", "e", "i", "o", "u", "ei", "ie", "au", "eu", "ou", "io")
+        own = "".join(str(r.choice(starts)) + str(r.choice(vowels)) + str(r.choice(ends)) for _ in range(int(r.integers(5, 10))))
+        return (own.capitalize() if r.random() < 0.3 else own) + str(r.choice(["", "", "."]))
+
+    def fence() -> str:
+        return str(r.choice(["/", ".", "=", "_", "-"]))
+
+    def long_run(secret: str) -> tuple[str, int]:
+        parts = [word() + str(r.choice(["", "", str(r.integers(100))])) for _ in range(int(r.integers(8, 26)))]
+        at = int(r.integers(len(parts)))
+        own = fence()
+        head = "".join(p + own for p in parts[:at])
+        return head + secret + "".join(own + p for p in parts[at:]), len(head)
+
+    def dated() -> str:
+        return str(r.choice([f"20{r.integers(10, 40)}-{r.integers(10, 13)}-{r.integers(10, 29)}", f"{r.integers(10**7, 10**9)}", f"{word(3)}{r.integers(10, 1000)}.{word(3, 5)}", f"{word(3)}-{word(3)}-{r.integers(3000)}", f"{word(4)}_{word(3)}{r.integers(100)}", f"v{r.integers(20)}.{r.integers(20)}.{r.integers(200)}-{word(2, 4)}", f"{word(6)}.20{r.integers(10, 40)}"]))
+
+    out, y = [], []
+    while len(out) < n:
+        kind, label = int(r.integers(4)), int(r.integers(2))
+        lead, after = " ".join(word() for _ in range(int(r.integers(1, 6)))) + " ", " " + word() + ". " + word()
+        named = str(r.choice(["pwd", "pass", "key", "auth", "credential", "bearer", "private key", "access key"])) + str(r.choice([": ", "=", ' = "', " "]))
+        if kind == 0:  # short runs with a digit
+            own = draw(mixed + digits, int(r.integers(8, 17))) if label else dated()
+            lead += named if r.random() < (0.7 if label else 0.15) else ""
+        elif kind == 1:  # no digit
+            own = draw(mixed if r.random() < 0.8 else lower, int(r.integers(16, 41))) if label else str(r.choice([fence().join(word(3) for _ in range(int(r.integers(3, 6)))), compound(), compound()]))
+        elif kind == 2:  # any value after a credential word
+            lead += named
+            own = draw(mixed + digits + "!#$%&*@?", int(r.integers(8, 17))) if label else str(r.choice([word(6), word(6) + ".", word(6).capitalize(), dated()]))
+        else:
+            secret = draw(mixed + digits, int(r.integers(24, 41))) if label else word()
+            own, at = long_run(secret)
+            if len(own) <= INSIDE:
+                continue
+            text, first = lead + own + after, len(lead) + at
+            for a, b in windows(len(lead), len(lead) + len(own))[1:]:
+                held = min(b, first + len(secret)) - max(a, first)
+                if not label or held <= 0 or held >= min(20, len(secret)):
+                    out.append((text, a, b))
+                    y.append(int(label and held > 0))
+            continue
+        if len(own) >= 6 and (kind == 2 or CANDIDATE.fullmatch(own) and (len(own) >= LONG or _DIGIT.search(own))):
+            out.append((lead + own + after, len(lead), len(lead) + len(own)))
+            y.append(label)
+    return out, np.array(y)
+
+
 class Network:
     """Embedding, two convolutions with max pooling over the candidate and its context, two layers."""
 
@@ -225,9 +317,9 @@ class Network:
 
 
 def train(n: int = FINDINGS) -> Network:
-    found, y = findings(n)
+    (found, y), (more, z) = findings(n), shapes(n)
     net = Network()
-    net.fit(np.stack([codes(*f) for f in found]), y)
+    net.fit(np.stack([codes(*f) for f in found + more]), np.concatenate([y, z]))
     return net
 
 
@@ -243,7 +335,11 @@ def scan_many(net: Network, texts: list[str]) -> list[list[Span]]:
         p = net.probability(np.stack(x[s : s + 512]))
         for (k, a, b), own in zip(where[s : s + 512], p, strict=True):
             if own >= net.threshold:
-                out[k].append((a, 3, b))
+                last = out[k][-1] if out[k] else (0, 0, 0)
+                if last[1] == 3 and a <= last[2]:
+                    out[k][-1] = (last[0], 3, max(last[2], b))
+                else:
+                    out[k].append((a, 3, b))
     return [sorted(s) for s in out]
 
 
