@@ -16,6 +16,7 @@ templates give no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -42,6 +43,18 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
 
+_NOTICE = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+#: Standard notices of the licenses near GPL-3.0.
+FAMILY = {
+    "GPL-2.0": _NOTICE.format("program", ";", "", ";", "2"),
+    "LGPL-2.0": _NOTICE.format("library", ";", "Library ", ";", "2"),
+    "LGPL-2.1": _NOTICE.format("library", ";", "Lesser ", ";", "2.1"),
+    "LGPL-3.0": _NOTICE.format("library", ":", "Lesser ", ",", "3"),
+    "AGPL-3.0": _NOTICE.format("program", ":", "Affero ", ",", "3"),
+}
+#: Words of a section of a license's whole text; the next one starts at half of it.
+SECTION = 64
+
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,6 +63,35 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
+def sections(name: str, text: str) -> dict[str, str]:
+    """A whole text as overlapping templates name#0, name#1, ...; the last one ends where the text does."""
+    own = [w.decode("utf-8", "surrogatepass") for w in words(text)]
+    starts = [*range(0, max(1, len(own) - SECTION), SECTION // 2), max(0, len(own) - SECTION)]
+    return {f"{name}#{n}": " ".join(own[a : a + SECTION]) for n, a in enumerate(sorted(set(starts)))}
+
+
+def registered() -> dict[str, str]:
+    """The templates, the notices near GPL-3.0, and the sections of whole license texts."""
+    out = TEMPLATES | {f"{name}#notice": text for name, text in FAMILY.items()}
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        out |= sections(file.stem, file.read_text("utf-8"))
+    return out
+
+
+def settled(found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """One match a license, its best one; where two of about one place and length differ, the better stays."""
+    def same_place(x: tuple, y: tuple) -> bool:
+        return 2 * (min(x[3], y[3]) - max(x[2], y[2])) > max(x[3] - x[2], y[3] - y[2])
+
+    best: dict[str, tuple[str, float, int, int]] = {}
+    for m in found:
+        name = m[0].partition("#")[0]
+        if not any(o[1] > m[1] and o[0].partition("#")[0] != name and same_place(m, o) for o in found):
+            if name not in best or (m[1], -m[2]) > (best[name][1], -best[name][2]):
+                best[name] = (name, *m[1:])
+    return sorted(best.values())
+
+
 def shingles(hashes: np.ndarray) -> np.ndarray:
     """Hashes of each run of SHINGLE words; of all words if there are fewer."""
     n = len(hashes)
@@ -89,6 +131,10 @@ class Index:
         for t, s in enumerate(self.sets):
             self.classes.setdefault(size_class(len(s)), []).append(t)
         self.minima = [[int(p.min()) for p in permuted(s, bands)] for s in self.sets]
+        self.having: dict[tuple[int, int, int], list[int]] = {}
+        for t, s in enumerate(self.sets):
+            for band, m in enumerate(self.minima[t]):
+                self.having.setdefault((size_class(len(s)), band, m), []).append(t)
         # For each class and band: a bit table of the minima's top bits, so that most windows stop there.
         self.bits = {}
         for c, own in self.classes.items():
@@ -117,7 +163,7 @@ class Index:
         seen: set[tuple[int, int, int]] = set()
         for band, p in enumerate(permuted(x, self.bands)):
             doubled = {1: p}
-            for c, members in sorted(self.classes.items()):
+            for c in sorted(self.classes):
                 # The minimum over c shingles is that of two runs of a power of two that overlap.
                 w = 1 << (c.bit_length() - 1)
                 if c > len(p):
@@ -131,14 +177,12 @@ class Index:
                     step = max(1, c // 4)
                 low = low[::step]
                 for at in np.flatnonzero(self.bits[c][band][(low >> np.uint64(48)).astype(np.int64)]).tolist():
-                    value = int(low[at])
-                    for t in members:
-                        if self.minima[t][band] == value:
-                            seen.add((t, c, at * step))
+                    for t in self.having.get((c, band, int(low[at])), ()):
+                        seen.add((t, c, at * step))
             # Windows over the ends of texts see no single text; each end is looked at by itself.
-            for c, members in self.classes.items():
+            for c in self.classes:
                 if c > 1:
-                    self._ends(p, start, c, members, band, seen)
+                    self._ends(p, start, c, band, seen)
         for t, c, at in sorted(seen):
             for d in range(int(doc[at]), int(doc[min(at + c - 1, len(doc) - 1)]) + 1):
                 a, b = max(int(start[d]), at - c), min(int(start[d + 1]), at + 2 * c)
@@ -146,7 +190,7 @@ class Index:
                     self._verify(x[a:b], a - int(start[d]), t, best[d])
         return [[(self.names[t], *v) for t, v in sorted(found.items())] for found in best]
 
-    def _ends(self, p, start, c, members, band, seen) -> None:
+    def _ends(self, p, start, c, band, seen) -> None:
         """The windows that hold the first and the last c shingles of each text, or all of a shorter one."""
         n = np.diff(start)
         some = np.flatnonzero(n > 0)
@@ -156,9 +200,8 @@ class Index:
             flat = np.column_stack([a, b]).ravel()
             low = np.minimum.reduceat(np.r_[p, p[-1:]], flat)[::2]
             for k in np.flatnonzero(self.bits[c][band][(low >> np.uint64(48)).astype(np.int64)]).tolist():
-                for t in members:
-                    if self.minima[t][band] == int(low[k]):
-                        seen.add((t, c, int(a[k])))
+                for t in self.having.get((c, band, int(low[k])), ()):
+                    seen.add((t, c, int(a[k])))
 
     def _verify(self, near: np.ndarray, offset: int, t: int, best: dict) -> None:
         """Exact containment of a template in the best run of as many shingles near a window."""
@@ -176,7 +219,10 @@ class Index:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and template found: containment, and its words' start and end."""
+    """One row per document and license found: containment, and its words' start and end.
+
+    A template name#part is one of several of the license name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(dict(templates))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -185,7 +231,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
 
         def done() -> Iterator[tuple]:
             for i, found in zip(keys, index.find_many(texts), strict=True):
-                for name, held, a, b in found:
+                for name, held, a, b in settled(found):
                     yield i, name, held, a, b
 
         for i, text in rows:
@@ -202,4 +248,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), registered())
