@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import map_rows, table
 
-PATH_DIM, WORD_DIM, SCALARS, HIDDEN = 96, 32, 6, 16
+PATH_DIM, WORD_DIM, SCALARS, HIDDEN = 96, 256, 6, 16
 DIM = PATH_DIM + WORD_DIM + SCALARS
 TRAIN_PAGES, EPOCHS, BATCH, RATE = 700, 14, 32, 0.01
 #: Pages that are labelled together, and blocks that one such batch holds at most.
@@ -133,6 +133,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
 _SENTENCE_END = tuple(".!?…。\"”»")
 
 
+_MARKS = ".,;:!?…\"“”'()|"
+
+
 def features(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
     n = len(found)
     x = np.zeros((n, DIM), np.float32)
@@ -140,9 +143,8 @@ def features(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
     tail = []
     for i, (text, _, linked) in enumerate(found):
         words = text.count(" ") + 1
-        if words <= 8:  # the words tell for short blocks; a long block's would fill all buckets
-            for w in text.lower().split(" "):
-                x[i, PATH_DIM + _bucket(w, WORD_DIM)] += 1 / math.sqrt(words)
+        for w in text.lower().split(" "):
+            x[i, PATH_DIM + _bucket(w.strip(_MARKS), WORD_DIM)] += 1 / math.sqrt(words)
         tail.append((math.log1p(words) / 4, linked, i / n, text.endswith(_SENTENCE_END), words > 8, math.log1p(n) / 5))
     x[:, PATH_DIM + WORD_DIM :] = tail
     return x
@@ -247,11 +249,24 @@ def _padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return x, mask, y
 
 
+#: Wording of training pages: the prose of half of them and half of the boilerplate; the rest is of invented words.
+PROSE = "the a of and to in was were had by from with that which this his her their its on at for as but not after before while when years people city river government war research team study found water country history world several early later across century science law school north village company said officials report according region built became during between although number small large different form part often known system music art language".split()
+COOKIE = ("we use cookies to improve your experience on our website", "by continuing to browse this site you accept our use of cookies", "manage your cookie preferences and privacy settings here", "this site uses cookies and similar technologies for analytics", "accept all cookies or reject optional tracking", "we and our partners store personal data with your consent", "read our privacy policy to learn how we process data")
+ADVERT = ("buy now and save on your first order", "limited time offer shop the sale today", "get free shipping with our best deals and discounts", "sponsored by our advertising partners", "sign up today for a free trial", "click here for a special offer at the lowest price", "subscribe now and get a discount on premium")
+REPLY = ("great post thanks for sharing i really liked it", "i totally agree with you lol", "reply to this comment or log in to like", "thanks i think you are wrong about this imho", "posted by a guest user reply report", "awesome article keep it up please write more", "first comment here i love this blog")
+SIDE = ("follow us on facebook and twitter and share this page", "related posts you may also like", "subscribe to our newsletter and enter your email", "most popular stories read more recent posts", "share this on social media", "sign up for our weekly newsletter")
+FOOT = ("all rights reserved copyright terms of use and privacy policy", "contact us about us careers help sitemap", "powered by our company all trademarks belong to their owners")
+
+
 def training_page(r: np.random.Generator) -> tuple[str, list[str]]:
     """A page of a random layout and the main blocks it was made with."""
     letters = "aeiounrstlmd"
 
+    real = r.random() < 0.5
+
     def words(a: int, b: int) -> str:
+        if real:
+            return " ".join(map(str, r.choice(PROSE, int(r.integers(a, b)))))
         return " ".join("".join(r.choice(list(letters), int(r.integers(2, 10)))) for _ in range(int(r.integers(a, b))))
 
     def sentence(a: int = 1, b: int = 40) -> str:
@@ -275,23 +290,35 @@ def training_page(r: np.random.Generator) -> tuple[str, list[str]]:
         body = links(int(r.integers(2, 9)), "ul") if kind < 3 else " ".join(f'<a href="/{i}">{words(1, 3)}</a>' for i in range(5))
         return f"<nav>{body}</nav>" if r.random() < 0.6 else f"<div{attr(['menu', 'navbar', 'nav-main', 'breadcrumb', 'topnav'])[:] or ' class=menu'}>{body}</div>"
 
-    def boxed(tags: list[str], names: list[str], a: int, b: int) -> str:
+    def told(phrases: tuple[str, ...]) -> str:
+        return ". ".join(str(x).capitalize() for x in r.choice(phrases, int(r.integers(1, 4)), replace=False)) + str(r.choice([".", ".", "!", ""]))
+
+    def boxed(tags: list[str], names: list[str], a: int, b: int, phrases: tuple[str, ...] = ()) -> str:
         tag = str(r.choice(tags))
+        if phrases and r.random() < 0.5:
+            if r.random() < 0.4:  # only the words tell
+                return str(r.choice([f"<div><p>{told(phrases)}</p></div>", f"<p>{told(phrases)}</p>", f"<div>{told(phrases)}</div>"]))
+            return f'<{tag} {r.choice(["class", "id"])}="{r.choice(names)}">{told(phrases)}</{tag}>'
         cls = f' {r.choice(["class", "id"])}="{r.choice(names)}"'
         if tag in ("aside", "footer", "header", "form") and r.random() < 0.5:
             cls = ""
         inner = "".join(str(r.choice([f"<p>{sentence(a, b)}</p>", sentence(a, b), f"<h3>{words(1, 4)}</h3>", f'<a href="/x">{words(1, 4)}</a>'])) for _ in range(int(r.integers(1, 4))))
         return f"<{tag}{cls}>{inner}</{tag}>"
 
-    advert = lambda: boxed(["div", "div", "section", "p"], ["ad", "ads", "advert", "banner ad", "sponsored", "promo", "ad-box", "advertisement"], 2, 30)
-    side = lambda: boxed(["aside", "div"], ["sidebar", "side", "related", "widget", "share", "social", "newsletter"], 1, 25)
-    note = lambda: boxed(["div", "section"], ["cookie", "cookie-notice", "notice", "consent", "gdpr banner", "alert", "popup"], 4, 30)
+    advert = lambda: boxed(["div", "div", "section", "p"], ["ad", "ads", "advert", "banner ad", "sponsored", "promo", "ad-box", "advertisement"], 2, 30, ADVERT)
+    side = lambda: boxed(["aside", "div"], ["sidebar", "side", "related", "widget", "share", "social", "newsletter"], 1, 25, SIDE)
+    note = lambda: boxed(["div", "section"], ["cookie", "cookie-notice", "notice", "consent", "gdpr banner", "alert", "popup"], 4, 30, COOKIE)
     form = lambda: f'<form action="/f"><label>{words(1, 4)}</label><input name="q"><button>{words(1, 2)}</button>{"<select><option>" + words(1, 2) + "</option></select>" if r.random() < 0.3 else ""}<p>{sentence(2, 12)}</p></form>'
-    foot = lambda: f"<footer{attr(['footer'])}>&copy; {words(1, 5)}{links(3, 'ul') if r.random() < 0.3 else ''}</footer>" if r.random() < 0.75 else boxed(["div"], ["footer", "copyright", "site-footer"], 2, 12)
+    foot = lambda: f"<footer{attr(['footer'])}>&copy; {words(1, 5)}{links(3, 'ul') if r.random() < 0.3 else ''}</footer>" if r.random() < 0.75 else boxed(["div"], ["footer", "copyright", "site-footer"], 2, 12, FOOT)
 
     def replies() -> str:
         tag, name = str(r.choice(["div", "section", "ul", "ol"])), str(r.choice(["comments", "comment-list", "reader-comments", "discussion comments"]))
         item = "li" if tag in ("ul", "ol") else "div"
+        worded = r.random() < 0.5
+        if worded and r.random() < 0.4:
+            return "<div>" + "".join(f"<p>{told(REPLY)}</p>" for _ in range(int(r.integers(1, 4)))) + "</div>"
+        if worded:
+            return f'<{tag} class="{name}">' + "".join(f'<{item} class="comment">{told(REPLY)}</{item}>' for _ in range(int(r.integers(1, 5)))) + f"</{tag}>"
         return f'<{tag} {r.choice(["class", "id"])}="{name}">' + (f"<h2>{words(1, 3)}</h2>" if r.random() < 0.5 and item == "div" else "") + "".join(f'<{item} class="comment">{f"<p>{sentence(3, 30)}</p>" if r.random() < 0.7 else sentence(3, 30)}</{item}>' for _ in range(int(r.integers(1, 5)))) + f"</{tag}>"
 
     def article() -> str:
