@@ -24,12 +24,17 @@ def odd_rows():
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+CLASHES = ("id", "fp", "n", "sha", "score", "kept", "run", "_drop", "_id", "_sha", "_keep", "row_key", "key", "t", "p", "left", "word", "bits", "first", "c", "low", "n_words", "spans", "items", "lang_pred", "languages", "shares")
+
+
 def odd_docs(spark, extra=True):
     df = spark.createDataFrame(odd_rows(), SCHEMA)
-    if extra:  # names that clash with what operators make
+    if extra:  # names that clash with what operators make, and a map, which has no order
         from pyspark.sql import functions as F
 
-        df = df.withColumn("id", F.lit("x")).withColumn("fp", F.lit(1)).withColumn("n", F.lit(None).cast("string")).withColumn("sha", F.lit("s")).withColumn("score", F.lit(2)).withColumn("kept", F.lit(3)).withColumn("run", F.lit(5))
+        for k, name in enumerate(CLASHES):
+            df = df.withColumn(name, F.lit(k) if k % 2 else F.lit(None).cast("string"))
+        df = df.withColumn("props", F.create_map(F.lit("a"), F.col("n_chars")))
     return df
 
 

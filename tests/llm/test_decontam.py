@@ -68,3 +68,36 @@ def test_empty_tables(spark):
     assert all(not r["items"] for r in decontam.contamination(odd_docs(spark), none).collect())
     docs = odd_docs(spark)
     assert decontam.keep_clean(docs, none).collect() == docs.collect()
+
+
+def test_rows_go_by_their_own_text(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    rows = [(5, "x alpha beta gamma"), (5, "innocent"), (None, "alpha beta gamma"), (None, "clean"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in decontam.keep_clean(docs, bench).collect()), key=str) == sorted([(5, "innocent"), (None, "clean"), (6, None)], key=str)
+
+
+def test_blocks_of_equal_words_and_other_windows():
+    items = [(str(i), "of the " * 9 + f"w{i}") for i in range(300)] + [("x", "of the of the")]
+    found = decontam.searchers(items)
+    text = "of the " * 30 + "w7 of the"
+    n, spans, ids = decontam.search(text, found)
+    assert (n, spread(spans), ids) == brute(text, items)
+    assert decontam.search("", found) == (0, [], []) and decontam.search("of", found) == (1, [], [])
+    for window in (1, 2, 3, 300):
+        short = decontam.searchers([("a", "p q r p q"), ("b", "q")], window)
+        n, spans, ids = decontam.search("z p q r p q z", short)
+        assert spread(spans) == 5 and ids == ["a", "b"]
+
+
+def test_tables_are_small():
+    import tracemalloc
+
+    r = random.Random(5)
+    items = [(str(i), " ".join(f"w{r.randrange(50000)}" for _ in range(2000))) for i in range(100)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    found = decontam.searchers(items)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 20 * size and found

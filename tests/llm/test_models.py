@@ -28,6 +28,11 @@ def test_language_on_held_out_rows(spark, sf_dir):
 
 def test_language_mixture_and_counts_equal_brute_force(spark):
     model = langid.learn(odd_docs(spark))
+    two = langid.Model(["a", "b"], np.stack([langid.counts("abc abd abe " * 50), langid.counts("xyz xyw xyv " * 50)]).astype(float), np.ones(2))
+    found = two.languages("abc abd abe " * 30 + "xyz xyw xyv " * 10)
+    assert [x for x, _ in found] == ["a", "b"] and abs(found[0][1] - 0.75) < 0.05 and two.languages("abc abd " * 20) == [("a", 1.0)]
+    many = langid.Model([f"l{i:04}" for i in range(1500)], np.random.default_rng(0).integers(0, 3, (1500, langid.BINS)).astype(float), np.ones(1500))
+    assert many.predict("any text at all")[0].startswith("l")
     want = {}
     for i, t, lang, *_ in odd_rows():
         if i is not None and lang is not None and not is_held(i):
@@ -45,6 +50,8 @@ def test_language_defined_cases(spark):
     docs = odd_docs(spark)
     got = {r.id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.learn(docs)).collect()}
     assert got[3] == got[4] == got[5] == ("und", 0.0)
+    assert all(r.lang_pred == (r.languages or ["und"])[0] and (not r.shares or r.shares[0] == r.score) for r in langid.identify(docs, langid.learn(docs)).collect())
+    assert langid.learn(docs).predict("½ ² 3 !")[0] == "und"
     kept = langid.keep_identified(docs, langid.learn(docs))
     assert kept.columns == docs.columns
     assert langid.identify(no_docs(spark), langid.learn(no_docs(spark))).count() == 0

@@ -5,7 +5,8 @@ import pytest
 import xxhash
 
 from tests.llm.cases import no_docs, odd_docs, odd_rows
-from tidemill.llm import simhash
+from tidemill.llm import common, simhash
+from tidemill.llm.common import keyed
 from tidemill.llm.graph import components
 
 
@@ -46,7 +47,9 @@ def test_fingerprint_equals_brute_force():
 
 
 def check(spark, docs, rows):
-    got = sorted(((r.id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    found = simhash.near_duplicates(*keyed(docs)).collect()
+    got = sorted(((r.id, r.fp % (1 << 64), r.component_id) for r in found), key=str)
+    assert sorted((r.id for r in found if r.kept), key=str) == sorted(set(r.component_id for r in found), key=str)
     fps = [(r[0], brute_fingerprint(r[1])) for r in rows]
     want = sorted(((i, f, c) for (i, f), c in zip(fps, brute_components(fps), strict=True)), key=str)
     assert got == want
@@ -62,11 +65,28 @@ def test_sample(spark, sf_dir):
 
 
 def test_empty(spark):
-    assert simhash.near_duplicates(no_docs(spark)).count() == 0
+    assert simhash.near_duplicates(*keyed(no_docs(spark))).count() == 0
     docs = no_docs(spark)
     assert simhash.keep_representatives(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("limit", [common.BROADCAST_ROWS, 0])
+def test_repeated_null_and_text_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "HOT_GROUPS", 1)
+    rows = [("x1", "a"), ("x5", "a"), ("x5", "b"), (None, "b"), (None, "c"), ("x9", "c"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = simhash.keep_representatives(docs).collect()
+    assert sorted((r.doc_id or "", r.text or "") for r in kept) == [("", ""), ("x1", "a"), ("x5", "b"), ("x9", "c")]
+
+
+@pytest.mark.parametrize("n", [0, 1 << 20, 1 << 28, 1 << 33, 1 << 36])
+def test_bands_lose_no_link(n):
+    widths = simhash.bands(n)
+    assert sum(widths) == 64 and len(widths) > simhash.RADIUS
+    assert len(simhash.bands(n)) >= len(simhash.bands(n // 100))
+
+
 def ball(n, seed):
     r = random.Random(seed)
     centres = [r.getrandbits(64) for _ in range(3)]
@@ -80,10 +100,11 @@ def ball(n, seed):
 
 
 @pytest.mark.parametrize("block_rows", [8192, 40])
-def test_links_join_all_near_pairs_even_in_split_blocks(spark, block_rows):
+@pytest.mark.parametrize("n", [400, 1 << 33])
+def test_links_join_all_near_pairs_even_in_split_blocks(spark, block_rows, n):
     fps = ball(400, 3)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"), block_rows=block_rows)
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), n, block_rows=block_rows)
     for a, b in edges.collect():
         assert a != b
     root = {r.node % (1 << 64): r.root for r in components(edges).collect()}

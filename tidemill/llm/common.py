@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
@@ -23,22 +26,143 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a folder of this machine is set in its place if driver and executors are
+    one process (tests); on a cluster a folder of one machine would lose rows, so that raises.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Settled tables that still stand, with their sessions, and the open scopes that own some of them.
+_TABLES: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts the lineage.
 
-    A lost executor costs the tasks that read this table, not the stages before it.
+    A lost executor costs the tasks that read this table, not the stages before it. The table
+    goes when it is released, when the scratch scope around it ends, or when the process ends.
     """
-    at = f"{shared_dir(df.sparkSession)}/tidemill-{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/tidemill-{label}-{uuid.uuid4().hex}"
+    _TABLES[at] = spark
+    if _SCOPES:
+        _SCOPES[-1].append(at)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._settled_at = at
+    return out
+
+
+def _delete(at: str) -> None:
+    spark = _TABLES.pop(at, None)
+    if spark is not None and spark._jvm is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again."""
+    for df in tables:
+        if at := getattr(df, "_settled_at", None):
+            _delete(at)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are deleted at the end, save those handed to the yielded function."""
+    own: list[str] = []
+    _SCOPES.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df._settled_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(own)
+        for at in own:
+            _delete(at)
+
+
+@atexit.register
+def _clear() -> None:
+    for at in list(_TABLES):
+        with contextlib.suppress(Exception):  # the session may be gone before
+            _delete(at)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _reads_files(plan) -> bool:
+    """Whether a plan only selects from one table of files, the same way each time."""
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a key of each row, the same on every read.
+
+    Rows of files are known by 128 bits of their file's name and their place in it. Any other
+    table is settled first with a number for each row.
+    """
+    name = fresh(docs, "row_key")
+    if _reads_files(docs._jdf.queryExecution().analyzed()) and "_metadata" not in docs.columns:
+        at = F.col("_metadata.file_path")
+        key = F.struct(F.xxhash64(at).alias("f"), F.xxhash64(F.reverse(at)).alias("g"), F.col("_metadata.row_index").alias("i"))
+        return docs.select("*", key.alias(name)), name
+    number = F.monotonically_increasing_id()
+    key = F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("g"), number.alias("i"))
+    return settle(docs.select("*", key.alias(name)), "keyed"), name
+
+
+#: Rows of keys that a broadcast may hold, and groups of a larger table that are broadcast apart.
+BROADCAST_ROWS, HOT_GROUPS = 500_000, 50_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataFrame:
+    """rows with the row of groups(on, size, ...) that has their key; null keys and others stay, with nulls.
+
+    groups has one row for each key, and size says how many rows have it; both tables are read
+    twice, so they should be settled. Groups are broadcast up to BROADCAST_ROWS. Beyond, the
+    HOT_GROUPS largest are, so a key left to the shuffle has at most one HOT_GROUPS-th of all rows.
+    """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), on, "left")
+    hot = settle(groups.orderBy(F.desc(size), on).limit(HOT_GROUPS), "hot")
+    names = F.broadcast(hot.select(on))
+    cold = rows.where(F.col(on).isNotNull()).join(names, on, "left_anti")
+    none = rows.where(F.col(on).isNull()).join(F.broadcast(hot.limit(0)), on, "left")
+    return rows.join(F.broadcast(hot), on).unionByName(cold.join(groups.join(names, on, "left_anti"), on, "left")).unionByName(none)
+
+
+def drop_rows(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in dropped(key); the key column goes.
+
+    Keys are broadcast up to BROADCAST_ROWS; beyond, both sides are shuffled by their keys,
+    which are unique, so no key is hot.
+    """
+    gone = settle(dropped.select(F.col(dropped.columns[0]).alias(key)), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, key, "left_anti").drop(key)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -82,6 +206,34 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]],
     return df.select(*columns).mapInArrow(run, out)
 
 
+def attach(df: DataFrame, reads: list[str], make: Callable[[], Callable[[list[tuple]], list[tuple]]], adds: str, less: tuple[str, ...] = ()) -> DataFrame:
+    """df with columns added that a function gives for slices of rows, and without those of less.
+
+    make is called once in each task; its function takes the tuples of the columns read and gives
+    as many tuples of the columns added. The other columns pass through as they are.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    added = spark.createDataFrame([], adds).schema
+    arrow = pa.schema([pa.field(f.name, _arrow(f.dataType.simpleString())) for f in added.fields])
+    at, kept = [df.columns.index(c) for c in reads], [i for i, c in enumerate(df.columns) if c not in less]
+    names = [df.columns[i] for i in kept] + added.names
+    schema = StructType([df.schema.fields[i] for i in kept] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                new = fn(list(zip(*(part.column(i).to_pylist() for i in at), strict=True)))
+                own = [pa.array(list(c), f.type) for c, f in zip(zip(*new, strict=True), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + own, names=names)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -1,11 +1,15 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-DataFrame functions only. Each level groups what the level before left in groups of two or
-more; a row that is alone at a level is settled there and never reaches the next one.
-
-Defined cases: null text counts as empty, and empty texts equal each other; of equal texts the
-row with the smallest id stays (a null id comes after all others); of repeated rows with one id
-and one text exactly one stays; an empty table gives an empty table; other columns are ignored.
+DataFrame functions only. A row goes on to the next level only if its group at this level may
+have two or more rows; full texts are hashed for the rows that are left after the prefix. Which
+groups are left is kept as a bitmap of fixed size that is broadcast, so no text and no row is
+shuffled to find out: a row whose bit another group set costs one needless hash, no error.
+
+Defined cases: null text counts as empty, and empty texts equal each other; texts of any length
+are hashed whole; of equal texts the row with the smallest id stays (a null id comes after all
+others, and of one id the row that stands first by row key); repeated rows are rows of one group,
+of which one stays; rows are told apart by key, so repeated and null ids lose nothing; an empty
+table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import settle
+from tidemill.llm.common import drop_rows, join_groups, keyed, release, settle, table
 
-#: Bytes of the prefix that the second level hashes.
+#: Characters of the prefix that the second level hashes.
 PREFIX = 64
-#: Row ids a broadcast may hold; beyond it rows meet in a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bits of the bitmap that says which groups are left.
+BITS = 1 << 23
 
 
 def normalised(text: Column) -> Column:
@@ -26,78 +30,60 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest_all: bool = False) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, and text_sha256.
+def _slot(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BITS))
+
+
+def _shared(rows: DataFrame, *key: str) -> DataFrame:
+    """The bitmap (word, bits) of the keys that two or more rows have; BITS / 64 rows at most."""
+    found = rows.groupBy(*key).count().where("count > 1").select(_slot(*map(F.col, key)).alias("s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
+    words = found.select(F.floor(F.col("s") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return settle(words, "exact-shared")
+
+
+def _with_bit(rows: DataFrame, bitmap: DataFrame, *key: str) -> DataFrame:
+    """rows with `left`, which is true for every key of the bitmap."""
+    slot = _slot(*map(F.col, key))
+    joined = rows.withColumn("word", F.floor(slot / 64)).join(F.broadcast(bitmap), "word", "left")
+    bit = F.getbit(F.coalesce("bits", F.lit(0).cast("long")), F.pmod(slot, F.lit(64)).cast("int"))
+    return joined.withColumn("left", bit == 1).drop("word", "bits")
+
 
-    digest_all: hash the full text of every row in the first scan, for callers that report each
-    row's digest. Otherwise only rows in a surviving (length, prefix) group are hashed, in a
-    second scan, and text_sha256 is null for the rest.
+def refine(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
+    """One row per input row: key, id, keep_id, group_size, kept.
+
+    docs and key are what common.keyed() gives.
     """
     norm = normalised(F.col(text_col))
-    n, p = F.octet_length(norm).cast("long"), F.xxhash64(F.substring(norm, 1, prefix))
-    full = F.sha2(norm, 256)
-    first = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), p.alias("p"), (full if digest_all else F.lit(None).cast("string")).alias("sha"))
-    rows = settle(first.select(F.monotonically_increasing_id().alias("rid"), "*"), "exact")
-
-    by_length = rows.groupBy("n").count().where("count > 1").select("n")
-    same_length = rows.join(by_length, "n", "left_semi")
-    by_prefix = settle(same_length.groupBy("n", "p").count().where("count > 1").select("n", "p"), "exact-prefix")
-    if not digest_all:
-        # The second scan reads whole texts of surviving groups only.
-        again = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), p.alias("p"), norm.alias("_t"))
-        few = by_prefix.count() <= BROADCAST_ROWS
-        hashed = again.join(F.broadcast(by_prefix) if few else by_prefix, ["n", "p"], "left_semi").select("doc_id", "n", "p", F.sha2("_t", 256).alias("sha"))
-        alone = rows.join(by_prefix, ["n", "p"], "left_anti").select("doc_id", "n", "p", "sha")
-        rows = settle(hashed.unionByName(alone).select(F.monotonically_increasing_id().alias("rid"), "*"), "exact-full")
-    candidates = rows.join(by_prefix, ["n", "p"], "left_semi")
-    groups = (
-        candidates.groupBy("n", "sha")
-        .agg(F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))).alias("first"))
-        .where("c > 1 and sha is not null")
-    )
-    joined = rows.join(groups, ["n", "sha"], "left")
-    return joined.select(
-        "doc_id",
-        F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first.id")).alias("keep_id"),
-        F.coalesce("c", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("first.rid") == F.col("rid"), F.lit(True)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
-
-
-def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in dropped (one column of ids).
-
-    The ids are broadcast only up to BROADCAST_ROWS; beyond that both sides are shuffled.
-    """
-    ids = settle(dropped.select(F.col(dropped.columns[0]).alias("_drop")).where("_drop is not null").distinct(), "drop")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, F.col(id_col) == F.col("_drop"), "left_anti")
+    scan = docs.select(F.col(key).alias("key"), F.col(id_col).alias("id"), norm.alias("t"))
+    scan = scan.select("key", "id", F.octet_length("t").cast("long").alias("n"), F.xxhash64(F.substring("t", 1, prefix)).alias("p"), "t")
+    rows = settle(scan.drop("t", "key", "id"), "exact")
+    lengths = _shared(rows, "n")
+    prefixes = _shared(_with_bit(rows, lengths, "n").where("left"), "n", "p")
+    # The second scan hashes the full texts of surviving groups only; nothing of it is shuffled.
+    found = _with_bit(scan, prefixes, "n", "p").select("key", "id", F.when(F.col("left"), F.sha2("t", 256)).alias("sha"))
+    found = settle(found, "exact-full")
+    release(rows, lengths, prefixes)
+    first = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "key")).alias("first")
+    groups = settle(found.where("sha is not null").groupBy("sha").agg(F.count("*").alias("c"), first).where("c > 1"), "exact-groups")
+    columns = ("key", "id", F.coalesce(F.col("first.id"), "id").alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("first.key") == F.col("key"), F.lit(True)).alias("kept"))
+    alone = found.where("sha is null").select("key", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return join_groups(found.where("sha is not null"), groups, "sha", "c").select(*columns).unionByName(alone)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were.
-
-    An id that occurs more than once is told apart by its text; of its equal rows one stays.
-    """
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    found = settle(refine(docs, id_col, text_col, digest_all=True), "exact-found")
-    repeated = settle(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "exact-repeated")
-    once = drop_rows(docs, found.where("not kept").select("doc_id"), id_col)
-    if repeated.isEmpty():
-        return once
-    plain = drop_rows(docs, found.where("not kept").select("doc_id").union(repeated), id_col).where(F.col(id_col).isNotNull())
-    again = docs.withColumn("_sha", sha).join(repeated.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_keep"))
-    again = again.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_keep")), "left_semi")
-    one = again.groupBy("_sha", id_col).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*docs.columns)).alias("_row"))
-    return plain.unionByName(one.select("_row.*"))
+    """docs with one row of each group of equal texts, all columns as they were."""
+    rows, key = keyed(docs)
+    return drop_rows(rows, key, refine(rows, key, id_col, text_col).where("not kept").select("key"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from tidemill.llm.common import table
-
-    return refine(table(spark, sf_dir, "documents"), digest_all=True)
+    """The groups, and beside them each row's digest, which the refinement has no need of."""
+    docs, key = keyed(table(spark, sf_dir, "documents"))
+    digests = docs.select(F.col(key).alias("key"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    found = refine(docs, key).join(digests, "key")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = r"""

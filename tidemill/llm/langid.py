@@ -3,27 +3,30 @@
 Every learnable document adds its byte-trigram counts to its language. A document is then seen
 as a mixture: expectation-maximisation estimates the share of each language from the trigram
 likelihoods, and languages leave the mixture as long as the penalised likelihood gains by it.
-The predicted language is the one with the largest share left; the score is that share.
+The set that is left and its shares are the result; the predicted language is the one with the
+largest share, and the score is that share.
 
 Counts cover all learnable documents: partitions add up locally and only (language, bin, count)
-rows are shuffled. The model has languages x BINS numbers whatever the input's size.
-
-Defined cases: null text, empty text and text without a letter are `und` with score 0, as is
-every text when nothing can be learned; ties go to the language first in order; rows with a null
-language or a null id teach nothing; repeated rows count each; an empty table gives an empty
-table; other columns are ignored.
+rows are shuffled. The model has languages x BINS numbers whatever the number of documents, 64 KB
+for each language; the number of languages has no bound of its own.
+
+Defined cases: null text, empty text and text without a letter (str.isalpha) are `und` with score
+0 and no languages, as is every text when nothing can be learned; texts of any length are read
+whole; ties go to the language first in order; rows with a null language or a null id teach
+nothing; repeated rows count each; rows are kept or dropped by their own text whatever their id, a
+null id included; an empty table gives an empty table; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import held_out, learnable, map_rows, table
+from tidemill.llm.common import attach, fresh, held_out, learnable, map_rows, release, settle, table
 
 BINS = 1 << 14
 ROUNDS = 12
@@ -32,9 +35,6 @@ PENALTY = 6.0
 SMOOTH = 0.05
 #: Share of the predicted language below which the pipeline rejects a document.
 MIN_SHARE = 0.5
-MAX_LANGUAGES = 1000
-
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -57,9 +57,8 @@ class Model:
     def __init__(self, langs: list[str], table: np.ndarray, docs: np.ndarray):
         """table: counts, one row per language; docs: documents per language."""
         self.langs = langs
-        p = table + SMOOTH
+        p = (table + SMOOTH).astype(np.float32)
         self.p = np.ascontiguousarray((p / p.sum(1, keepdims=True)).T)  # bins x languages
-        self.logp = np.log(self.p)
         self.prior = np.log((docs + 1) / (docs + 1).sum())
 
     def mixture(self, p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -73,32 +72,36 @@ class Model:
                 break
         return pi, float(c @ np.log(p @ pi))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
+    def languages(self, text: str | None) -> list[tuple[str, float]]:
+        """The languages that the penalised likelihood selects, with their shares, largest first."""
+        if not text or not self.langs or not any(map(str.isalpha, text)):
+            return []
         full = counts(text)
         at = np.flatnonzero(full)
         c = full[at].astype(np.float64)
-        alone = c @ self.logp[at] + self.prior
-        one = int(np.argmax(alone))
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0
+        p = self.p[at].astype(np.float64)
+        # Of single languages the prior decides between near ties; it is no part of the likelihood.
+        alone = c @ np.log(p)
+        one = int(np.argmax(alone + self.prior))
         cost = PENALTY * np.log(c.sum() + 1)
-        best, shares, value = [one], np.ones(1), float(alone[one] - self.prior[one])
-        alive = list(range(len(self.langs)))
-        p = self.p[at]
+        best, shares, value = [one], np.ones(1), float(alone[one])
+        alive = np.arange(len(self.langs))
         while len(alive) > 1:
             pi, ll = self.mixture(p[:, alive], c)
             if ll - cost * (len(alive) - 1) > value:
-                best, shares, value = list(alive), pi, ll - cost * (len(alive) - 1)
+                best, shares, value = alive.tolist(), pi, ll - cost * (len(alive) - 1)
             elif ll - cost <= value:  # not even with one further language's cost
                 break
-            alive.pop(int(np.argmin(pi)))
-        top = int(np.argmax(shares))
-        if len(best) > 1:
-            return self.langs[best[top]], float(min(1.0, shares[top]))
-        rest = np.exp(np.clip((alone - alone[one]) / max(1.0, np.sqrt(c.sum())), -50, 0))
-        return self.langs[one], float(1 / rest.sum())
+            # Languages of under one trigram go together, else the weakest goes.
+            weak = pi * c.sum() < 1
+            alive = alive[~weak] if weak.any() and not weak.all() else np.delete(alive, int(np.argmin(pi)))
+        order = sorted(range(len(best)), key=lambda k: (-shares[k], best[k]))
+        return [(self.langs[best[k]], float(min(1.0, shares[k]))) for k in order]
+
+    def predict(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
+        """Language, score, all languages of the mixture and their shares."""
+        found = self.languages(text)
+        return (*found[0], [x for x, _ in found], [s for _, s in found]) if found else ("und", 0.0, [], [])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -119,38 +122,39 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield lang, b, int(s[b])
 
     rows = docs.where(learnable(id_col) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    sums = map_rows(rows, ["l", "t"], run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    per_lang = sums.where("bin = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).toPandas()
-    if len(per_lang) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = sums.where("bin >= 0").toPandas()
-    langs = sorted(per_lang["lang"])
+    sums = settle(map_rows(rows, ["l", "t"], run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "langid-counts")
+    found = sums.toPandas()  # languages x (BINS + 1) rows at most, whatever the number of documents
+    release(sums)
+    number = dict(zip(found["lang"][found["bin"] == -1], found["n"][found["bin"] == -1], strict=True))
+    found = found[found["bin"] >= 0]
+    langs = sorted(number)
     row = {x: i for i, x in enumerate(langs)}
     out = np.zeros((len(langs), BINS))
     out[found["lang"].map(row).to_numpy(int), found["bin"].to_numpy(int)] = found["n"].to_numpy(float)
-    number = dict(zip(per_lang["lang"], per_lang["n"], strict=True))
     return Model(langs, out, np.array([number[x] for x in langs], float))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score."""
+def _maker(docs: DataFrame, model: Model) -> Callable:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for i, held, text in rows:
-            yield i, held, *shared.value.predict(text)
+    def make() -> Callable[[list[tuple]], list[tuple]]:
+        return lambda rows: [shared.value.predict(text) for (text,) in rows]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
-    return map_rows(rows, ["id", "held", "text"], run, f"id {kind}, held_out boolean, lang_pred string, score double")
+    return make
 
 
-def keep_identified(docs: DataFrame, model: Model, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without rows that are `und` or of no language with min_share of the text."""
-    from tidemill.llm.exact import drop_rows
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, held_out, lang_pred, score, languages, shares."""
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return attach(rows, ["text"], _maker(docs, model), "lang_pred string, score double, languages array<string>, shares array<double>", less=("text",))
 
-    found = identify(docs, model, id_col, text_col)
-    return drop_rows(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < min_share)).select("id"), id_col)
+
+def keep_identified(docs: DataFrame, model: Model, min_share: float = MIN_SHARE, text_col: str = "text") -> DataFrame:
+    """docs without rows that are `und` or of no language with min_share of the text."""
+    lang, score, *_ = added = [fresh(docs, x) for x in ("lang_pred", "score", "languages", "shares")]
+    kinds = ("string", "double", "array<string>", "array<double>")
+    found = attach(docs, [text_col], _maker(docs, model), ", ".join(f"{a} {k}" for a, k in zip(added, kinds, strict=True)))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= min_share)).drop(*added)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

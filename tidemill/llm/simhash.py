@@ -2,19 +2,26 @@
 
 Fingerprints are made of word shingles. Distinct fingerprints are dealt into blocks such that
 any two within the radius share at least one block. Inside a block each fingerprint has a row of
-distances to reference fingerprints (the pivot table); a pair whose rows differ by more than the
-radius in any coordinate cannot link, and only survivors are compared. Links within a block
-leave as a star per component, and components of all stars are found by distributed rounds.
-
-Pivot tables discard pairs but give no equi-join key, so blocks come from bit bands: with 6
-bands and a radius of 4, two fingerprints that link agree on at least 2 whole bands, hence the
-15 pairs of bands are the block keys and no link is lost. Blocks over BLOCK_ROWS are dealt
-again into parts, and every two parts meet in one task.
+distances to reference fingerprints (the pivot table), and the block is sorted by the first of
+them: only fingerprints whose first distances differ by the radius at most are paired, a pair
+whose rows differ by more in any coordinate is discarded, and survivors are compared. Links
+within a block leave as a star per component, and components of all stars are found by
+distributed rounds.
+
+Pivot distances of random fingerprints lie close together and give no equi-join key, so blocks
+come from bit bands: with b bands and a radius of r, two fingerprints that link agree on at
+least b - r whole bands, hence the sets of b - r bands are the block keys and no link is lost.
+The number of bands follows from the number of fingerprints, so that a block holds few that
+don't belong together. Blocks over BLOCK_ROWS are dealt again into parts, and every two parts
+meet in one task.
 
 Defined cases: null or empty text has no words and fingerprint zero, which links like any other;
-fewer words than a shingle are one shingle; equal fingerprints link; repeated rows stay separate
-rows of one component; a null id never names a component unless all its ids are null; an empty
-table gives an empty table; other columns are ignored.
+fewer words than a shingle are one shingle; texts of any length are read whole; equal
+fingerprints link; repeated rows stay separate rows of one component; ids may be of any type that
+has an order; a null id never names a component unless all its ids are null; of a component the
+row with the smallest id is kept (of one id the row that stands first by row key), so repeated
+and null ids lose nothing; an empty table gives an empty table; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,21 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_rows, settle, table
+from tidemill.llm.common import attach, drop_rows, join_groups, keyed, release, settle, table
 from tidemill.llm.graph import components
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Bits of each band, from the lowest.
-BANDS = (11, 11, 11, 11, 10, 10)
+#: Fingerprints that one block may hold by chance, on average, before more bands are used.
+CHANCE_ROWS = 16
 #: Distinct fingerprints of a block that one task takes at most.
 BLOCK_ROWS = 8192
 #: Reference fingerprints of the pivot table.
 PIVOTS = 32
-#: Hot blocks that a broadcast may hold.
-BROADCAST_BLOCKS = 100_000
-
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
@@ -64,15 +68,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(ones.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
+def bands(n: int, radius: int = RADIUS) -> tuple[int, ...]:
+    """Bits of each band for n fingerprints: the fewest bands whose blocks hold CHANCE_ROWS by chance."""
+    for count in range(radius + 2, radius + 6):
+        out = tuple(64 // count + (i < 64 % count) for i in range(count))
+        if n <= CHANCE_ROWS << sum(out[radius:]):
+            break
+    return out
+
+
+def fingerprints(rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """rows with fp, the fingerprint as a signed long, in place of the text."""
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for i, text in rows:
-            fp = fingerprint(text, shingle, seed)
-            yield i, fp - (1 << 64) if fp >> 63 else fp
+    def make():
+        def signed(rows: list[tuple]) -> list[tuple]:
+            found = (fingerprint(text, shingle, seed) for (text,) in rows)
+            return [(fp - (1 << 64) if fp >> 63 else fp,) for fp in found]
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ["id", "text"], run, "id long, fp long")
+        return signed
+
+    return attach(rows, [text_col], make, "fp long", less=(text_col,))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -113,16 +128,19 @@ class Union:
             self.up[max(i, j)] = min(i, j)
 
 
-def link_small(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int, largest: int) -> Iterator[tuple[int, int]]:
-    """Links inside runs of equal keys, all runs being at most `largest` long."""
+def link_small(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Links inside runs of equal keys, which are sorted by the first pivot distance."""
     tab = pivot_table(fps, refs)
-    for gap in range(1, largest):
-        same = np.flatnonzero(keys[gap:] == keys[:-gap])
-        if not len(same):
+    order = np.lexsort((tab[0], keys))
+    keys, fps, tab = keys[order], fps[order], tab[:, order]
+    first = tab[0]
+    for gap in range(1, len(keys)):
+        near = np.flatnonzero((keys[gap:] == keys[:-gap]) & (first[gap:] - first[:-gap] <= radius))
+        if not len(near):
             return
-        alive = same[_survivors(tab[:, same], tab[:, same + gap], radius)]
-        near = alive[np.bitwise_count(fps[alive] ^ fps[alive + gap]) <= radius]
-        yield from zip(fps[near + gap].view(np.int64).tolist(), fps[near].view(np.int64).tolist(), strict=True)
+        alive = near[_survivors(tab[1:, near], tab[1:, near + gap], radius)]
+        alive = alive[np.bitwise_count(fps[alive] ^ fps[alive + gap]) <= radius]
+        yield from zip(fps[alive + gap].view(np.int64).tolist(), fps[alive].view(np.int64).tolist(), strict=True)
 
 
 def link_large(fps: np.ndarray, radius: int, own: int = 32) -> Iterator[tuple[int, int]]:
@@ -184,7 +202,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, n_pivots: int,
         size = np.repeat(sizes, sizes)
         some = (size > 1) & (size <= small)
         if some.any():
-            pairs += link_small(keys[some], fps[some], refs, radius, int(size[some].max()))
+            pairs += link_small(keys[some], fps[some], refs, radius)
         for s, n in zip(edge[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
             pairs += link_large(fps[s : s + n], radius)
         return out(list(dict.fromkeys(pairs)))
@@ -202,61 +220,59 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, n_pivots: int,
         yield done(keys, fps)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bands: tuple[int, ...] = BANDS, block_rows: int = BLOCK_ROWS, n_pivots: int = PIVOTS) -> DataFrame:
+def links(nodes: DataFrame, n: int | None = None, radius: int = RADIUS, block_rows: int = BLOCK_ROWS, n_pivots: int = PIVOTS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of nodes(fp), enough to join all that link."""
-    agree = len(bands) - radius
-    assert agree >= 1 and sum(bands) == 64
-    starts = [0, *accumulate(bands)]
-    sets = list(combinations(range(len(bands)), agree))
-    # A key packs the number of the set above the bits of its bands, which is exact, not a hash.
-    assert max(sum(bands[i] for i in s) for s in sets) <= 56
+    widths = bands(nodes.count() if n is None else n, radius)
+    starts = [0, *accumulate(widths)]
+    sets = list(combinations(range(len(widths)), len(widths) - radius))
 
     def key(n: int, chosen: tuple[int, ...]):
-        out, at = F.lit(n).cast("long"), 0
+        """The number of the set above the bits of its bands, which is exact, not a hash."""
+        out = F.lit(n).cast("long")
         for i in chosen:
-            bits = F.shiftrightunsigned(F.col("fp"), starts[i]).bitwiseAND(F.lit((1 << bands[i]) - 1).cast("long"))
-            out = F.shiftleft(out, bands[i]).bitwiseOR(bits)
-            at += bands[i]
+            bits = F.shiftrightunsigned(F.col("fp"), starts[i]).bitwiseAND(F.lit((1 << widths[i]) - 1).cast("long"))
+            out = F.shiftleft(out, widths[i]).bitwiseOR(bits)
         return out
 
     keyed = nodes.select("fp", F.explode(F.array(*[key(n, s) for n, s in enumerate(sets)])).alias("key"))
-    hot = settle(keyed.groupBy("key").count().where(F.col("count") > block_rows).select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("parts")), "simhash-hot")
-    n_hot = hot.count()
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= BROADCAST_BLOCKS else hot
-        cold = keyed.join(side, "key", "left_anti").select("key", "fp")
+    hot = settle(keyed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > block_rows), "simhash-hot")
+    if not hot.isEmpty():
+        both = join_groups(keyed, hot, "key", "c").withColumn("parts", F.coalesce(F.ceil(F.col("c") / block_rows), F.lit(1)).cast("int"))
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = keyed.join(side, "key").select("key", "fp", own.alias("own"), "parts")
-        dealt = dealt.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        parts = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-        keyed = cold.unionByName(parts)
-    else:
-        keyed = keyed.select("key", "fp")
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
+        dealt = both.select("key", "fp", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        keyed = dealt.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(part).alias("key"), "fp")
+    dealt = keyed.select("key", "fp").repartition("key").sortWithinPartitions("key")
     found = dealt.mapInArrow(lambda batches: _link_blocks(batches, radius, n_pivots), "a long, b long")
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per input row: id, fp (signed long), component_id (smallest id reachable)."""
-    rows = settle(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = settle(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
-    edges = settle(links(nodes.select("fp"), radius), "simhash-links")
+def near_duplicates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per input row: key, id, fp (signed long), component_id (smallest id reachable), kept.
+
+    docs and key are what common.keyed() gives; exactly one row of each component is kept.
+    """
+    slim = docs.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = settle(fingerprints(slim), "simhash")
+    first = F.struct(F.col("id").isNull().alias("nil"), "id", "key")
+    nodes = settle(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("c")), "simhash-nodes")
+    edges = settle(links(nodes.select("fp"), nodes.count(), radius), "simhash-links")
     member = settle(components(edges, "simhash-cc"), "simhash-members")
-    rooted = nodes.join(member, nodes.fp == member.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    rooted = settle(nodes.join(member, nodes.fp == member.node, "left").select("fp", "first", "c", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    release(edges, member, nodes)
+    lowest = settle(rooted.groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("fps")), "simhash-lowest")
+    named = settle(join_groups(rooted, lowest, "root", "fps").select("fp", "c", "low"), "simhash-named")
+    release(rooted, lowest)
+    joined = join_groups(rows, named, "fp", "c")
+    return joined.select("key", "id", "fp", F.col("low.id").alias("component_id"), (F.col("low.key") == F.col("key")).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with the smallest id of each component; rows with a null id stay."""
-    from tidemill.llm.exact import drop_rows
-
-    found = near_duplicates(docs, id_col, text_col, radius)
-    return drop_rows(docs, found.where("id <> component_id").select("id"), id_col)
+    """docs with one row of each component, all columns as they were."""
+    rows, key = keyed(docs)
+    return drop_rows(rows, key, near_duplicates(rows, key, id_col, text_col, radius).where("not kept").select("key"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(*keyed(table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
