@@ -1,11 +1,18 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, BPE."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, BPE.
+
+Defined cases: rows are kept or dropped by row, never by doc_id, so repeated and null ids lose
+nothing; null, empty and letterless texts are `und` and go in the first stage; very long texts are
+read whole by every stage; of equal texts and of near copies the row with the smallest doc_id
+stays, and of one doc_id the row that stands first; an empty table gives an empty table; further
+columns of documents pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import bpe, decontam, exact, langid, simhash
-from tidemill.llm.common import settle, table
+from tidemill.llm.common import release, scratch, settle, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            before, docs = docs, keep(settle(stage(spark, docs, sf_dir), name))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
