@@ -1,7 +1,10 @@
 import pytest
 
 from tests.oracle import connect, same
-from tidemill.plans import catalog, postings, registry, reviews, topics  # noqa: F401
+from tidemill import plans
+from tidemill.plans import registry
+
+plans.load()
 
 
 @pytest.fixture(scope="module")

@@ -1,12 +1,13 @@
-import json
+import html
 import random
+import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions import chunks, text
+from tidemill.functions import chunks, english, skills, text
 from tidemill.operators import history, labels, search
-from tidemill.sources import boards
 from tidemill.streaming import events
 
 
@@ -35,11 +36,110 @@ def test_hash_ignores_seniority_and_marks(spark):
     assert h("Senior Data Engineer II") == h("data engineer") != h("data scientist")
 
 
-def test_strip_html_and_sections():
-    assert chunks.strip_html_text("<p>a &amp;amp; b</p><script>x</script><ul><li>c<li>d</ul>") == "a & b\n\nc\nd"
-    got = chunks.sections("H", "\n".join(["x" * 500, "y" * 300, "z" * 2000, "t"]))
-    assert all(g.startswith("H\n") for g in got) and "".join(g[2:] for g in got).replace("\n", "") == "x" * 500 + "y" * 300 + "z" * 2000 + "t"
-    assert chunks.sections("H", None) == ["H"]
+CLEANED = {
+    "<p>a &amp;amp; b</p><script>x</script><ul><li>c<li>d</ul>": "a & b\n\nc\nd",
+    "<p>a</p> <p></p> b": "a\n\nb",
+    "a<br>b<br/>c": "a\nb\nc",
+    "<style>p{}</style>x  y\t z": "x y z",
+    "<b>no</b> <i>lines</i>": "no lines",
+    '<p title="a>b">x</p>': "x",
+    "<!-- c > d -->e &lt;b&gt;": "e <b>",
+    "plain < 3 and > 2": "plain < 3 and > 2",
+    "<a ": "<a",
+    "": "",
+    None: "",
+}
+
+
+class Plain(HTMLParser):
+    """The rules again, as a stream."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.deep = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.deep += tag in chunks.SILENT_ELEMENTS
+        self.parts += ["\n"] * (tag in chunks.LINE_ELEMENTS)
+
+    def handle_endtag(self, tag):
+        self.deep -= tag in chunks.SILENT_ELEMENTS and self.deep > 0
+        self.parts += ["\n"] * (tag in chunks.LINE_ELEMENTS)
+
+    def handle_data(self, data):
+        self.parts += [data] * (not self.deep)
+
+    def text(self):
+        out = re.sub("[ \t\r\f\v]+", " ", html.unescape("".join(self.parts)))
+        return "\n".join(x.strip() for x in re.sub(r"\n\s*\n\s*\n+", "\n\n", out).splitlines()).strip()
+
+
+def test_plain_text(spark, sf_dir):
+    assert {k: chunks.plain_text(k) for k in CLEANED} == CLEANED
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        p = Plain()
+        p.feed(r.html)
+        p.close()
+        assert chunks.plain_text(r.html) == p.text()
+    assert len(chunks.plain_text("<a " * 300_000)) > 0
+
+
+def brute_sections(head, body):
+    out, now = [], ""
+    for p in filter(None, (" ".join(x.split()) for x in re.split("\n+", body or ""))):
+        if len(now) + len(p) + 1 <= 900:
+            now = f"{now} {p}".strip()
+            continue
+        out += [now] if now else []
+        *whole, now = [p[i : i + 900] for i in range(0, len(p), 900)]
+        out += whole
+    out += [now] if now else []
+    if len(out) > 1 and len(out[-1]) < 120:
+        out[-2:] = [f"{out[-2]} {out[-1]}"]
+    return [f"{head}. {c}" for c in out] or [head]
+
+
+def test_sections(spark):
+    r = random.Random(2)
+    bodies = [None, "", " \n\n ", "x" * 500 + "\n" + "y" * 300 + "\n" + "z" * 2000 + "\nt", "a" * 900, "a" * 901, "a\nb", "see https://x.y/z\nnext"]
+    bodies += ["\n".join("w" * r.choice([1, 100, 119, 120, 400, 899, 900, 901, 1800, 1900]) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame([(b,) for b in bodies], "b string")
+    for row in df.select("b", chunks.chunks("section", F.lit("H"), F.col("b")).alias("c")).collect():
+        assert row.c == brute_sections("H", (row.b or "").replace("https://x.y/z", "")), row.b
+    assert df.select(chunks.chunks("whole", F.lit("H"), F.lit("b  c")).alias("c")).first().c == ["H. b c"]
+    with pytest.raises(ValueError, match="section, whole"):
+        chunks.chunks("x", F.lit("H"), F.lit("b"))
+
+
+SKILLED = {
+    "Python, SQL and AWS.": ["aws", "python", "sql"],
+    "excellent Excelência excel!": ["excel"],
+    "node.js and c++ or c#": ["c#", "c++"],
+    "c+++ and asp.net go": [],
+    "golang/no-sql my_sql": ["go", "sql"],
+    "A/B testing; CI/CD, scikit-learn": ["a/b testing", "ci/cd", "scikit-learn"],
+    "machine  learning": [],
+    "Machine Learning with large language models": ["llm", "machine learning"],
+    "the end is Java. Next": ["java"],
+    "java.util": [],
+    "rest apis": [],
+    None: [],
+}
+
+
+def test_skills(spark):
+    df = spark.createDataFrame([(k,) for k in SKILLED], "t string").select("t", skills.skills_in(F.col("t")).alias("s"))
+    assert {r.t: r.s for r in df.collect()} == SKILLED
+    assert len(skills.SKILLS) == 80
+
+
+STEMS = "consigned consign consistency consist conspicuous conspicu knackeries knackeri kneeling kneel generously generous happy happi cries cri ties tie gas gas running run engineers engin hoping hope hopped hop agreed agre feed feed relational relat vietnamization vietnam electricity electr adjustment adjust sky sky dying die say say communication communic beds bed analysis analysi learning learn".split()
+
+
+def test_english(spark):
+    assert [english.stem(w) for w in STEMS[::2]] == STEMS[1::2]
+    got = spark.createDataFrame([("The engineers were running, and AI's x-rays!",), (None,)], "t string").select(english.terms("t").alias("a")).collect()
+    assert [r.a for r in got] == [["engin", "run", "ai", "x", "ray"], []]
 
 
 def test_change_sequence(spark, tmp_path):
@@ -74,24 +174,6 @@ def test_rate_limit_equals_fold(spark):
         assert [got[u, x[1]] for x in own] == events.accepted([x[2] for x in own], 3, 20)
 
 
-def test_boards(spark):
-    gh = {"jobs": [{"id": 1, "title": " Data Engineer ", "location": {"name": "Pune"}, "content": "x", "updated_at": "2026-01-02T03:04:05Z"}, {"id": None, "title": "x"}, {"id": 3, "title": " "}]}
-    rok = [{"legal": "x"}, {"id": "7", "company": "C", "position": "P", "salary_min": 50000, "salary_max": 60000}, {"id": "8", "company": "C"}]
-    lv = [{"id": "a", "text": "T", "categories": {"location": "X", "allLocations": ["A", "", "B"]}, "description": "d", "lists": [{"text": "l", "content": "c"}], "createdAt": 1000}]
-    ab = {"jobs": [{"id": "a", "title": "T", "location": "A", "secondaryLocations": [{"location": "B"}], "isListed": True}, {"id": "b", "title": "U", "isListed": False}]}
-    hn = {"id": 1, "children": [{"id": 2, "text": "Acme | Engineer | Remote<p>more"}, {"id": 3, "text": "no header"}, {"id": 4, "text": None}]}
-    raw = lambda x: spark.createDataFrame([("co", json.dumps(x)), ("bad", "{")], "source_id string, payload string")
-    g = boards.get("greenhouse")(raw(gh)).collect()
-    assert [(r.source_id, r.title, r.location) for r in g] == [("co:1", "Data Engineer", "Pune")] and g[0].posted_at is not None
-    assert [(r.source_id, r.salary_raw) for r in boards.remoteok(raw(rok)).collect()] == [("7", "$50,000 - $60,000 per year")]
-    assert [(r.location, r.html) for r in boards.lever(raw(lv)).collect()] == [("A; B", "d\n<h3>l</h3>c")]
-    assert [(r.source_id, r.location) for r in boards.ashby(raw(ab)).collect()] == [("co:a", "A; B")]
-    assert [(r.company, r.title) for r in boards.thread(raw(hn)).collect()] == [("Acme", "Engineer")]
-    assert boards.audit(boards.greenhouse(raw(gh)), F.lit(True)).first().jobs_kept == 1
-    with pytest.raises(KeyError):
-        boards.get("x")
-
-
 def test_fusion_and_gold(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, key long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, key long, rank int")

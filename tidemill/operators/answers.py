@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import text
 from tidemill.operators import search
 
-#: How much of a document a scorer reads, its head and all.
-DOCUMENT_CHARS = 2000
+# What a scorer reads of a document, header and all, and of its body's head; the gate; sources and matches.
+DOCUMENT_CHARS, HEAD_CHARS = 2000, 1600
 MIN_SIMILARITY = 0.30
+DOCUMENTS = ("snippet", "head", "section")
 
 
 def overlap(query: Column, document: Column) -> Column:
@@ -30,6 +31,23 @@ def document(parts: list[Column], body: Column) -> Column:
     return F.substring(F.array_join(F.filter(F.array(*parts, body), lambda x: x != ""), ". "), 1, DOCUMENT_CHARS)
 
 
+def bodies(kind: str, hits: DataFrame, key: str, snippets: DataFrame | None = None, docs: DataFrame | None = None, chunks: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, body): what a scorer reads of each hit.
+
+    snippet: snippets(query_id, key, body) of the first stage; head: the first HEAD_CHARS of docs(key,
+    body); section: the chunk(key, content, embedding) nearest to the query's vector. Other kinds raise.
+    """
+    if kind == "snippet":
+        return hits.select("query_id", key).join(snippets, ["query_id", key], "left").select("query_id", key, "body")
+    if kind == "head":
+        return hits.select("query_id", key).join(docs.select(key, F.substring("body", 1, HEAD_CHARS).alias("body")), key, "left").select("query_id", key, "body")
+    if kind == "section":
+        near = hits.select("query_id", key).join(chunks.select(key, "content", "embedding"), key).join(queries.select("query_id", "vector"), "query_id")
+        best = F.max_by("content", F.struct(F.round(search.cosine(F.col("embedding"), F.col("vector")), 9), "content")).alias("body")
+        return near.groupBy("query_id", key).agg(best)
+    raise ValueError(f"unknown document {kind!r}; known: {', '.join(DOCUMENTS)}")
+
+
 def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, key: str, limit: int = 20, scorer: Callable[[Column, Column], Column] = overlap, alpha: float | None = None) -> DataFrame:
     """hits(query_id, key, score, rank) ordered again by the scorer over queries(query_id, text) and docs(key, document).
 
@@ -70,8 +88,26 @@ def profile_query(skills: Column, body: Column) -> Column:
 def matches(hits: DataFrame, profiles: DataFrame, docs: DataFrame, key: str, limit: int = 8) -> DataFrame:
     """Fit and gap of the hits of each profile: profiles(query_id, skills), docs(key, skills).
 
-    fit is the share of the document's skills that the profile has, null where it names none.
+    fit is the share of the document's skills that the profile has, null where it names none;
+    position orders a profile's matches by it, the best first.
     """
     j = hits.where(F.col("rank") <= limit).join(profiles.select("query_id", F.col("skills").alias("_has")), "query_id").join(docs.select(key, F.col("skills").alias("_wants")), key)
     fit = F.when(F.size("_wants") > 0, F.size(F.array_intersect("_wants", "_has")) / F.size("_wants"))
-    return j.select("query_id", key, "rank", fit.alias("fit"), F.array_sort(F.array_intersect("_wants", "_has")).alias("has"), F.array_sort(F.array_except("_wants", "_has")).alias("gap"))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(fit), "rank", key)
+    j = j.withColumn("position", F.row_number().over(w))
+    return j.select("query_id", key, "rank", "position", fit.alias("fit"), F.array_sort(F.array_intersect("_wants", "_has")).alias("has"), F.array_sort(F.array_except("_wants", "_has")).alias("gap"))
+
+
+def assembled(prompted: DataFrame, answers: DataFrame, refusal: str = "I don't know.") -> DataFrame:
+    """Answers with what they cite: prompted(query_id, sources) and answers(query_id, answer).
+
+    cited are the keys of the sources that the answer names by number; numbers beyond them are left
+    out and make it ungrounded. A question without sources, or an answer that cites nothing, is refused,
+    and one without sources gets the refusal as its answer.
+    """
+    j = prompted.join(answers, "query_id", "left").withColumn("sources", F.coalesce("sources", F.array()))
+    said = F.when(F.size("sources") == 0, F.lit(refusal)).otherwise(F.coalesce("answer", F.lit(refusal)))
+    j = j.withColumn("answer", said).withColumn("_n", text.citations(F.col("answer")))
+    valid = F.filter("_n", lambda n: (n >= 1) & (n <= F.size("sources")))
+    j = j.withColumn("_v", valid).withColumn("cited", F.transform("_v", lambda n: F.element_at("sources", n)))
+    return j.select("query_id", "answer", "cited", text.is_refusal(F.size("sources"), F.col("_n")).alias("refused"), ((F.size("_n") > 0) & (F.size("_n") == F.size("_v"))).alias("grounded"))

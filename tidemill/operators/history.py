@@ -48,7 +48,30 @@ def duplicate_excess(df: DataFrame, hash_col: str) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("excess"))
 
 
-def hash_pairs(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
-    """(low, high) ids of rows with equal hashes."""
-    a = df.select(F.col(id_col).alias("low"), F.col(hash_col).alias("_h"))
-    return a.join(a.withColumnRenamed("low", "high"), "_h").where("low < high").select("low", "high")
+def hash_groups(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
+    """(id, class_id, links) of rows whose hash another row has: the smallest id of them, and how many others there are.
+
+    The members of a group are never paired with each other; a null hash groups with nothing.
+    """
+    rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col), F.col(hash_col).alias("_h"))
+    groups = rows.groupBy("_h").agg(F.min(id_col).alias("class_id"), (F.count("*") - 1).alias("links")).where("links > 0")
+    return rows.join(groups, "_h").select(id_col, "class_id", "links")
+
+
+def pair_count(df: DataFrame, *keys: Column) -> DataFrame:
+    """(pairs): how many pairs of rows agree in all keys, counted by group; rows with a null key pair with nothing."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).dropna(subset=names)
+    return rows.groupBy(*names).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.expr("c * (c - 1) div 2")), F.lit(0)).alias("pairs"))
+
+
+def relation(df: DataFrame, keep: list[str], arrays: list[str], position: str = "position") -> DataFrame:
+    """Arrays of one row side by side as rows, with their position from 1; the shorter ones end in nulls."""
+    zipped = F.posexplode(F.arrays_zip(*arrays)).alias("_i", "_z")
+    return df.select(*keep, zipped).select(*keep, (F.col("_i") + 1).alias(position), *[F.col(f"_z.{a}").alias(a) for a in arrays])
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Rows whose key is in a list of ids, which is broadcast if it is no longer than `most`."""
+    own = ids.select(key).distinct()
+    return df.join(F.broadcast(own) if own.limit(most + 1).count() <= most else own, key, "left_semi")

@@ -101,11 +101,18 @@ def to_label(candidates: DataFrame, done: DataFrame, keys: list[str], limit: int
     return rest.limit(limit) if limit else rest
 
 
+#: Keys of a split that a fingerprint may be made of.
+FINGERPRINT_ROWS = 100_000
+
+
 def fingerprint(df: DataFrame, key: str, length: int = 12) -> DataFrame:
     """The first hex digits of sha256 of the keys in order, joined by bars.
 
-    Brings the keys into one row, so it is for evaluation splits; use digest for whole corpora.
+    The keys meet in one row, so this is for held-out splits and refuses more than FINGERPRINT_ROWS;
+    digest() is for whole corpora.
     """
+    if df.select(key).limit(FINGERPRINT_ROWS + 1).count() > FINGERPRINT_ROWS:
+        raise ValueError(f"a fingerprint is of at most {FINGERPRINT_ROWS} keys; use digest")
     return df.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "|"), 256), 1, length).alias("fingerprint"), F.count("*").alias("rows"))
 
 
@@ -127,3 +134,39 @@ def chat_rows(df: DataFrame, prompt: str, title: Column, description: Column, la
     answer = F.to_json(F.struct(F.array_sort(label).alias("skills")))
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return df.select(F.to_json(F.struct(F.array(turn("system", F.lit(prompt)), turn("user", text.render(title, description)), turn("assistant", answer)).alias("messages"))).alias("value"))
+
+
+def overlay(df: DataFrame, given: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """df with the label that given(keys, label) has for its key, in place of its own; rows without one go."""
+    return df.drop(label).join(given.select(*keys, label), keys)
+
+
+def without(df: DataFrame, held_out: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key isn't held out."""
+    return df.join(held_out.select(*keys), keys, "left_anti")
+
+
+def review_summary(df: DataFrame, teacher: str, rules: str, verified: Column) -> DataFrame:
+    """(examples, verified, agreed, disputed, teacher_only_mentions, rules_only_mentions)."""
+    t, r = F.size(F.array_except(teacher, rules)), F.size(F.array_except(rules, teacher))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return df.agg(F.count("*").alias("examples"), F.count_if(verified).alias("verified"), F.count_if(t + r == 0).alias("agreed"), F.count_if(t + r > 0).alias("disputed"), zero(t).alias("teacher_only_mentions"), zero(r).alias("rules_only_mentions"))
+
+
+def adjudication_summary(df: DataFrame, teacher: str, label: str, rules: str, taxonomy: Column) -> DataFrame:
+    """What adjudication did: examples, mean_labels, accepted terms beyond the taxonomy, and the teacher's terms it refused.
+
+    A refused term of the taxonomy was invented, for the rules would have found it; another one is not in the text.
+    """
+    known = lambda x: F.array_contains(taxonomy, F.lower(x))
+    refused = F.array_except(F.array_except(teacher, rules), label)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return df.agg(
+        F.count("*").alias("examples"), F.coalesce(F.bround(F.avg(F.size(label)), 2), F.lit(0.0)).alias("mean_labels"), zero(F.size(F.filter(label, lambda x: ~known(x)))).alias("accepted_off_taxonomy"),
+        zero(F.size(F.filter(refused, known))).alias("rejected_invented"), zero(F.size(F.filter(refused, lambda x: ~known(x)))).alias("rejected_not_in_text"),
+    )
+
+
+def second_pass(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """size rows for a second look, the same ones each time: those first in hash order."""
+    return df.orderBy(hash_order(seed, F.col(key)), key).limit(size)

@@ -26,7 +26,7 @@ def retrieval(hits: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10),
         F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"),
     )
     if counts is None:
-        w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "key")
+        w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "key")  # all grades of a query meet; give counts where they are many
         ideal = grades.withColumn("pos", F.row_number().over(w)).groupBy("query_id").agg(
             F.count_if(F.col("grade") > 0).alias("relevant"), *[F.sum(F.when(F.col("pos") <= k, gain("pos")).otherwise(0.0)).alias(f"ideal{k}") for k in ks]
         )
@@ -76,6 +76,34 @@ def set_scores(df: DataFrame, gold: str, found: str) -> DataFrame:
     return s.select(share("tp", "f").alias("precision"), share("tp", "g").alias("recall"), F.when(F.col("f") + F.col("g") > 0, 2.0 * F.col("tp") / (F.col("f") + F.col("g"))).otherwise(1.0).alias("micro_f1"), "macro_f1", "exact", "empty_share", (F.col("empty_share") >= 0.9).alias("collapsed"))
 
 
+def micro_f1(df: DataFrame, gold: str, found: str) -> DataFrame:
+    """(micro_f1) of pooled label sets; 0 if either side has no label at all."""
+    s = df.agg(F.sum(F.size(F.array_intersect(gold, found))).alias("tp"), F.sum(F.size(gold)).alias("g"), F.sum(F.size(found)).alias("f"))
+    return s.select(F.when((F.coalesce("g", F.lit(0)) > 0) & (F.coalesce("f", F.lit(0)) > 0), 2.0 * F.col("tp") / (F.col("g") + F.col("f"))).otherwise(0.0).alias("micro_f1"))
+
+
+def confusion(df: DataFrame, a: str, b: str, grades: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """(a, b, n): how often one rater gave a grade where the other gave one, every pair of grades once."""
+    grid = df.sparkSession.createDataFrame([(x, y) for x in grades for y in grades], "a int, b int")
+    cells = df.groupBy(F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    return F.broadcast(grid).join(cells, ["a", "b"], "left").fillna(0, ["n"])
+
+
+def evaluate(configs: dict[str, DataFrame], grades: DataFrame, latencies: DataFrame | None = None, ks: tuple[int, ...] = (5, 10), counts: DataFrame | None = None) -> DataFrame:
+    """(config, queries, metrics...): the mean metrics of each configuration's hits, and its p50 and p95 latency.
+
+    latencies(config, latency_ms) is one row a query.
+    """
+    out = None
+    for name, hits in configs.items():
+        own = retrieval(hits, grades, ks, counts).withColumn("config", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    metrics = means(out, ["config"]).join(out.groupBy("config").agg(F.count("*").alias("queries")), "config")
+    if latencies is not None:
+        metrics = metrics.join(nearest_rank(latencies, ["config"], "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}), "config", "left")
+    return metrics
+
+
 def gate(metrics: DataFrame, floors: DataFrame, baseline: DataFrame, drop: float = 0.05) -> DataFrame:
     """metrics(metric, value) against floors(metric, floor) and baseline(metric, was)."""
     j = metrics.join(floors, "metric", "left").join(baseline, "metric", "left")

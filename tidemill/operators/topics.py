@@ -7,7 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemill import storage
 from tidemill.functions import text
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
@@ -64,14 +66,19 @@ def keywords(docs: DataFrame, key: str, column: str, top: int = 10, **options) -
 def vectors(terms: DataFrame, key: str, max_features: int = 20_000) -> DataFrame:
     """(key, features) sparse vectors of (key, term, weight); terms are numbered in order.
 
-    Numbering runs in one task over the vocabulary, which max_features bounds.
+    Numbering runs in one task over the vocabulary, which max_features bounds. A sparse vector is
+    stored as a struct, so the structs are written and read back as vectors, which also spares the
+    many passes of a fit the work before.
     """
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
     numbered = terms.select("term").distinct().withColumn("_i", F.row_number().over(Window.orderBy("term")) - 1)
     rows = terms.join(F.broadcast(numbered) if max_features <= BROADCAST_TERMS else numbered, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "weight"))).alias("_p"))
-    build = F.udf(lambda p: Vectors.sparse(max_features, [(i, v) for i, v in p]), VectorUDT())
-    return rows.select(key, build("_p").alias("features"))
+    features = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max_features).alias("size"), F.transform("_p", lambda x: x["_i"].cast("int")).alias("indices"), F.transform("_p", lambda x: x["weight"].cast("double")).alias("values"))
+    out = rows.select(key, features.alias("features"))
+    at = storage.fresh_path(terms.sparkSession, "vectors")
+    out.write.parquet(at)
+    return terms.sparkSession.read.schema(T.StructType([out.schema[key], T.StructField("features", VectorUDT())])).parquet(at)
 
 
 def dense(rows: DataFrame, key: str, column: str) -> DataFrame:

@@ -9,16 +9,6 @@ from pyspark.sql import functions as F
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0)
 
 
-def skills_in(text: Column, taxonomy: dict[str, list[str]]) -> Column:
-    """Sorted names of the skills whose spellings stand in the text as whole words."""
-
-    def hit(words: list[str]) -> Column:
-        body = "|".join(w.replace("+", r"\+").replace(".", r"\.") for w in words)
-        return F.coalesce(text.rlike(rf"(?U)(?i)(?<![^\W_])(?:{body})(?![^\W_])"), F.lit(False))
-
-    return F.array_sort(F.array_compact(F.array(*[F.when(hit(w), F.lit(name)) for name, w in sorted(taxonomy.items())])))
-
-
 def skill_counts(df: DataFrame, skills: str) -> DataFrame:
     """Rows of each skill and their share of all rows, rows without skills included."""
     total = df.agg(F.count("*").alias("_n"))
@@ -50,17 +40,53 @@ def recent(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return df.where(F.col(ts).isNull() | (F.col(ts) >= now - F.expr(f"INTERVAL {days} DAYS")))
 
 
-def spend(calls: DataFrame) -> DataFrame:
-    """Calls, tokens, cost, latency, attempts and failures by day, feature and backend."""
-    return calls.groupBy(F.to_date("created_at").alias("day"), "feature", "backend").agg(
+def spend(calls: DataFrame, since: Column | None = None) -> DataFrame:
+    """Calls, tokens, cost, latency, attempts and failures by day, feature and backend, of calls after `since`.
+
+    Calls of which one token count is unknown add none to the tokens.
+    """
+    rows = calls if since is None else calls.where(F.col("created_at") > since)
+    return rows.groupBy(F.to_date("created_at").alias("day"), "feature", "backend").agg(
         F.count("*").alias("calls"),
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
         F.round(F.sum("cost_usd"), 4).alias("cost_usd"),
         F.round(F.avg("latency_ms")).alias("avg_ms"),
+        F.round(F.avg("attempts"), 2).alias("avg_attempts"),
         F.count_if(~F.col("ok")).alias("failures"),
     )
 
 
+def overspent(calls: DataFrame, limit: float) -> DataFrame:
+    """(day, spent, over): what each day cost, and whether that is more than the limit."""
+    return calls.groupBy(F.to_date("created_at").alias("day")).agg(F.round(F.sum("cost_usd"), 4).alias("spent")).withColumn("over", F.col("spent") > limit)
+
+
+def remote_share(df: DataFrame, remote: str) -> DataFrame:
+    """(remote_share): 0 for no rows."""
+    return df.agg(F.coalesce(F.avg(F.col(remote).cast("double")), F.lit(0.0)).alias("remote_share"))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of each value that isn't null, most frequent first."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def summary(df: DataFrame, ts: str, now: Column, source: str, remote: str, skills: str, cities: str, days: int = 90, top_skills: int = 15, top_cities: int = 10) -> DataFrame:
+    """One row: window_days, postings, sources (a map), remote_share, and the top skills and cities of recent rows.
+
+    Sources, skills and cities are few; each list is cut before it is gathered into the row.
+    """
+    rows = recent(df, ts, now, days)
+    line = lambda of, n, *cols: of.limit(n).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("l"))
+    of_skills = skill_counts(rows, skills).orderBy(F.desc("n"), "skill")
+    of_cities = demand(rows, cities, remote).orderBy(F.desc("postings"), "city")
+    out = rows.agg(F.count("*").alias("postings"), F.round(F.coalesce(F.avg(F.col(remote).cast("double")), F.lit(0.0)), 3).alias("remote_share"))
+    out = out.crossJoin(value_counts(rows, source).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("sources")))
+    out = out.crossJoin(line(of_skills, top_skills, (-F.col("n")).alias("o"), "skill", "n", "share").select(F.transform("l", lambda x: F.struct(x["skill"].alias("skill"), x["n"].alias("postings"), x["share"].alias("share"))).alias("top_skills")))
+    out = out.crossJoin(line(of_cities, top_cities, (-F.col("postings")).alias("o"), "city", "postings", "remote_share").select(F.transform("l", lambda x: F.struct(x["city"].alias("city"), x["postings"].alias("postings"), x["remote_share"].alias("remote_share"))).alias("top_regions")))
+    return out.withColumn("window_days", F.lit(days))
+
+
 def histogram(df: DataFrame, by: list[str], value: str, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
     """Cumulative counts: rows of at most each bound, and all rows under le = inf."""
     sums = [F.count_if(F.col(value) <= b).alias(f"_{i}") for i, b in enumerate(bounds)]

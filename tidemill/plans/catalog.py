@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import money, text
+from tidemill.functions import chunks, money, text
+from tidemill.functions.skills import SKILLS, skills_in
 from tidemill.operators import history, labels, measures, search, trends
 from tidemill.plans.registry import query, r6, t
+from tidemill.sources import boards
 
-TAXONOMY = {"the": ["the"], "and": ["and"], "of": ["of", "off"], "der": ["der", "die", "das"], "que": ["que"], "mit license": ["mit license"], "token": ["token"]}
+#: Frequent words of the shared documents, which name no skill, beside all skills.
+TAXONOMY = SKILLS | {"the": ["the"], "and": ["and"], "of": ["of", "off"], "der": ["der", "die", "das"], "que": ["que"], "mit license": ["mit license"], "token": ["token"]}
+_SPELLINGS = [w for words in TAXONOMY.values() for w in words]
+
+
+def pick(values: list, expr: str) -> str:
+    """SQL of both engines: the value at a number modulo their count."""
+    quoted = ["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"CASE ({expr}) % {len(values)} " + " ".join(f"WHEN {i} THEN {q}" for i, q in enumerate(quoted)) + " END"
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """The event table seen as a log of model calls."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return t(spark, d, "events").select("event_id", "user_id", F.col("ts").alias("created_at"), F.col("event_type").alias("feature"), (F.col("user_id") % 3).cast("long").alias("backend"), k.alias("prompt_tokens"), F.when(F.col("user_id") % 7 != 0, k * 2).alias("completion_tokens"), F.col("value").alias("cost_usd"), F.col("value").alias("latency_ms"), (F.col("event_type") != "error").alias("ok"))
+    return t(spark, d, "events").select("event_id", "user_id", F.col("ts").alias("created_at"), F.col("event_type").alias("feature"), (F.col("user_id") % 3).cast("long").alias("backend"), k.alias("prompt_tokens"), F.when(F.col("user_id") % 7 != 0, k * 2).alias("completion_tokens"), F.col("value").alias("cost_usd"), F.col("value").alias("latency_ms"), (F.col("event_type") != "error").alias("ok"), (F.col("user_id") % 3 + 1).alias("attempts"))
 
 
 CALLS = """calls AS (SELECT event_id, user_id, ts AS created_at, event_type AS feature, user_id % 3 AS backend,
   CAST(json_extract(props, '$.k') AS BIGINT) AS prompt_tokens,
   CASE WHEN user_id % 7 <> 0 THEN 2 * CAST(json_extract(props, '$.k') AS BIGINT) END AS completion_tokens,
-  value AS cost_usd, value AS latency_ms, event_type <> 'error' AS ok FROM events)"""
+  value AS cost_usd, value AS latency_ms, event_type <> 'error' AS ok, user_id % 3 + 1 AS attempts FROM events)"""
 
 
 @query("a1_stats_by_source", """SELECT source, count(*) AS postings, count(lang) AS with_lang, count(*) FILTER (n_chars > 1000) AS long_ones,
@@ -43,11 +53,10 @@ def _(spark, d):
 
 
 @query("a4_spend", f"""WITH {CALLS} SELECT CAST(created_at AS DATE) AS day, feature, backend, count(*) AS calls,
-  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 6) AS cost_usd, round(avg(latency_ms), 6) AS avg_ms,
-  count(*) FILTER (NOT ok) AS failures FROM calls GROUP BY ALL""")
+  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 4) AS cost_usd, round(avg(latency_ms)) AS avg_ms,
+  round(avg(attempts), 2) AS avg_attempts, count(*) FILTER (NOT ok) AS failures FROM calls GROUP BY ALL""")
 def _(spark, d):
-    c = calls(spark, d)
-    return trends.spend(c).drop("cost_usd", "avg_ms").join(c.groupBy(F.to_date("created_at").alias("day"), "feature", "backend").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.round(F.avg("latency_ms"), 6).alias("avg_ms")), ["day", "feature", "backend"])
+    return trends.spend(calls(spark, d))
 
 
 @query("a5_corpus_facts", "SELECT count(*) AS postings, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents")
@@ -61,11 +70,15 @@ def _(spark, d):
     return calls(spark, d).groupBy("feature").agg(F.count("*").alias("calls"), F.max_by("event_id", F.struct("created_at", "event_id")).alias("last_id"), F.max(F.when(F.col("ok"), F.col("created_at"))).alias("last_ok"))
 
 
-_SKILLS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS skill FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}])({'|'.join(w)})($|[^\\p{{L}}\\p{{N}}])')" for n, w in TAXONOMY.items())
+#: Each document with one spelling more, in another setting each time.
+_MENTION = f"text || {pick([' ', ' (', ' x.', ' +', '. '], 'doc_id')} || {pick(_SPELLINGS, 'doc_id // 5')} || {pick([' ', '. ', '.js ', '+ ', ''], 'doc_id // 3')}"
+_EDGE = (r"(^|^\.|[^\p{L}\p{N}+#.]|[^\p{L}\p{N}]\.)", r"($|\.$|\.[^\p{L}\p{N}]|[^\p{L}\p{N}+#.])")
+_SKILLS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS skill FROM (SELECT doc_id, lower({_MENTION}) AS text FROM documents) WHERE regexp_matches(text, '{_EDGE[0]}({'|'.join(w.replace('+', '[+]').replace('.', '[.]') for w in ws)}){_EDGE[1]}')" for n, ws in TAXONOMY.items())
 
 
 def tagged(spark, d):
-    return t(spark, d, "documents").select("doc_id", "lang", trends.skills_in(F.col("text"), TAXONOMY).alias("skills"))
+    own = F.expr(_MENTION.replace("doc_id // ", "doc_id div "))
+    return t(spark, d, "documents").select("doc_id", "lang", skills_in(own, TAXONOMY).alias("skills"))
 
 
 @query("t11_extract_skills", f"SELECT doc_id, coalesce(string_agg(skill, ',' ORDER BY skill), '') AS skills FROM documents LEFT JOIN ({_SKILLS}) USING (doc_id) GROUP BY doc_id")
@@ -165,9 +178,9 @@ def _(spark, d):
     return history.prune(t(spark, d, "lineitem"), alive, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("lines"))
 
 
-@query("j3_hash_pairs", "SELECT a.doc_id AS low, b.doc_id AS high FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id")
+@query("j3_hash_groups", """SELECT doc_id, class_id, links FROM (SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w - 1 AS links FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY md5(text))) WHERE links > 0""")
 def _(spark, d):
-    return history.hash_pairs(t(spark, d, "documents").select("doc_id", F.md5("text").alias("h")), "doc_id", "h")
+    return history.hash_groups(t(spark, d, "documents").select("doc_id", F.md5("text").alias("h")), "doc_id", "h")
 
 
 @query("j6_unindexed", "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
@@ -208,7 +221,7 @@ def asked(spark, d):
 _COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6)"
 _HITS = f"""v AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY
   list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON q.vec_id < 10 AND e.vec_id <> q.vec_id QUALIFY rank <= 40)"""
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 50)"""
 
 
 def hits(spark, d, limit=10):
@@ -220,23 +233,25 @@ def _(spark, d):
     return r6(hits(spark, d))
 
 
-@query("w2_best_chunk_per_posting", f"""WITH {_HITS} SELECT query_id, vec_id // 4 AS posting, max(score) AS score FROM v GROUP BY query_id, vec_id // 4
+@query("w2_best_chunk_per_posting", f"""WITH {_HITS} SELECT query_id, vec_id // 4 AS posting, max(score) AS score FROM v WHERE rank <= 40 GROUP BY query_id, vec_id // 4
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, vec_id // 4) <= 10""")
 def _(spark, d):
     return r6(search.best_per(hits(spark, d, 40), F.expr("vec_id div 4"), 10)).select("query_id", F.col("key").alias("posting"), "score")
 
 
-@query("j2_similar_pairs", """SELECT a.vec_id AS low, b.vec_id AS high, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
-  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label % 2 = b.label % 2 WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4""")
+@query("j2_similar_pairs", """WITH c AS (SELECT label % 2 AS g, embedding, min(vec_id) AS vec_id FROM embeddings GROUP BY ALL)
+  SELECT a.vec_id AS low, b.vec_id AS high, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+  FROM c a JOIN c b ON a.vec_id < b.vec_id AND a.g = b.g WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4
+  UNION ALL SELECT c.vec_id, e.vec_id, 1.0 FROM embeddings e JOIN c ON e.label % 2 = c.g AND e.embedding = c.embedding AND e.vec_id > c.vec_id""")
 def _(spark, d):
     return r6(search.similar_pairs(t(spark, d, "embeddings"), "vec_id", 0.4, F.col("label") % 2))
 
 
 _OWN = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _KW = f"""w AS (SELECT doc_id, unnest({_OWN.format('text')}) AS term FROM documents),
-  q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({_OWN.format('text')}, 1, 8)) AS term FROM benchmark),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest({_OWN.format('text')}) AS term FROM benchmark),
   k AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) * 0.5 AS score, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank
-    FROM w JOIN q USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 20)"""
+    FROM w JOIN q USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 50)"""
 
 
 def keyword_hits(spark, d, limit=20):
@@ -244,13 +259,13 @@ def keyword_hits(spark, d, limit=20):
     return search.keyword(search.posting_list(t(spark, d, "documents"), "doc_id", {"text": 0.5}), queries, "doc_id", limit)
 
 
-@query("r3_keyword_search", f"WITH {_KW} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM k")
+@query("r3_keyword_search", f"WITH {_KW} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 20")
 def _(spark, d):
     return r6(keyword_hits(spark, d))
 
 
-_LISTS = f"""{_KW}, {_HITS}, lists AS (SELECT query_id, doc_id AS id, rank, 0 AS n FROM k WHERE query_id < 10
-  UNION ALL SELECT query_id, vec_id, rank, 1 FROM v WHERE rank <= 20)"""
+_LISTS = f"""{_KW}, {_HITS}, lists AS (SELECT query_id, doc_id AS id, rank, 0 AS n FROM k WHERE query_id % 100 = 0
+  UNION ALL SELECT query_id, vec_id, rank, 1 FROM v)"""
 _FUSED = """f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS s, min((n, rank)) AS first FROM {0} GROUP BY ALL),
   fr AS (SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first, id) AS rank FROM f)"""
 
@@ -288,7 +303,7 @@ def _(spark, d):
 
 
 _GRADES = """g AS (SELECT q.vec_id AS query_id, e.vec_id, CASE WHEN e.label = q.label THEN 2 WHEN abs(e.label - q.label) = 1 THEN 1 ELSE 0 END AS grade
-  FROM embeddings q JOIN embeddings e ON q.vec_id < 10 AND e.vec_id <> q.vec_id)"""
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)"""
 _M = f"""WITH {_HITS}, {_GRADES}, j AS (SELECT * FROM v JOIN g USING (query_id, vec_id) WHERE rank <= 10),
   i AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS pos FROM g),
   n AS (SELECT query_id, count(*) FILTER (grade > 0) AS rel, {{ideal}} FROM i GROUP BY query_id),
@@ -346,12 +361,13 @@ def _(spark, d):
     return r6(measures.kappa(e, "a", "b", weighted=True))
 
 
-_SETS = """s AS (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (day(ts) <= 2), []) AS a, coalesce(list(DISTINCT event_type) FILTER (day(ts) BETWEEN 3 AND 4), []) AS b FROM events GROUP BY user_id)"""
+#: What two labellers saw of each user's day.
+_SETS = """s AS (SELECT user_id * 31 + day(ts) AS user_id, coalesce(list(DISTINCT event_type) FILTER (event_id % 3 <> 0), []) AS a, coalesce(list(DISTINCT event_type) FILTER (event_id % 2 = 0), []) AS b FROM events GROUP BY 1)"""
 
 
 def sets(spark, d):
-    day = F.dayofmonth("ts")
-    return t(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.when(day <= 2, F.col("event_type"))).alias("a"), F.collect_set(F.when(day.between(3, 4), F.col("event_type"))).alias("b"))
+    key = (F.col("user_id") * 31 + F.dayofmonth("ts")).alias("user_id")
+    return t(spark, d, "events").groupBy(key).agg(F.collect_set(F.when(F.col("event_id") % 3 != 0, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("b"))
 
 
 @query("a17_set_scores", f"""WITH {_SETS}, z AS (SELECT len(list_intersect(a, b)) AS tp, len(a) AS g, len(b) AS f FROM s)
@@ -405,12 +421,6 @@ def _(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(text.strip_noise(F.concat("text", F.lit(" see https://x.example/a b www.q.example")))).alias("clean"))
 
 
-@query("t3_normalise_location", """SELECT n_nationkey, 'Remote - ' || n_name || ' (Hybrid)' AS raw, n_name AS place FROM nation""")
-def _(spark, d):
-    raw = F.concat(F.lit("Remote - "), "n_name", F.lit(" (Hybrid)"))
-    return t(spark, d, "nation").select("n_nationkey", raw.alias("raw"), text.normalise_location(raw).alias("place"))
-
-
 @query("t5_content_hash", """SELECT c_custkey, sha256(trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) || '|nation ' || c_nationkey) AS hash FROM customer""")
 def _(spark, d):
     return t(spark, d, "customer").select("c_custkey", text.content_hash(F.concat(F.lit("Senior "), "c_mktsegment"), F.col("c_name"), F.concat(F.lit("Nation, "), F.col("c_nationkey").cast("string"))).alias("hash"))
@@ -426,12 +436,6 @@ def _(spark, d):
     return c.select("conv_id", "turn", F.array_join(cited.cast("array<string>"), ",").alias("cited"), text.is_grounded(cited, F.array(*map(F.lit, range(4)))).alias("grounded"))
 
 
-@query("p1_is_india", """SELECT c_custkey, c_custkey % 4 IN (0, 3) AS india FROM customer""")
-def _(spark, d):
-    place = F.element_at(F.array(*map(F.lit, ("Pune, Maharashtra", "Hyderabad, Pakistan", "Remote", "NEW DELHI"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return t(spark, d, "customer").select("c_custkey", text.is_india(place).alias("india"))
-
-
 @query("m12_annualise", """SELECT o_orderkey, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 2080 WHEN 1 THEN 260 WHEN 2 THEN 12 END AS yearly FROM orders""".replace("o_totalprice *", "round(o_totalprice, 0) *"))
 def _(spark, d):
     period = F.element_at(F.array(F.lit("hour"), F.lit("day"), F.lit("month"), F.lit(None).cast("string")), (F.col("o_orderkey") % 4 + 1).cast("int"))
@@ -444,41 +448,61 @@ def _(spark, d):
 
 
 @query("s4_fetch_until_enough", """WITH b AS (SELECT l_suppkey AS board, count(*) AS jobs, count(*) FILTER (l_returnflag = 'R') AS usable FROM lineitem GROUP BY 1)
-  SELECT board, jobs FROM b QUALIFY coalesce(sum(usable) OVER (ORDER BY board ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000""")
+  SELECT board, jobs, usable FROM b QUALIFY coalesce(sum(usable) OVER (ORDER BY board ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000""")
 def _(spark, d):
-    from pyspark.sql import Window
-
     b = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("board")).agg(F.count("*").alias("jobs"), F.count_if(F.col("l_returnflag") == "R").alias("usable"))
-    before = Window.orderBy("board").rowsBetween(Window.unboundedPreceding, -1)  # one row a board
-    return b.withColumn("_s", F.coalesce(F.sum("usable").over(before), F.lit(0))).where("_s < 1000").select("board", "jobs")
+    return boards.until_enough(b, 1000, "board")
 
 
 @query("u1_pair_set_comparison", """WITH a AS (SELECT low.doc_id AS l, high.doc_id AS h FROM documents low JOIN documents high ON md5(low.text) = md5(high.text) AND low.doc_id < high.doc_id),
   b AS (SELECT low.doc_id AS l, high.doc_id AS h FROM documents low JOIN documents high ON low.n_chars = high.n_chars AND low.source = high.source AND low.doc_id < high.doc_id)
   SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS in_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_hash, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_other""")
 def _(spark, d):
-    docs = t(spark, d, "documents")
-    a = history.hash_pairs(docs.select("doc_id", F.md5("text").alias("h")), "doc_id", "h").withColumn("a", F.lit(1))
-    b = history.hash_pairs(docs.select("doc_id", F.struct("n_chars", "source").alias("h")), "doc_id", "h").withColumn("b", F.lit(1))
-    j = a.join(b, ["low", "high"], "full")
-    return j.agg(F.count(F.when(F.col("a").isNotNull(), F.col("b"))).alias("in_both"), F.count_if(F.col("b").isNull()).alias("only_hash"), F.count_if(F.col("a").isNull()).alias("only_other"))
+    docs, same, like = t(spark, d, "documents"), F.md5("text"), F.struct("n_chars", "source")
+    like = F.when(F.col("n_chars").isNotNull() & F.col("source").isNotNull(), like)
+    counts = [history.pair_count(docs, *keys).withColumnRenamed("pairs", name) for name, keys in (("in_both", (same, like)), ("hash", (same,)), ("other", (like,)))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select("in_both", (F.col("hash") - F.col("in_both")).alias("only_hash"), (F.col("other") - F.col("in_both")).alias("only_other"))
+
 
+#: Tags, and the references that the shared pages use, replaced one by one: what stripping gives on them.
+_LINES = "p|br|div|li|tr|h[1-6]"
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?i)</?(?:{_LINES})\\b[^>]*>', chr(10), 'g'), '(?i)</?[a-z][^>]*>', '', 'g'), '<[!?][^>]*>', '', 'g')"
 
-@query("t1_strip_html")
+
+@query("t1_strip_html", f'''WITH b AS (SELECT page_id, {_DECODED.format(_DECODED.format(_BARE))} AS t FROM pages),
+  c AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\n(?:[ ]*\\n){{2,}}', chr(10) || chr(10), 'g') AS t FROM b)
+  SELECT page_id, md5(trim(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x)), chr(10)), chr(10) || ' ')) AS text FROM c''')
 def _(spark, d):
-    from tidemill.functions.chunks import strip_html
+    return t(spark, d, "pages").select("page_id", F.md5(chunks.strip_html("html")).alias("text"))
+
 
-    return t(spark, d, "pages").select("page_id", strip_html("html").alias("text"))
+_CLEANED = "trim(regexp_replace(regexp_replace({}, '(?i)https?://\\S+|\\bwww\\.\\S+', ' ', 'g'), '\\s+', ' ', 'g'))"
+#: Paragraphs packed one after the other: a chunk that is done leaves, an open one goes on.
+_PACKED = f'''p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n+'), lambda x: {_CLEANED.format('x')}), lambda x: x <> '') AS ps FROM documents),
+  r AS (SELECT doc_id, ps, 1 AS i, '' AS o, CAST([] AS VARCHAR[]) AS done FROM p UNION ALL
+    SELECT doc_id, ps, i + 1, CASE WHEN length(o) + length(ps[i]) + 1 <= 900 THEN CASE WHEN o = '' THEN ps[i] ELSE o || ' ' || ps[i] END ELSE substr(ps[i], (length(ps[i]) - 1) // 900 * 900 + 1) END,
+      CASE WHEN length(o) + length(ps[i]) + 1 <= 900 THEN done ELSE done || CASE WHEN o = '' THEN CAST([] AS VARCHAR[]) ELSE [o] END || list_transform(range((length(ps[i]) - 1) // 900), lambda k: substr(ps[i], CAST(k * 900 + 1 AS BIGINT), 900)) END
+    FROM r WHERE i <= len(ps)),
+  e AS (SELECT doc_id, done || CASE WHEN o = '' THEN CAST([] AS VARCHAR[]) ELSE [o] END AS c FROM r WHERE i = len(ps) + 1),
+  m AS (SELECT doc_id, CASE WHEN len(c) > 1 AND length(c[-1]) < 120 THEN c[1:-3] || [c[-2] || ' ' || c[-1]] ELSE c END AS c FROM e)'''
 
 
-@query("t9_chunk_sections")
+@query("t9_chunk_sections", f'''WITH RECURSIVE {_PACKED}, h AS (SELECT m.doc_id, source || ' at ' || coalesce(lang, '?') AS head, c FROM m JOIN documents USING (doc_id))
+  SELECT doc_id, CAST(unnest(range(greatest(len(c), 1))) AS INT) AS chunk_index, md5(unnest(CASE WHEN len(c) = 0 THEN [head] ELSE list_transform(c, lambda x: head || '. ' || x) END)) AS content FROM h''')
 def _(spark, d):
-    from tidemill.functions.chunks import chunk_sections
+    head = text.header(F.col("source"), F.coalesce("lang", F.lit("?")), F.lit(None).cast("string"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(chunks.sections(head, F.col("text"))).alias("chunk_index", "content")).withColumn("content", F.md5("content"))
+
 
-    return t(spark, d, "documents").select("doc_id", F.posexplode(chunk_sections(F.col("source"), F.col("text"))).alias("chunk_index", "content"))
+#: A call is accepted if the last but one accepted call is over a day old; one step a call of each caller.
+_FOLD = '''e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT user_id, event_id, n, true AS accepted, us AS last, CAST(NULL AS BIGINT) AS before FROM e WHERE n = 1 UNION ALL
+    SELECT e.user_id, e.event_id, e.n, before IS NULL OR us - before > 86400000000, CASE WHEN before IS NULL OR us - before > 86400000000 THEN us ELSE last END,
+      CASE WHEN before IS NULL OR us - before > 86400000000 THEN last ELSE before END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)'''
 
 
-@query("g1_rate_limit")
+@query("g1_rate_limit", f"WITH RECURSIVE {_FOLD} SELECT user_id, event_id, accepted FROM r")
 def _(spark, d):
     from tidemill.streaming.events import rate_limited
 

@@ -56,9 +56,10 @@ def _(spark, d):
     return labels.to_label(docs, t(spark, d, "labels"), ["doc_id"])
 
 
-@query("t32_split_fingerprint", "SELECT substr(sha256(string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR))), 1, 12) AS fingerprint, count(*) AS rows FROM labels")
+@query("t32_split_fingerprint", """WITH x AS (SELECT doc_id FROM labels ORDER BY md5('7' || doc_id), doc_id LIMIT 50)
+  SELECT substr(sha256(string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR))), 1, 12) AS fingerprint, count(*) AS rows FROM x""")
 def _(spark, d):
-    return labels.fingerprint(t(spark, d, "labels"), "doc_id")
+    return labels.fingerprint(labels.split(t(spark, d, "labels").select("doc_id"), "doc_id", 50, 7).where("part = 'test'"), "doc_id")
 
 
 @query("d13_chat_rows", "WITH " + _SETS + """ SELECT user_id, md5('{"messages":[{"role":"system","content":"List skills."},{"role":"user","content":"Title: t\\n\\n' || user_id || '"},{"role":"assistant","content":"{\\"skills\\":[' ||
@@ -123,6 +124,6 @@ def _(spark, d):
     return f.groupBy("event_type").agg(F.count_if(F.col("v") > 10).alias("broken"), F.count_if(F.col("firing")).alias("fired"))
 
 
-@query("g6_spend_alert", "SELECT CAST(ts AS DATE) AS day, round(sum(value), 4) AS spent, sum(value) > 1 AS over FROM events GROUP BY 1")
+@query("g6_spend_alert", "SELECT CAST(ts AS DATE) AS day, round(sum(value), 4) AS spent, round(sum(value), 4) > 1 AS over FROM events GROUP BY 1")
 def _(spark, d):
-    return calls(spark, d).groupBy(F.to_date("created_at").alias("day")).agg(F.round(F.sum("cost_usd"), 4).alias("spent"), (F.sum("cost_usd") > 1).alias("over"))
+    return trends.overspent(calls(spark, d), 1.0)

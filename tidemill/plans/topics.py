@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import answers, search, topics, trends
-from tidemill.plans.catalog import _KW, TAXONOMY, keyword_hits
+from tidemill.functions.skills import skills_in
+from tidemill.operators import answers, search, topics
+from tidemill.plans.catalog import _KW, _OWN, _SKILLS, TAXONOMY, keyword_hits, tagged
 from tidemill.plans.registry import query, r6, t
 
 STOP = ("the", "and", "der", "die", "que", "les")
@@ -46,16 +47,16 @@ def _(spark, d):
 def _(spark, d):
     terms = cluster_terms(spark, d)
     clusters = topics.cluster(topics.vectors(terms, "doc_id"), "doc_id")
-    skills = t(spark, d, "documents").select("doc_id", F.explode(trends.skills_in(F.col("text"), TAXONOMY)).alias("skill"))
+    skills = t(spark, d, "documents").select("doc_id", F.explode(skills_in(F.col("text"), TAXONOMY)).alias("skill"))
     return topics.describe(clusters, terms, skills, "doc_id")
 
 
-_ASKED = "list_distinct(list_slice(list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), 1, 8))"
+_ASKED = "list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 _READ = "list_filter(regexp_split_to_array(lower(substr(d.source || '. ' || d.text, 1, 2000)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 
 @query("r7_rerank", f"""WITH {_KW}, p AS (SELECT query_id, k.doc_id, CAST(k.rank AS INT) AS first_stage,
-    len(list_intersect({_ASKED}, {_READ})) / len({_ASKED}) AS s FROM k JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id))
+    len(list_intersect({_ASKED}, {_READ})) / len({_ASKED}) AS s FROM k JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE k.rank <= 20)
   SELECT query_id, doc_id, first_stage, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first_stage) AS INT) AS rank FROM p QUALIFY rank <= 10""")
 def _(spark, d):
     asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -64,7 +65,7 @@ def _(spark, d):
 
 
 @query("r14_prompts", f"""WITH {_KW}, s AS (SELECT query_id, k.rank, doc_id, '[' || k.rank || '] ' || coalesce(lang, '?') || ' at ' || source || chr(10) || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 900) AS b
-    FROM k JOIN documents USING (doc_id) WHERE k.rank <= 8 AND query_id IN (SELECT query_id FROM k WHERE score >= 2.0)),
+    FROM k JOIN documents USING (doc_id) WHERE k.rank <= 8 AND query_id IN (SELECT query_id FROM k WHERE k.rank <= 20 AND score >= 2.0)),
   p AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS b, string_agg(doc_id, ',' ORDER BY rank) AS sources, count(*) AS n FROM s GROUP BY query_id)
   SELECT item_id AS query_id, md5(p.b || chr(10) || chr(10) || 'Question: ' || text) AS prompt, sources, coalesce(n, 0) AS n_sources FROM benchmark LEFT JOIN p ON query_id = item_id""")
 def _(spark, d):
@@ -76,16 +77,21 @@ def _(spark, d):
     return p.select("query_id", F.md5("prompt").alias("prompt"), F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), "n_sources")
 
 
-_TYPES = """a AS (SELECT user_id, list(DISTINCT event_type) AS w FROM events WHERE day(ts) <= 3 GROUP BY user_id),
-  b AS (SELECT user_id, list(DISTINCT event_type) AS h FROM events WHERE day(ts) > 27 GROUP BY user_id)"""
+#: Profiles are the documents whose id is divisible by 100; they are asked by their skills.
+_ASKING = f"""sk AS ({_SKILLS}), own AS (SELECT doc_id, coalesce(list(skill ORDER BY skill) FILTER (skill IS NOT NULL), []) AS skills FROM documents LEFT JOIN sk USING (doc_id) GROUP BY doc_id),
+  p AS (SELECT doc_id AS query_id, skills, CASE WHEN len(skills) > 0 THEN array_to_string(skills[1:15], ' ') ELSE substr(text, 1, 400) END AS asked FROM own JOIN documents USING (doc_id) WHERE doc_id % 100 = 0),
+  w AS (SELECT doc_id, unnest({_OWN.format('text')}) AS term FROM documents), q AS (SELECT DISTINCT query_id, unnest({_OWN.format('asked')}) AS term FROM p),
+  k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank FROM w JOIN q USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 8),
+  m AS (SELECT query_id, k.doc_id, rank, own.skills AS wants, p.skills AS has FROM k JOIN own USING (doc_id) JOIN p USING (query_id)),
+  f AS (SELECT *, CASE WHEN len(wants) > 0 THEN len(list_intersect(wants, has)) / len(wants) END AS fit FROM m)"""
 
 
-@query("r15_profile_matches", f"""WITH {_TYPES} SELECT b.user_id AS query_id, a.user_id AS doc, round(len(list_intersect(w, h)) / len(w), 6) AS fit,
-  array_to_string(list_sort(list_filter(w, lambda x: NOT list_contains(h, x))), ',') AS gap FROM b JOIN a ON a.user_id % 20 = b.user_id % 20""")
+@query("r15_profile_matches", f"""WITH {_ASKING} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fit DESC NULLS LAST, rank, doc_id) AS INT) AS position, round(fit, 6) AS fit,
+  array_to_string(list_sort(list_filter(wants, lambda x: NOT list_contains(has, x))), ',') AS gap FROM f""")
 def _(spark, d):
-    e = t(spark, d, "events")
-    types = lambda c: e.where(c).groupBy("user_id").agg(F.collect_set("event_type").alias("skills"))
-    docs, profiles = types(F.dayofmonth("ts") <= 3), types(F.dayofmonth("ts") > 27)
-    pairs = profiles.select(F.col("user_id").alias("query_id"), (F.col("user_id") % 20).alias("g")).join(docs.select(F.col("user_id").alias("doc"), (F.col("user_id") % 20).alias("g")), "g").withColumn("rank", F.lit(1))
-    got = answers.matches(pairs, profiles.withColumnRenamed("user_id", "query_id"), docs.withColumnRenamed("user_id", "doc"), "doc")
-    return r6(got).select("query_id", "doc", "fit", F.array_join("gap", ",").alias("gap"))
+    skilled = tagged(spark, d).select("doc_id", "skills")
+    profiles = skilled.where("doc_id % 100 = 0").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    asked = profiles.select(F.col("doc_id").alias("query_id"), "skills", answers.profile_query(F.col("skills"), F.col("text")).alias("text"))
+    hits = search.keyword(search.posting_list(t(spark, d, "documents"), "doc_id", {"text": 1.0}), asked, "doc_id", 8)
+    got = answers.matches(hits, asked, skilled, "doc_id")
+    return r6(got).select("query_id", "doc_id", "position", "fit", F.array_join("gap", ",").alias("gap"))

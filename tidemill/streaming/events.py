@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import history
+from tidemill.storage import exists
 
 LIMIT, SECONDS = 10, 60
 
@@ -21,19 +22,36 @@ def counts(events: DataFrame, ts: str, by: list[str], value: str, bounds: tuple[
     return out.select(F.col("w.start").alias("start"), *[c for c in out.columns if c != "w"])
 
 
+def changes(batch: DataFrame, latest: DataFrame, keys: list[str], hash_col: str, seq: str) -> DataFrame:
+    """Rows of a batch that differ from the one before them of the same key, in order of seq.
+
+    Before a key's first row stands what latest(keys, hash) has; a key that isn't there differs. Equal
+    rows in a row are one change, and a return to an earlier version is a change.
+    """
+    w = Window.partitionBy(*keys).orderBy(seq)
+    known = latest.select(*keys, F.col(hash_col).alias("_last"), F.lit(True).alias("_seen"))
+    rows = batch.join(known, keys, "left").withColumn("_n", F.row_number().over(w)).withColumn("_before", F.when(F.col("_n") == 1, F.col("_last")).otherwise(F.lag(hash_col).over(w)))
+    new = (F.col("_n") == 1) & F.col("_seen").isNull()
+    return rows.where(new | ~F.col(hash_col).eqNullSafe(F.col("_before"))).select(*batch.columns)
+
+
 def capture_changes(stream: DataFrame, path: str, keys: list[str], hash_col: str, seq: str, checkpoint: str):
-    """Appends to the table at path what differs from its latest row of the same key."""
-    schema = stream.schema
+    """Appends to the table at path what differs from its latest row of the same key.
+
+    Beside the table stands the latest hash of each key, which is all a batch is compared with. Both
+    are written under the number of the batch, so a batch that is run again writes the same again.
+    """
+    state = f"{path.rstrip('/')}_latest"
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.schema(schema).parquet(path)
-        except Exception as e:  # noqa: BLE001  the table does not exist before its first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = spark.createDataFrame([], schema)
-        history.changed(batch, stored, keys, hash_col, [F.col(seq)]).select(*schema.names).write.mode("append").parquet(path)
+        at = next((f"{state}/{n}" for n in range(epoch - 1, -1, -1) if exists(spark, f"{state}/{n}/_SUCCESS")), None)
+        latest = spark.read.parquet(at) if at else batch.select(*keys, hash_col).limit(0)
+        batch = batch.persist()
+        changes(batch, latest, keys, hash_col, seq).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        last = batch.groupBy(*keys).agg(F.max_by(hash_col, seq).alias(hash_col))
+        latest.join(last, keys, "left_anti").unionByName(last).write.mode("overwrite").parquet(f"{state}/{epoch}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -70,3 +88,15 @@ def rate_limited(events: DataFrame, by: str, ts: str, order: str, limit: int = L
             yield pd.DataFrame({by: pdf[by], order: pdf[order], "accepted": out})
 
     return rows.mapInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, accepted boolean")
+
+
+def cache_hits(events: DataFrame, by: str, ts: str, order: str, seconds: float = 300) -> DataFrame:
+    """(by, order, hit): whether a key's answer was still cached; one that wasn't is stored anew for so many seconds."""
+    return rate_limited(events, by, ts, order, 1, seconds).select(by, order, (~F.col("accepted")).alias("hit"))
+
+
+def route(path: Column, templates: Sequence[str], none: str = "unmatched") -> Column:
+    """The template that a path matches, {name} standing for one part of it; the first of several."""
+    plain = F.regexp_replace(path, r"[?#].*$", "")
+    pattern = lambda t: "^" + re.sub(r"\\\{[^}]*\\\}", "[^/]+", re.escape(t)) + "$"
+    return F.coalesce(*[F.when(plain.rlike(pattern(t)), F.lit(t)) for t in templates], F.lit(none))
