@@ -1,6 +1,8 @@
 """Language ID, quality, HTML and secrets: held-out results, defined cases, rules against brute force."""
 
 import hashlib
+import html
+import os
 import random
 import re
 import zlib
@@ -67,6 +69,30 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert np.mean([p > n for p in pos for n in neg]) > 0.8
 
 
+def test_quality_contexts_equal_brute_force(spark, monkeypatch):
+    texts = ["a b c a! B 7", None, "", "x " * 30 + "a b", "one", " ".join(f"w{i % 7}" for i in range(100))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    index, want, tokens = quality.index_vectors(), np.zeros((quality.ROWS, quality.DIM)), quality.Tokens()
+    for t in texts:
+        for stream in tokens.rows(t):
+            for i in range(len(stream)):
+                for j in range(max(0, i - quality.WINDOW), min(len(stream), i + quality.WINDOW + 1)):
+                    if i != j:
+                        want[stream[i]] += index[stream[j]]
+    assert np.array_equal(quality.context_sums(docs), want)
+    for together in (3, 10, 64):
+        monkeypatch.setattr(quality, "TOGETHER", together)
+        sums = quality.Contexts()
+        for t in texts:
+            for stream in tokens.rows(t):
+                sums.add(stream)
+        assert np.array_equal(sums.table(), want)
+
+
+def test_quality_reads_whole_shapes():
+    assert quality.shape("a1b2c3d4!!!!!!") == "a9a9a9a9!!!!!!" and quality.shape("ABc") == "Aa"
+
+
 def test_quality_defined_cases(spark):
     docs = odd_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -131,6 +157,45 @@ def test_html_table(spark, sf_dir):
     assert htmltext.extract(pages.where("false"), htmltext.train(60, 1)).count() == 0
 
 
+def test_hostile_pages_take_linear_time(labeller):
+    import time
+
+    for part in ("<a ", '<a b="', "<a b='>", "<div>x", "<!", "<!--", "</p>", "<p>y</q>", "<script>", "< ", "<a class=", "<b c='\">"):
+        page = part * (1_000_000 // len(part))
+        began = time.time()
+        htmltext.blocks(page)
+        assert time.time() - began < 8, part  # a quadratic scan would take hours
+    assert [b[0] for b in htmltext.blocks("<p>a <b x=\"1>2\">b</b> < c <i y='>'>d</i> e <u z=\"f>g")] == ["a b < c d e g"]
+    assert [b[0] for b in htmltext.blocks("<p>a<!-- x > y --><p>b<!-- open <p>c")] == ["a", "b"]
+    assert [b[0] for b in htmltext.blocks("<p>a <q")] == ["a <q"]
+
+
+def test_long_pages_in_parts(labeller):
+    r = np.random.default_rng(5)
+    found = [b for _ in range(30) for b in htmltext.blocks(htmltext.training_page(r)[0])]
+    whole = labeller.scores(htmltext.features(found)[:, None], np.ones((len(found), 1), bool))[:, 0]
+    for part in (7, 100, 10**6):
+        assert np.allclose(labeller.long_scores(found, part), whole, atol=1e-4)
+
+
+def test_html_on_the_pages_table(labeller, spark, sf_dir):
+    """The article's blocks, by a plain rule on the tags of these pages, against the labeller."""
+    rows = htmltext.query(spark, sf_dir).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+
+    def plain(page):
+        page = re.sub(r"(?is)<(script|style|title)\b.*?</\1>|<!--.*?-->", "", page)
+        page = re.sub(r"(?is)<(nav|footer|header|aside|form)\b.*?</\1>", "", page)
+        page = re.sub(r'(?is)<(div|section|ul|ol|p) (?:class|id)="[^"]*(?:ad|cookie|comment|menu|nav|side|share|footer|banner|promo|related|notice)[^"]*">.*?</\1>', "", page)
+        return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", page)).split())
+
+    same = [" ".join(r.text.split()) == plain(pages[r.page_id]) for r in rows if pages[r.page_id]]
+    print("pages that agree with the rule", np.mean(same), len(same))
+    assert all(r.n_chars == len(r.text) for r in rows)
+    assert np.mean(same) > 0.9
+
+
 @pytest.fixture(scope="module")
 def net():
     return secrets.train()
@@ -182,6 +247,23 @@ def test_network_gradients():
         assert (high - low) / 2e-5 == pytest.approx(g[k][at], rel=1e-2)
 
 
+def test_network_finds_the_base_findings_of_documents(net, spark, sf_dir):
+    """The rules label findings that no generator of the training made: the network alone must find them."""
+    docs = spark.read.parquet(f"{os.path.dirname(sf_dir)}/sf0.01/documents.parquet")
+    x, hits, texts = [], 0, [r.text or "" for r in docs.select("text").collect()]
+    for t in texts:
+        base = secrets.base_spans(t)
+        for start, kind, end in base:
+            if kind == 0:  # the value after the word
+                start = secrets.ASSIGN.match(t, start).start(2)
+            if end - start >= 16:
+                x.append(secrets.codes(t, start, end))
+        hits += len(secrets.scan_many(net, [t])[0]) - len(base)
+    found = net.probability(np.stack(x)) >= net.threshold
+    print("recall on base findings", found.mean(), len(found), "other findings", hits, "in", len(texts))
+    assert found.mean() >= 0.9
+
+
 def test_secret_table(spark, net):
     t = 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y sk_live_9aZk3LmQ8vTr2XyB7cWd1'
     docs = odd_docs(spark).select("doc_id", "text", "kept", "id").union(spark.createDataFrame([(99, t, 1, "i")], "doc_id long, text string, kept int, id string"))

@@ -15,7 +15,7 @@ def labeller():
 
 
 def test_long_blocks_have_words():
-    a, b = (htmltext.features([(t, ("div", "p"), 0.0)])[0] for t in (LEAD, " ".join(["cookies"] * len(LEAD.split()))))
+    a, b = (htmltext.features([(t, (1, ("div", "p")), 0.0)])[0] for t in (LEAD, " ".join(["cookies"] * len(LEAD.split()))))
     own = slice(htmltext.PATH_DIM, htmltext.PATH_DIM + htmltext.WORD_DIM)
     assert a[own].any() and b[own].any() and not np.allclose(a[own], b[own])
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemill.storage import release, scratch, settle, shared_dir  # noqa: F401
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
 #: Bytes of an Arrow batch on its way to a Python worker, where the session sets no bound of its own.
@@ -25,82 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where it is unset, a folder of this machine is set in its place if driver and executors are
-    one process (tests); on a cluster a folder of one machine would lose rows, so that raises.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-#: Settled tables that still stand, with their sessions, and the open scopes that own some of them.
-_TABLES: dict[str, SparkSession] = {}
-_SCOPES: list[list[str]] = []
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back, which cuts the lineage.
-
-    A lost executor costs the tasks that read this table, not the stages before it. The table
-    goes when it is released, when the scratch scope around it ends, or when the process ends.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tidemill-{label}-{uuid.uuid4().hex}"
-    _TABLES[at] = spark
-    if _SCOPES:
-        _SCOPES[-1].append(at)
-    df.write.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._settled_at = at
-    return out
-
-
-def _delete(at: str) -> None:
-    spark = _TABLES.pop(at, None)
-    if spark is not None and spark._jvm is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes settled tables that nothing will read again."""
-    for df in tables:
-        if at := getattr(df, "_settled_at", None):
-            _delete(at)
-
-
-@contextlib.contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables settled inside are deleted at the end, save those handed to the yielded function."""
-    own: list[str] = []
-    _SCOPES.append(own)
-
-    def keep(df: DataFrame) -> DataFrame:
-        own.remove(df._settled_at)
-        return df
-
-    try:
-        yield keep
-    finally:
-        _SCOPES.remove(own)
-        for at in own:
-            _delete(at)
-
-
-@atexit.register
-def _clear() -> None:
-    for at in list(_TABLES):
-        with contextlib.suppress(Exception):  # the session may be gone before
-            _delete(at)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

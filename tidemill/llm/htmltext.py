@@ -8,9 +8,11 @@ layouts (seeded, of fixed size); nothing is learned from the pages that are extr
 
 Defined cases: null or empty html, and pages without main blocks, give an empty text; unclosed,
 stray and nested tags are taken as browsers do in outline (a block tag ends an open p; an end
-tag closes what is open inside); scripts, styles, comments and head contents are never blocks;
-very long pages are read whole; repeated rows are extracted each; an empty table gives an empty
-table; other columns are ignored.
+tag closes what is open inside); a quote opens an attribute's value only after an equals sign and
+if it is closed somewhere; a tag that never ends is text; scripts, styles, comments and head
+contents are never blocks; very long pages are read whole, in time that grows in proportion, and
+labelled in parts that hand their state on; a block whose score is exactly one half is main text;
+repeated rows are extracted each; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +34,12 @@ PATH_DIM, WORD_DIM, SCALARS, HIDDEN = 96, 256, 6, 16
 DIM = PATH_DIM + WORD_DIM + SCALARS
 TRAIN_PAGES, EPOCHS, BATCH, RATE = 700, 14, 32, 0.01
 #: Pages that are labelled together, and blocks that one such batch holds at most.
-TOGETHER, TOGETHER_BLOCKS = 64, 100_000
+TOGETHER, TOGETHER_BLOCKS = 64, 50_000
+#: Blocks of a longer page that are labelled at a time.
+PART = 4096
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?]")
+_BODY = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?|["'])*+""")
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -45,71 +50,136 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _END_RAW = {t: re.compile(rf"</{t}\s*>|</{t}\b|\Z", re.I) for t in _RAW}
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
+#: Hashed names of all open elements, as bits, and the innermost names.
+Path = tuple[int, tuple[str, ...]]
+
+
+class _Open:
+    """The open elements; a path costs the same at any depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.names: dict[str, int] = {}
+        self.buckets = [0] * PATH_DIM
+        self.bits = 0
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.stack.append((name, words))
+        self.names[name] = self.names.get(name, 0) + 1
+        for w in words:
+            k = _bucket(w, PATH_DIM)
+            self.buckets[k] += 1
+            self.bits |= 1 << k
+
+    def pop(self) -> str:
+        name, words = self.stack.pop()
+        self.names[name] -= 1
+        for w in words:
+            k = _bucket(w, PATH_DIM)
+            self.buckets[k] -= 1
+            if not self.buckets[k]:
+                self.bits &= ~(1 << k)
+        return name
+
+    def close(self, name: str) -> None:
+        """Closes the innermost element of a name and what is open inside; a stray end closes nothing."""
+        if self.names.get(name):
+            while self.pop() != name:
+                pass
+
+    def path(self) -> Path:
+        return self.bits, tuple(w for _, words in self.stack[-3:] for w in words)[-3:]
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of each tag; no name for comments and the like.
+
+    After a tag the caller may send the place to go on from. The scan never goes back, and
+    a tag that does not end by the last > is none.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    while (m := _OPEN.search(page, at)) is not None:
+        start, name, attrs = m.start(), None, ""
+        if m[0] == "<!--":
+            end = page.find("-->", start + 2) + 3
+            end = n if end < 3 else end
+        elif start > last:
+            at = page.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        else:
+            end = page.find(">", m.end())
+            if m[2] is not None:
+                if quotes and (page.find('"', m.end(), end) >= 0 or page.find("'", m.end(), end) >= 0):
+                    whole = _BODY.match(page, m.end()).end()
+                    quotes = whole < n  # else no tag from here on ends outside quotes, and quotes mean nothing
+                    end = whole if quotes else end
+                name, attrs = m[2].lower(), page[m.end() : end]
+            end += 1
+        at = (yield start, end, name, bool(m[1]), attrs) or end
+
+
+def blocks(page: str | None) -> list[tuple[str, Path, float]]:
     """(text, tag path, share of the text inside links) of each leaf block, in page order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
+    out: list[tuple[str, Path, float]] = []
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    elements = _Open()
     parts: list[str] = []
-    linked, in_link, inline = 0, 0, ""
+    linked, in_link, at = 0, False, 0
 
     def flush() -> None:
-        nonlocal linked, inline
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                path = tuple(w for _, words in stack for w in words)
-                out.append((text, path, min(1.0, linked / max(1, len(text)))))
+                out.append((text, elements.path(), min(1.0, linked / max(1, len(text)))))
             parts.clear()
         linked = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
+    def add(end: int) -> None:
+        nonlocal linked
         if end > at:
-            piece = page[at:end]
-            parts.append(piece)
+            parts.append(page[at:end])
             if in_link:
-                linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
+                linked += len(parts[-1].strip())
+
+    found = tags(page)
+    tag = next(found, None)
+    while tag is not None:
+        start, end, name, ends, attrs = tag
+        add(start)
+        at, skip = end, None
         if name == "br":
             parts.append(" ")
-            continue
-        if name in _INLINE:
-            if name == "a":
-                in_link = 0 if m[1] else 1
-            continue
-        if name in _RAW and not m[1]:
+        elif name == "a":
+            in_link = not ends
+        elif name in _RAW and not ends:
             if name != "title":
                 flush()
-            if not m[3].endswith("/"):
+            if not attrs.endswith("/"):
                 at = _END_RAW[name].search(page, at).end()
-                if page[at - 1 : at] != ">" and at < n:
-                    at = (page.find(">", at) + 1) or n
-            continue
-        flush()
-        in_link = 0
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            continue
-        if stack and (stack[-1][0] == "p" or stack[-1][0] == name == "li"):
-            stack.pop()
-        if name not in _VOID and not m[3].endswith("/"):
-            words = [name]
-            if m[3]:
-                for a in _ATTR.finditer(m[3]):
-                    words += [f".{w}" for w in _SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if w]
-            stack.append((name, tuple(words)))
+                if page[at - 1 : at] != ">" and at < len(page):
+                    at = (page.find(">", at) + 1) or len(page)
+                skip = at
+        elif name is not None and name not in _INLINE:
+            flush()
+            in_link = False
+            if ends:
+                elements.close(name)
+            else:
+                if elements.stack and (elements.stack[-1][0] == "p" or elements.stack[-1][0] == name == "li"):
+                    elements.pop()
+                if name not in _VOID and not attrs.endswith("/"):
+                    words = [name]
+                    for a in _ATTR.finditer(attrs):
+                        words += [f".{w}" for w in _SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if w]
+                    elements.push(name, tuple(words))
+        try:
+            tag = found.send(skip)
+        except StopIteration:
+            tag = None
+    add(len(page))
     flush()
     return out
 
@@ -120,12 +190,11 @@ def _bucket(word: str, size: int) -> int:
 
 
 @lru_cache(1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _path_vector(path: Path) -> np.ndarray:
     """Hashed tag-path vector: every name counts, the innermost ones again."""
-    v = np.zeros(PATH_DIM, np.float32)
-    for w in path:
-        v[_bucket(w, PATH_DIM)] = 1
-    for w in path[-3:]:
+    bits, inner = path
+    v = np.array([bits >> k & 1 for k in range(PATH_DIM)], np.float32)
+    for w in inner:
         v[_bucket(w + "<", PATH_DIM)] = 1
     return v
 
@@ -136,16 +205,17 @@ _SENTENCE_END = tuple(".!?…。\"”»")
 _MARKS = ".,;:!?…\"“”'()|"
 
 
-def features(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
-    n = len(found)
-    x = np.zeros((n, DIM), np.float32)
-    x[:, :PATH_DIM] = [_path_vector(path) for _, path, _ in found]
+def features(found: list[tuple[str, Path, float]], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Vectors of a page's blocks from start to stop."""
+    n, some = len(found), found[start:stop]
+    x = np.zeros((len(some), DIM), np.float32)
+    x[:, :PATH_DIM] = [_path_vector(path) for _, path, _ in some]
     tail = []
-    for i, (text, _, linked) in enumerate(found):
+    for i, (text, _, linked) in enumerate(some):
         words = text.count(" ") + 1
         for w in text.lower().split(" "):
             x[i, PATH_DIM + _bucket(w.strip(_MARKS), WORD_DIM)] += 1 / math.sqrt(words)
-        tail.append((math.log1p(words) / 4, linked, i / n, text.endswith(_SENTENCE_END), words > 8, math.log1p(n) / 5))
+        tail.append((math.log1p(words) / 4, linked, (start + i) / n, text.endswith(_SENTENCE_END), words > 8, math.log1p(n) / 5))
     x[:, PATH_DIM + WORD_DIM :] = tail
     return x
 
@@ -169,12 +239,15 @@ class Labeller:
             self.p[f"b{d}"] = bias
         self.p["v"], self.p["c"] = r.normal(0, 0.1, 2 * h), np.zeros(())
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, h); x is (time, batch, dim), mask (time, batch)."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, state: list[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states (time, batch, h); x is (time, batch, dim), mask (time, batch).
+
+        With a state the run starts there, leaves the state it ends in, and records no steps.
+        """
         p, hid = self.p, HIDDEN
         t, n, _ = x.shape
         pre = x @ p[f"w{d}"] + p[f"b{d}"]
-        h = c = np.zeros((n, hid), pre.dtype)
+        h, c = state or [np.zeros((n, hid), pre.dtype)] * 2
         out, steps = np.zeros((t, n, hid), pre.dtype), [None] * t
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = pre[k] + h @ p[f"u{d}"]
@@ -183,10 +256,13 @@ class Labeller:
             m = mask[k][:, None]
             new = f * c + i * a
             th = np.tanh(new)
-            steps[k] = (h, c, i, f, o, a, th, m)
+            if state is None:
+                steps[k] = (h, c, i, f, o, a, th, m)
             c = np.where(m, new, c)
             h = np.where(m, o * th, h)
             out[k] = h
+        if state is not None:
+            state[:] = h, c
         return out, steps
 
     def _back(self, x: np.ndarray, steps: list, grad: np.ndarray, d: str, grads: dict) -> None:
@@ -207,11 +283,25 @@ class Labeller:
         grads[f"w{d}"] = np.einsum("tnd,tng->dg", x, dz, optimize=True)
         grads[f"u{d}"], grads[f"b{d}"] = du, dz.sum((0, 1))
 
+    def _start(self, n: int) -> list[np.ndarray]:
+        return [np.zeros((n, HIDDEN), self.p["v"].dtype)] * 2
+
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        f, _ = self._run(x, mask, "f")
-        b, _ = self._run(x, mask, "b")
+        f, _ = self._run(x, mask, "f", self._start(x.shape[1]))
+        b, _ = self._run(x, mask, "b", self._start(x.shape[1]))
         return _sigmoid(np.concatenate([f, b], 2) @ self.p["v"] + self.p["c"])
 
+    def long_scores(self, found: list[tuple[str, Path, float]], part: int = PART) -> np.ndarray:
+        """Scores of one page of any length, read in parts from both ends."""
+        n = len(found)
+        z, starts = np.full(n, float(self.p["c"])), list(range(0, n, part))
+        for d, order, own in (("f", starts, self.p["v"][:HIDDEN]), ("b", starts[::-1], self.p["v"][HIDDEN:])):
+            state = self._start(1)
+            for s in order:
+                x = features(found, s, s + part)[:, None]
+                z[s : s + part] += self._run(x, np.ones(x.shape[:2], bool), d, state)[0][:, 0] @ own
+        return _sigmoid(z)
+
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 4) -> None:
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
@@ -394,14 +484,13 @@ def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> Lab
 
 def extract_many(model: Labeller, pages: list[str | None]) -> list[str]:
     found = [blocks(p) for p in pages]
-    some = [i for i, b in enumerate(found) if b]
-    out = [""] * len(pages)
+    kept: dict[int, np.ndarray] = {i: model.long_scores(b) >= 0.5 for i, b in enumerate(found) if len(b) > PART}
+    some = [i for i, b in enumerate(found) if b and i not in kept]
     some.sort(key=lambda i: len(found[i]))  # pages of like length share a batch
     for at in range(0, len(some), TOGETHER):
         part = some[at : at + TOGETHER]
-        for i, keep in zip(part, model.label([features(found[i]) for i in part]), strict=True):
-            out[i] = "\n".join(text for (text, _, _), k in zip(found[i], keep, strict=True) if k)
-    return out
+        kept |= zip(part, model.label([features(found[i]) for i in part]), strict=True)
+    return ["\n".join(text for (text, _, _), k in zip(b, kept.get(i, ()), strict=True) if k) for i, b in enumerate(found)]
 
 
 def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

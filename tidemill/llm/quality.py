@@ -1,30 +1,36 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Each word has a fixed sparse index vector made from its hash; its word vector is the sum of the
-index vectors of its neighbours in the fit sample. Words are lower-cased letters, and a second
+index vectors of its neighbours in all documents. Words are lower-cased letters, and a second
 stream holds the shapes of tokens (case, digits, marks, repetition), indexed the same way. A
 document is the mean vector of both streams. A two-layer numpy network scores it, and a
 temperature fitted on rows kept from training calibrates its probabilities.
 
-The fit reads at most FIT_ROWS labelled rows, those first by hash of their id, so it is bounded
-and the same on every run. The model has a fixed number of hashed word rows at any input size.
-
-Defined cases: null and empty texts have the zero vector and a score; rows with a null label or
-id teach nothing; repeated rows are scored each; with no or one label class the score is that
-class's share (0.5 without labels); an empty table gives an empty table; other columns are ignored.
+The context sums are whole numbers over the whole table: each partition adds up a table of fixed
+size, and the tables are added up by row. Only the network reads a sample: at most FIT_ROWS
+labelled rows, those first by hash of their id, so it is bounded and the same on every run; their
+pooled vectors reach the driver, no text does.
+
+Defined cases: null and empty texts have the zero vector and a score; texts of any length are read
+whole, their vectors added up in bounded parts; rows with a null label or id teach the network
+nothing; of an id with several labels the largest counts, and of its several texts the one first
+by hash; repeated rows are scored each; ties at the bound of FIT_ROWS go by id; with no or one
+label class the score is that class's share (0.5 without labels); an empty table gives an empty
+table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import held_out, learnable, map_rows, table
+from tidemill.llm.common import SLICE, attach, held_out, learnable, release, settle, table
 
 #: Labelled rows that the fit reads at most.
 FIT_ROWS = 8000
@@ -38,7 +44,7 @@ _RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 def shape(token: str) -> str:
-    """The token with each run of one kind written once: case, digits, marks as they are."""
+    """The token with each run of letters or digits written once, by case, and marks as they are."""
     out = []
     for run in _RUNS.findall(token):
         if run[0].isdigit():
@@ -46,20 +52,24 @@ def shape(token: str) -> str:
         elif run[0].isalpha():
             out.append("AA" if len(run) > 1 and run.isupper() else "Aa" if run[0].isupper() else "a")
         else:
-            out.append(run[:4])
-    return "".join(out[:4])
+            out.append(run)
+    return "".join(out)
 
 
 def _row(kind: str, word: str) -> int:
     return xxhash.xxh32_intdigest(f"{kind}{word}".encode("utf-8", "surrogatepass")) & (ROWS - 1)
 
 
-def index_vectors() -> np.ndarray:
-    """NONZERO entries of plus or minus one in each row, by a rule."""
+def index_entries() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the NONZERO entries of each row's index vector, by a rule."""
     r = np.random.default_rng(17)
+    return r.integers(0, DIM, (ROWS, NONZERO)), r.choice(np.array([-1, 1]), (ROWS, NONZERO))
+
+
+def index_vectors() -> np.ndarray:
+    places, signs = index_entries()
     out = np.zeros((ROWS, DIM), np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(ROWS), r.integers(0, DIM, ROWS)] += r.choice(np.array([-1, 1], np.float32), ROWS)
+    np.add.at(out, (np.arange(ROWS)[:, None], places), signs)
     return out
 
 
@@ -87,7 +97,7 @@ class Tokens:
     def rows(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         parts = (text or "").split()
         if len(self.seen) >= CACHE_ROWS:
-            self.seen = {}
+            self.seen, self.shapes = {}, {}
         seen = self.seen
         for p in set(parts).difference(seen):
             seen[p] = self.row(p)
@@ -99,6 +109,10 @@ class Tokens:
 AGAIN = _row("x", "again")
 
 
+def _mean(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return sum(vectors[rows[s : s + TOGETHER]].sum(0, dtype=np.float64) for s in range(0, len(rows), TOGETHER)) / len(rows)
+
+
 def pooled(words: np.ndarray, shapes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean word vector, mean shape vector with repetitions, and three bounded sizes."""
     n = len(words)
@@ -106,40 +120,83 @@ def pooled(words: np.ndarray, shapes: np.ndarray, vectors: np.ndarray) -> np.nda
         return np.zeros(2 * DIM + 3, np.float32)
     again = float(np.mean(words[1:] == words[:-1])) if n > 1 else 0.0
     distinct = len(np.unique(words)) / n
-    return np.r_[vectors[words].mean(0), vectors[shapes].mean(0) + again * vectors[AGAIN], again, distinct, np.log1p(n) / 10].astype(np.float32)
-
-
-def word_vectors(streams: list[np.ndarray]) -> np.ndarray:
-    """Context sums of the streams over WINDOW neighbours on each side, scaled to unit length."""
-    index, out = index_vectors(), np.zeros((ROWS, DIM), np.float64)
-    part: list[np.ndarray] = []
-    size = 0
-    for s in streams:
-        part += [s.astype(np.int64), np.full(WINDOW, -1)]
-        size += len(s)
-        if size >= TOGETHER:
-            _add_contexts(out, np.concatenate(part), index)
-            part, size = [], 0
-    if part:
-        _add_contexts(out, np.concatenate(part), index)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    mean = out.sum(0, keepdims=True) / max(1e-9, norm.sum())
-    out = np.where(norm > 0, out / np.maximum(norm, 1e-9) - mean, 0)
-    # A word keeps its own index vector beside its context; unseen words have that alone.
-    return (out + 0.5 * index / np.sqrt(NONZERO)).astype(np.float32)
+    return np.r_[_mean(vectors, words), _mean(vectors, shapes) + again * vectors[AGAIN], again, distinct, np.log1p(n) / 10].astype(np.float32)
 
 
-def _add_contexts(out: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None:
-    """Adds to each row the index vectors of its neighbours; a row below 0 parts documents."""
-    for gap in range(1, WINDOW + 1):
-        a, b = rows[:-gap], rows[gap:]
-        ok = (a >= 0) & (b >= 0)
-        a, b = a[ok], b[ok]
+class Contexts:
+    """Sums of the index vectors of all neighbours, for each row; whole numbers, so order is no matter."""
+
+    def __init__(self):
+        self.places, self.signs = index_entries()
+        self.sums = np.zeros(ROWS * DIM)
+        self.part: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, stream: np.ndarray) -> None:
+        for s in range(0, len(stream), TOGETHER):  # windows reach over the seams of a long stream
+            self.part += [stream[max(0, s - WINDOW) : s + TOGETHER], np.full(WINDOW, -1)]
+            self.size += len(self.part[-2])
+            if s:
+                self._seam(stream[s - WINDOW : s])
+            if self.size >= TOGETHER:
+                self.flush()
+
+    def _seam(self, again: np.ndarray) -> None:
+        """Takes back the pairs that lie in the words that two parts share."""
+        for gap in range(1, WINDOW):
+            self._pairs(again[:-gap], again[gap:], -1)
+
+    def flush(self) -> None:
+        if self.part:
+            rows = np.concatenate(self.part)
+            for gap in range(1, WINDOW + 1):
+                a, b = rows[:-gap], rows[gap:]
+                ok = (a >= 0) & (b >= 0)
+                self._pairs(a[ok], b[ok], 1)
+        self.part, self.size = [], 0
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray, sign: int) -> None:
         for x, y in ((a, b), (b, a)):
-            if len(x):
-                order = np.argsort(x, kind="stable")
-                at = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-                out[x[order][at]] += np.add.reduceat(index[y[order]], at, axis=0)
+            at = (x[:, None] * DIM + self.places[y]).ravel()
+            self.sums += sign * np.bincount(at, self.signs[y].ravel(), ROWS * DIM)
+
+    def table(self) -> np.ndarray:
+        self.flush()
+        return self.sums.reshape(ROWS, DIM).astype(np.int64)
+
+
+def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Context sums over all documents: ROWS x DIM whole numbers, whatever the number of documents."""
+    names = [f"d{i}" for i in range(DIM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sums = Tokens(), Contexts()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                for text in batch.column(0).slice(start, SLICE).to_pylist():
+                    for stream in tokens.rows(text):
+                        sums.add(stream)
+        own = sums.table()
+        some = np.flatnonzero(own.any(1))
+        columns = [pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(own[some, i])) for i in range(DIM))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", *names])
+
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "row int, " + ", ".join(f"{n} long" for n in names))
+    total = settle(parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]), "quality-contexts")
+    found = total.toPandas()  # ROWS rows at most
+    release(total)
+    out = np.zeros((ROWS, DIM))
+    out[found["row"].to_numpy(int)] = found[names].to_numpy(float)
+    return out
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """Context sums scaled to unit length, without what all have in common."""
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    mean = sums.sum(0, keepdims=True) / max(1e-9, norm.sum())
+    out = np.where(norm > 0, sums / np.maximum(norm, 1e-9) - mean, 0)
+    # A word keeps its own index vector beside its context; unseen words have that alone.
+    return (out + 0.5 * index_vectors() / np.sqrt(NONZERO)).astype(np.float32)
 
 
 class Model:
@@ -185,23 +242,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
+def _pooler(docs: DataFrame, vectors: np.ndarray) -> Callable:
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def make() -> Callable[[list[tuple]], list[tuple]]:
+        tokens = Tokens()
+        return lambda rows: [(pooled(*tokens.rows(text), shared.value).tolist(),) for (text,) in rows]
+
+    return make
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on at most fit_rows labelled rows that may be learned from."""
-    marks = labels.where(learnable(id_col) & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
-    marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(learnable("_id")).join(F.broadcast(marks), "_id")
-    tokens, streams, pairs, y = Tokens(), [], [], []
-    # fit_rows ids bound what comes to the driver; repeated rows of an id count once.
-    for _, text, mark in rows.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
-        w, s = (x.astype(np.uint16) for x in tokens.rows(text))
-        streams += [w, s]
-        pairs.append((w, s))
-        y.append(int(mark))
-    model = Model(word_vectors(streams))
-    if len(set(y)) < 2:
-        model.share = float(np.mean(y)) if y else 0.5
-        return model
-    model.fit(np.stack([pooled(w, s, model.vectors) for w, s in pairs]), np.array(y))
+    """Word vectors of all documents, and a network fitted on at most fit_rows labelled rows."""
+    marks = labels.where(learnable(id_col) & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
+    marks = settle(marks.orderBy(F.xxhash64("id"), "id").limit(fit_rows), "quality-marks")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where(learnable("id"))
+    model = Model(word_vectors(context_sums(docs, text_col)))
+    found = attach(rows.join(F.broadcast(marks), "id"), ["text"], _pooler(docs, model.vectors), "x array<double>", less=("text",))
+    found = found.groupBy("id", "y").agg(F.min(F.struct("h", "x")).alias("one")).orderBy(F.xxhash64("id"), "id").select("y", "one.x").collect()
+    release(marks)
+    y = np.array([int(r.y) for r in found])
+    if len(set(y.tolist())) < 2:
+        model.share = float(np.mean(y)) if len(y) else 0.5
+    else:
+        model.fit(np.array([r.x for r in found], np.float32), y)
     return model
 
 
@@ -209,14 +273,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per document: id, held_out, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def make() -> Callable[[list[tuple]], list[tuple]]:
         m, tokens = shared.value, Tokens()
-        for i, held, text in rows:
-            yield i, held, float(m.score(pooled(*tokens.rows(text), m.vectors)[None])[0])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
-    return map_rows(rows, ["id", "held", "text"], run, f"id {kind}, held_out boolean, score double")
+        def many(rows: list[tuple]) -> list[tuple]:
+            x = np.stack([pooled(*tokens.rows(text), m.vectors) for (text,) in rows])
+            return [(float(p),) for p in m.score(x)]
+
+        return many
+
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return attach(rows, ["text"], make, "score double", less=("text",))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,25 +4,26 @@ Base findings come from three patterns and always stay. What is left of a run of
 beside them is a candidate if it has 16 characters, or 8 and a digit; so is any value of 6
 characters after a credential word. A run longer than the network's window is judged as a whole,
 by its head and tail, and in sliding windows; candidates found that meet are one span. A numpy
-network of two convolutions reads a candidate's characters and those around it. It is trained on labelled findings from a seeded generator,
-calibrated by temperature on findings kept from training, and its threshold is the highest one
-whose recall on those is at least RECALL.
+network of two convolutions reads a candidate's characters and those around it. It is trained on
+labelled findings from a seeded generator, calibrated by temperature on findings kept from training,
+and its threshold is the highest one whose recall on those is at least RECALL.
 
 Defined cases: null counts as empty, and empty texts have no spans; very long texts are read
-whole; repeated
-rows are scanned each; an empty table gives an empty table; other columns are ignored.
+whole; spans that start together are listed by kind, then end; a candidate whose probability equals
+the threshold is a finding; repeated rows are scanned each; an empty table gives an empty table;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_rows, table
+from tidemill.llm.common import attach, table
 
 #: The kinds in the order that ties are listed in, and their patterns.
 KINDS = ("assign", "access", "hex", "network")
@@ -343,45 +344,40 @@ def scan_many(net: Network, texts: list[str]) -> list[list[Span]]:
     return [sorted(s) for s in out]
 
 
-def written(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-
-
 def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and its spans as starts, ends and kinds."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        keys, texts, size = [], [], 0
+    def make() -> Callable[[list[tuple]], list[tuple]]:
+        def many(rows: list[tuple]) -> list[tuple]:
+            found, start, size = [], 0, 0
+            for k, (text,) in enumerate(rows):  # very long texts are scanned a few at a time
+                size += len(text or "")
+                if size > 1 << 20 or k == len(rows) - 1:
+                    found += scan_many(shared.value, [t or "" for (t,) in rows[start : k + 1]])
+                    start, size = k + 1, 0
+            return [([s[0] for s in spans], [s[2] for s in spans], [s[1] for s in spans]) for spans in found]
+
+        return many
 
-        def done() -> Iterator[tuple]:
-            for i, spans in zip(keys, scan_many(shared.value, texts), strict=True):
-                yield i, [s[0] for s in spans], [s[2] for s in spans], [s[1] for s in spans]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return attach(rows, ["text"], make, "starts array<bigint>, ends array<bigint>, kinds array<int>", less=("text",))
 
-        for i, text in rows:
-            keys.append(i)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size > 1 << 20:
-                yield from done()
-                keys, texts, size = [], [], 0
-        yield from done()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"doc_id {kind}, starts array<bigint>, ends array<bigint>, kinds array<int>")
+def written(spans: Column) -> Column:
+    """kind:start:end of an array of structs, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    one = lambda s: F.concat_ws(":", F.element_at(names, s["kinds"] + 1), s["starts"].cast("string"), s["ends"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The report columns of scan()'s rows."""
-
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for i, starts, ends, kinds in rows:
-            spans = list(zip(starts, kinds, ends, strict=True))
-            base = written([s for s in spans if s[1] < 3])
-            yield i, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(base.encode()).hexdigest(), written(spans)
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return map_rows(found, ["doc_id", "starts", "ends", "kinds"], run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    spans = F.arrays_zip("starts", "ends", "kinds")
+    count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    base = F.sha2(written(F.filter(spans, lambda s: s["kinds"] < 3)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), written(spans).alias("spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
