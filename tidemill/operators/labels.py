@@ -65,14 +65,14 @@ def pool(df: DataFrame, key: str, teacher: str, rules: str, seed: int) -> DataFr
     return rows.select(key, "term", origin.alias("origin"), F.row_number().over(w).alias("position"))
 
 
-def provenance(verdicts: DataFrame, origins: DataFrame, key: str) -> DataFrame:
+def provenance(verdicts: DataFrame, origins: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
     """Counts by origin and verdict of verdicts(key, term, verdict) against origins(key, term, origin).
 
     A term nobody offered is human_only where it is kept or added, and the teacher's where it is dropped.
     """
     unknown = F.when(F.col("verdict") == "dropped", "teacher").otherwise("human_only")
     j = verdicts.join(origins.select(key, "term", "origin"), [key, "term"], "left")
-    return j.groupBy(F.coalesce("origin", unknown).alias("origin"), "verdict").agg(F.count("*").alias("n"))
+    return j.groupBy(*by, F.coalesce("origin", unknown).alias("origin"), "verdict").agg(F.count("*").alias("n"))
 
 
 def pass_pairs(first: DataFrame, second: DataFrame, key: str, offered: DataFrame) -> DataFrame:

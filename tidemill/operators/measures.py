@@ -8,6 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def discount(position: Column) -> Column:
+    """What a hit counts at a position from 1."""
+    return 1 / F.log2(position + 1)
+
+
+def harmonic(a: Column, b: Column) -> Column:
+    """The harmonic mean; 0 where both are 0."""
+    return F.when(a + b > 0, 2.0 * a * b / (a + b)).otherwise(0.0)
+
+
+def ideal(grades: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(query_id, relevant, ideal_k...): gains of grades(query_id, key, grade) in their best order.
+
+    All grades of a query meet in one task; where they are many, retrieval() takes counts instead.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "key")
+    gain = F.col("grade") * discount(F.col("pos"))
+    sums = [F.sum(F.when(F.col("pos") <= k, gain).otherwise(0.0)).alias(f"ideal_{k}") for k in ks]
+    return grades.withColumn("pos", F.row_number().over(w)).groupBy("query_id").agg(F.count_if(F.col("grade") > 0).alias("relevant"), *sums)
+
+
 def retrieval(hits: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10), counts: DataFrame | None = None) -> DataFrame:
     """Per query: recall, precision, nDCG at each k, and the reciprocal rank.
 
@@ -16,30 +37,26 @@ def retrieval(hits: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10),
     or of counts(query_id, grade, n) where given, and then grades need only hold the hits.
     """
     judged = hits.join(grades, ["query_id", "key"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
-    gain = lambda r: F.col("grade") / F.log2(F.col(r) + 1)
+    gain = F.col("grade") * discount(F.col("rank"))
     per = judged.groupBy("query_id").agg(
         *[x for k in ks for x in (
             F.count_if((F.col("rank") <= k) & (F.col("grade") > 0)).alias(f"rel{k}"),
             F.count_if(F.col("rank") <= k).alias(f"ret{k}"),
-            F.sum(F.when(F.col("rank") <= k, gain("rank")).otherwise(0.0)).alias(f"dcg{k}"),
+            F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg{k}"),
         )],
         F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"),
     )
     if counts is None:
-        w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "key")  # all grades of a query meet; give counts where they are many
-        ideal = grades.withColumn("pos", F.row_number().over(w)).groupBy("query_id").agg(
-            F.count_if(F.col("grade") > 0).alias("relevant"), *[F.sum(F.when(F.col("pos") <= k, gain("pos")).otherwise(0.0)).alias(f"ideal{k}") for k in ks]
-        )
-        j = per.join(ideal, "query_id")
+        j = per.join(ideal(grades, ks), "query_id")
     else:
         w = Window.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ends = counts.where("grade > 0 AND n > 0").groupBy("query_id", "grade").agg(F.sum("n").alias("n")).withColumn("end", F.sum("n").over(w))
         # A position's discount, summed over those of a grade within the first k.
         due = lambda k: F.col("grade") * sum(F.when((F.col("end") - F.col("n") < p) & (F.col("end") >= p), 1 / math.log2(p + 1)).otherwise(0.0) for p in range(1, k + 1))
-        ideal = ends.groupBy("query_id").agg(F.sum("n").alias("relevant"), *[F.sum(due(k)).alias(f"ideal{k}") for k in ks])
-        j = per.join(ideal, "query_id", "left")
+        best = ends.groupBy("query_id").agg(F.sum("n").alias("relevant"), *[F.sum(due(k)).alias(f"ideal_{k}") for k in ks])
+        j = per.join(best, "query_id", "left")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    cols = [c for k in ks for c in (share(f"rel{k}", "relevant").alias(f"recall_{k}"), share(f"rel{k}", f"ret{k}").alias(f"precision_{k}"), share(f"dcg{k}", f"ideal{k}").alias(f"ndcg_{k}"))]
+    cols = [c for k in ks for c in (share(f"rel{k}", "relevant").alias(f"recall_{k}"), share(f"rel{k}", f"ret{k}").alias(f"precision_{k}"), share(f"dcg{k}", f"ideal_{k}").alias(f"ndcg_{k}"))]
     return j.select("query_id", *cols, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
 
 
@@ -76,6 +93,12 @@ def set_scores(df: DataFrame, gold: str, found: str) -> DataFrame:
     return s.select(share("tp", "f").alias("precision"), share("tp", "g").alias("recall"), F.when(F.col("f") + F.col("g") > 0, 2.0 * F.col("tp") / (F.col("f") + F.col("g"))).otherwise(1.0).alias("micro_f1"), "macro_f1", "exact", "empty_share", (F.col("empty_share") >= 0.9).alias("collapsed"))
 
 
+def paired(a: DataFrame, b: DataFrame, keys: list[str], grade: str = "grade") -> DataFrame:
+    """(keys, a, b): what both raters graded, side by side; a key that one of them left out, or graded null, goes."""
+    own = lambda df, name: df.where(F.col(grade).isNotNull()).select(*keys, F.col(grade).alias(name))
+    return own(a, "a").join(own(b, "b"), keys)
+
+
 def micro_f1(df: DataFrame, gold: str, found: str) -> DataFrame:
     """(micro_f1) of pooled label sets; 0 if either side has no label at all."""
     s = df.agg(F.sum(F.size(F.array_intersect(gold, found))).alias("tp"), F.sum(F.size(gold)).alias("g"), F.sum(F.size(found)).alias("f"))

@@ -57,6 +57,75 @@ def read_graded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(queries, "query_id string, query string, note string, verified boolean"), spark.createDataFrame(grades, "query_id string, source string, source_id string, grade int")
 
 
+def _whole(spark: SparkSession, path: str):
+    """A small YAML or JSON file, read on the driver."""
+    import yaml
+
+    return yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) or {}
+
+
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """A small file of that content, in one part under the path."""
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def write_graded(spark: SparkSession, path: str, queries: DataFrame, judgements: DataFrame) -> None:
+    """Graded queries as YAML, in order of id, with the judgements in order of key; a curated, small set."""
+    import yaml
+
+    grades: dict[str, dict[str, int]] = {}
+    for r in judgements.orderBy("query_id", "source", "source_id").toLocalIterator():
+        grades.setdefault(r.query_id, {})[f"{r.source}:{r.source_id}"] = r.grade
+    rows = [{"id": r.query_id, "query": r.query, "note": r.note, "verified": r.verified, "judgements": grades.get(r.query_id, {})} for r in queries.orderBy("query_id").toLocalIterator()]
+    write_text(spark, path, yaml.safe_dump({"version": 1, "queries": rows}, allow_unicode=True, sort_keys=False))
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(id, question, expected_facts, must_refuse) of a YAML file of chat questions."""
+    rows = [(str(c["id"]), c["question"], [str(f) for f in c.get("expected_facts") or []], bool(c.get("must_refuse", False))) for c in _whole(spark, path).get("questions") or []]
+    return spark.createDataFrame(rows, "id string, question string, expected_facts array<string>, must_refuse boolean")
+
+
+def read_scores(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(id, faithfulness, completeness) of a YAML file of answers that a person scored, and how many still wait for it."""
+    every = _whole(spark, path).get("scored") or []
+    rows = [(str(c["id"]), int(c["faithfulness"]), int(c["completeness"])) for c in every if c.get("faithfulness") is not None and c.get("completeness") is not None]
+    return spark.createDataFrame(rows, "id string, faithfulness int, completeness int"), len(every) - len(rows)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(term) accepted and (term) rejected: the lists of a YAML file whose names begin so, in small letters, each term once."""
+    whole = _whole(spark, path)
+    lists = [sorted({str(t).strip().lower() for k, terms in whole.items() if k.startswith(name) for t in terms or []}) for name in ("accepted", "rejected")]
+    return tuple(spark.createDataFrame([(t,) for t in found], "term string") for found in lists)
+
+
+def read_companies(spark: SparkSession, path: str) -> DataFrame:
+    """(name, provider, slug, city) of a YAML list of companies; a provider and slug stand there once, or it raises."""
+    rows = [(c["name"], c["provider"], str(c["slug"]), c.get("city")) for c in _whole(spark, path)]
+    keys = [r[1:3] for r in rows]
+    if twice := sorted({k for k in keys if keys.count(k) > 1}):
+        raise ValueError(f"companies that stand there twice: {twice}")
+    return spark.createDataFrame(rows, "name string, provider string, slug string, city string")
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(suite, config, metric, value) of a JSON file {suite: {config: {metric: value}}}; what is no number is left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    suites = whole.select(F.explode("m").alias("suite", "v")).select("suite", F.explode(F.from_json("v", "map<string,string>")).alias("config", "c"))
+    return suites.select("suite", "config", F.explode(F.from_json("c", "map<string,string>")).alias("metric", "t")).select("suite", "config", "metric", F.col("t").try_cast("double").alias("value")).where("value is not null")
+
+
+def write_baseline(spark: SparkSession, path: str, baseline: DataFrame) -> None:
+    """(suite, config, metric, value) as that JSON file, with sorted keys; a few rows a suite."""
+    import json
+
+    out: dict[str, dict[str, dict[str, float]]] = {}
+    for r in baseline.toLocalIterator():
+        out.setdefault(r.suite, {}).setdefault(r.config, {})[r.metric] = r.value
+    write_text(spark, path, json.dumps(out, indent=2, sort_keys=True))
+
+
 def verified_only(queries: DataFrame, judgements: DataFrame) -> DataFrame:
     """Verified queries with at least one grade above 0."""
     return queries.where("verified").join(judgements.where("grade > 0").select("query_id"), "query_id", "left_semi")
