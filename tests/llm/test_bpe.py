@@ -67,3 +67,18 @@ def test_token_counts(spark, library):
     for q in (0.01, 0.25, 0.5, 0.9, 1.0):
         assert tokencounts.quantile(sums, q) == next(x for x in lengths if sum(y <= x for y in lengths) >= q * len(lengths))
     assert tokencounts.suffix_sums(tokencounts.histogram(no_docs(spark))).count() == 0
+
+
+def test_token_counts_of_the_table_equal_the_library(spark, sf_dir, library):
+    lengths = [len(library.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rows = {r.n_tokens: r for r in tokencounts.query(spark, sf_dir).collect()}
+    assert {n: r.n_docs for n, r in rows.items()} == {n: lengths.count(n) for n in lengths}
+    for n, r in rows.items():
+        assert (r.docs_ge, r.tokens_ge) == (sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
+        assert r.truncated_total == sum(min(x, n) for x in lengths) and r.tokens_total == sum(lengths)
+    limits = [0, 1, 7, 100, 1024, 10**9]
+    hist = tokencounts.histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = tokencounts.at_limits(hist, limits).orderBy("limit").collect()
+    assert [(r.limit, r.docs, r.tokens, r.docs_cut, r.tokens_kept) for r in got] == [(c, len(lengths), sum(lengths), sum(x > c for x in lengths), sum(min(x, c) for x in lengths)) for c in limits]
+    none = tokencounts.at_limits(hist.limit(0), [5]).first()
+    assert (none.docs, none.tokens, none.docs_cut, none.tokens_kept) == (0, 0, 0, 0)

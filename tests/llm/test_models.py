@@ -170,6 +170,12 @@ def test_hostile_pages_take_linear_time(labeller):
     assert [b[0] for b in htmltext.blocks("<p>a <q")] == ["a <q"]
 
 
+def test_articles_of_repeated_words_and_lines(labeller):
+    lines = ["Ther " * 80 + "eres " * 90, *["Thisonbleerth en."] * 6, "A shouted LINE!! OF!! WORDS!! THAT!! GOES!! ON!! AND!! ON!!"]
+    page = "<html><body><nav><a href=/x>Home</a></nav><article><h1>Ther Ther Ther</h1>" + "".join(f"<p>{x}</p>" for x in lines) + "</article><footer>&copy; x.example.org</footer></body></html>"
+    assert htmltext.extract_many(labeller, [page]) == ["\n".join(["Ther Ther Ther", *(x.strip() for x in lines)])]
+
+
 def test_long_pages_in_parts(labeller):
     r = np.random.default_rng(5)
     found = [b for _ in range(30) for b in htmltext.blocks(htmltext.training_page(r)[0])]

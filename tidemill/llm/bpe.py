@@ -5,8 +5,9 @@ lowest rank. A merge rewrites at most three leaves, each in logarithmic time, un
 shows no mergeable pair. Ids equal those of the tokenizers library for the same file.
 
 Defined cases: null counts as empty and has no ids; white-space and very long texts go through
-the same tree; the string of a special token is that token; an empty table gives an empty table;
-other columns are ignored.
+the same tree, whole; of equal ranks the leftmost pair merges first; the string of a special token
+is that token; repeated rows are encoded each; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations

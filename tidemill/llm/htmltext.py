@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ from tidemill.llm.common import map_rows, table
 
 PATH_DIM, WORD_DIM, SCALARS, HIDDEN = 96, 256, 6, 16
 DIM = PATH_DIM + WORD_DIM + SCALARS
-TRAIN_PAGES, EPOCHS, BATCH, RATE = 700, 14, 32, 0.01
+TRAIN_PAGES, EPOCHS, BATCH, RATE = 1500, 14, 32, 0.01
 #: Pages that are labelled together, and blocks that one such batch holds at most.
 TOGETHER, TOGETHER_BLOCKS = 64, 50_000
 #: Blocks of a longer page that are labelled at a time.
@@ -206,16 +207,18 @@ _MARKS = ".,;:!?…\"“”'()|"
 
 
 def features(found: list[tuple[str, Path, float]], start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Vectors of a page's blocks from start to stop."""
-    n, some = len(found), found[start:stop]
+    """Vectors of a page's blocks from start to stop; words count by the log of their number, as a unit vector."""
+    total, some = len(found), found[start:stop]
     x = np.zeros((len(some), DIM), np.float32)
     x[:, :PATH_DIM] = [_path_vector(path) for _, path, _ in some]
     tail = []
     for i, (text, _, linked) in enumerate(some):
         words = text.count(" ") + 1
-        for w in text.lower().split(" "):
-            x[i, PATH_DIM + _bucket(w.strip(_MARKS), WORD_DIM)] += 1 / math.sqrt(words)
-        tail.append((math.log1p(words) / 4, linked, (start + i) / n, text.endswith(_SENTENCE_END), words > 8, math.log1p(n) / 5))
+        for w, n in Counter(text.lower().split(" ")).items():
+            x[i, PATH_DIM + _bucket(w.strip(_MARKS), WORD_DIM)] += n
+        tail.append((math.log1p(words) / 4, linked, (start + i) / total, text.endswith(_SENTENCE_END), words > 8, math.log1p(total) / 5))
+    said = np.log1p(x[:, PATH_DIM : PATH_DIM + WORD_DIM])
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = said / np.maximum(np.linalg.norm(said, axis=1, keepdims=True), 1e-9)
     x[:, PATH_DIM + WORD_DIM :] = tail
     return x
 
@@ -319,11 +322,12 @@ class Labeller:
                 self._back(x, fs, up[..., :HIDDEN], "f", grads)
                 self._back(x, bs, up[..., HIDDEN:], "b", grads)
                 t += 1
+                rate = RATE * (1 - 0.95 * t / (epochs * len(starts)))  # falls to a twentieth
                 for k, g in grads.items():
                     g = np.clip(g, -1, 1)
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         x, mask, _ = _padded([(p, np.zeros(len(p))) for p in pages])
@@ -360,6 +364,11 @@ def training_page(r: np.random.Generator) -> tuple[str, list[str]]:
         return " ".join("".join(r.choice(list(letters), int(r.integers(2, 10)))) for _ in range(int(r.integers(a, b))))
 
     def sentence(a: int = 1, b: int = 40) -> str:
+        x = r.random()
+        if b > 20 and x < 0.04:  # prose that goes wrong: a few words over and over, or shouted with marks
+            return " ".join(f"{w} " * int(r.integers(3, 60)) for w in words(1, 6).split()).strip()
+        if b > 20 and x < 0.07:
+            return " ".join(w.upper() + str(r.choice(["!!", "###", "%%%", "$$$"])) for w in words(a, b).split())
         return words(a, b).capitalize() + str(r.choice([".", ".", ".", "!", "?", "%%%", "&amp;", " |", ""]))
 
     def attr(names: list[str]) -> str:
@@ -418,7 +427,10 @@ def training_page(r: np.random.Generator) -> tuple[str, list[str]]:
         for _ in range(int(r.integers(1, 14))):
             x = r.random()
             if x < 0.5:
-                body += f"<p>{own(sentence())}" + ("</p>" if r.random() < 0.8 else "")
+                again = int(r.integers(3, 25)) if r.random() < 0.05 else 1  # now and then a line stands there over and over
+                said, ended = sentence(1, 6) if again > 1 else sentence(), "</p>" if r.random() < 0.8 else ""
+                for _ in range(again):
+                    body += f"<p>{own(said)}{ended}"
             elif x < 0.72:
                 body += f"<p><b>{own(sentence())}<br>"
             elif x < 0.8:

@@ -8,7 +8,8 @@ one row a band, a window that holds 0.8 of a template of its class has a Jaccard
 templates are then verified by exact containment of their shingles around the window.
 
 Defined cases: null and empty texts match nothing; a text or template of fewer words than a
-shingle is one shingle; a template without words is left out; repeated rows are reported each;
+shingle is one shingle; a template without words is left out; very long texts are read whole, by
+themselves, and a passage counts wherever it stands in one; repeated rows are reported each;
 of equally good places of a template in a text the first is reported; an empty table or no
 templates give no rows; other columns are ignored.
 """

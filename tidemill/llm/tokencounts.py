@@ -4,8 +4,12 @@ Documents are aggregated by encoded length; suffix sums over the histogram then
 quantiles and totals under any context limit without touching the documents again. The sums are
 taken inside runs of RUN lengths, plus the totals of longer runs, so no task sees all lengths.
 
-Defined cases: null counts as empty, and empty texts have length 0; repeated rows count each;
-an empty table gives an empty histogram; other columns are ignored.
+Between two lengths that occur nothing changes but the cut itself, so the rows of the lengths that
+occur answer every context limit; `at_limits` reads any limits off the histogram in one pass.
+
+Defined cases: null counts as empty, and empty texts have length 0; texts of any length are encoded
+whole; documents of equal length, repeated rows among them, count each; a limit above all lengths
+cuts nothing; an empty table gives an empty histogram and totals of 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,6 +72,19 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """One row for each limit: documents and tokens, of how many documents something is cut, and what stays.
+
+    limit, docs, tokens, docs_cut, tokens_kept. The histogram is read once, all limits together.
+    """
+    n, d = F.col("n_tokens"), F.col("n_docs")
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    sums = [x for k, c in enumerate(limits) for x in (zero(F.least(n, F.lit(c)) * d, f"k{k}"), zero(F.when(n > c, d).otherwise(0), f"c{k}"))]
+    total = hist.agg(zero(d, "docs"), zero(n * d, "tokens"), *sums)
+    each = F.array(*[F.struct(F.lit(c).cast("long").alias("limit"), F.col(f"c{k}").alias("docs_cut"), F.col(f"k{k}").alias("tokens_kept")) for k, c in enumerate(limits)])
+    return total.select("docs", "tokens", F.explode(each).alias("l")).select("l.limit", "docs", "tokens", "l.docs_cut", "l.tokens_kept")
+
+
 def total_under(sums: DataFrame, limit: int) -> int:
     """Tokens of all documents when each is cut at limit; 0 for an empty table."""
     row = sums.where(F.col("n_tokens") >= limit).orderBy("n_tokens").first()
