@@ -7,6 +7,8 @@ parse is an item that is no posting, never an error of the job.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,8 +25,9 @@ ASHBY = "id STRING,title STRING,location STRING,secondaryLocations ARRAY<STRUCT<
 REMOTEOK = "id STRING,company STRING,position STRING,description STRING,location STRING,salary_min LONG,salary_max LONG,date STRING,url STRING"
 COMMENT = "id STRING,author STRING,created_at STRING,text STRING"
 COMPANY_CHARS, TITLE_CHARS = 80, 120
-PAY_HINT = r"(?U)[$£€₹]\s?\d|\d\s?[kK]\b|(?i)\b(?:salary|lpa|lakh)"
-PLACE_HINT = r"(?U)(?i)\b(?:remote|onsite|on-site|hybrid)\b|,\s*\p{L}|^\p{L}[\p{L} .-]+$"
+#: What in a part of a comment's header says that it is pay, or a place.
+PAY_SIGNS, PAY_WORDS, PAY_ENDS, PAY_FIGURES = "$£€₹", ("salary",), ("comp",), (r"\d{2,3}\s*[kK]", r"\d{5,6}")
+PLACE_WORDS, PLACE_CODE = (",", "remote", "onsite", "on-site", "hybrid"), r"[A-Z]{2}"
 
 #: Columns of a posting, in order.
 POSTING = ("source", "source_id", "title", "company", "location", "remote_hint", "salary_raw", "html", "url", "posted_at")
@@ -144,10 +147,21 @@ def header_parts(pages):
     return lines.map(lambda x: [p.strip() for p in x.split("|") if p.strip()])
 
 
+def _is_pay(part: Column) -> Column:
+    low = F.lower(part)
+    figures = "|".join(PAY_FIGURES)
+    said = [F.contains(low, F.lit(w)) for w in (*PAY_WORDS, *PAY_SIGNS)] + [low.rlike(rf"(?U){w}\b") for w in PAY_ENDS]
+    return functools.reduce(operator.or_, said, part.rlike(rf"(?U)\b(?:{figures})\b"))
+
+
+def _is_place(part: Column) -> Column:
+    return functools.reduce(operator.or_, [F.contains(part, F.lit(w)) for w in PLACE_WORDS], part.rlike(rf"(?U)\b{PLACE_CODE}\b"))
+
+
 def _comment(j: Column, parts: Column) -> dict[str, Column]:
     company, title, rest = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))
-    pay = F.get(F.filter(rest, lambda x: x.rlike(PAY_HINT)), F.lit(0))
-    places = F.filter(rest, lambda x: x.rlike(PLACE_HINT) & ~F.coalesce(x == pay, F.lit(False)))
+    pay = F.get(F.filter(rest, _is_pay), F.lit(0))
+    places = F.filter(rest, lambda x: _is_place(x) & ~F.coalesce(x == pay, F.lit(False)))
     return {
         "title": title, "company": company, "location": F.get(places, F.lit(0)), "salary_raw": pay, "html": j["text"], "url": F.concat(F.lit("https://news.ycombinator.com/item?id="), j["id"]),
         "posted_at": _date(j["created_at"]), "remote_hint": text.is_remote(F.array_join(parts, " ")),
