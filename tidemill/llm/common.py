@@ -56,8 +56,10 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return settle(docs.select("*", key.alias(name)), "keyed"), name
 
 
-#: Rows of keys that a broadcast may hold, and groups of a larger table that are broadcast apart.
-BROADCAST_ROWS, HOT_GROUPS = 500_000, 50_000
+#: Groups that a broadcast may hold, and the largest groups of a larger table that are broadcast apart.
+BROADCAST_ROWS, HOT_GROUPS = 50_000, 50_000
+#: Keys of dropped rows that a broadcast may hold.
+DROP_ROWS = 500_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataFrame:
@@ -79,11 +81,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataF
 def drop_rows(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose key is in dropped(key); the key column goes.
 
-    Keys are broadcast up to BROADCAST_ROWS; beyond, both sides are shuffled by their keys,
-    which are unique, so no key is hot.
+    Keys are broadcast up to DROP_ROWS; beyond, both sides are shuffled by their keys, which are
+    unique, so no key is hot.
     """
     gone = settle(dropped.select(F.col(dropped.columns[0]).alias(key)), "dropped")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = F.broadcast(gone) if gone.count() <= DROP_ROWS else gone
     return docs.join(gone, key, "left_anti").drop(key)
 
 

@@ -98,12 +98,9 @@ class Searcher:
         self.suffix, self.starts = suffix[order], starts[order]
         self.prefix = keys[self.starts]
 
-    def find(self, tokens: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(start, word of the benchmark) of every occurrence of every window."""
+    def find(self, tokens: list[bytes], keys: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, word of the benchmark) of every occurrence of every window; keys are those of the text's blocks."""
         m, n, block = self.m, len(tokens), self.block
-        if n < m:
-            return
-        keys = _blocks_of(hashes, block)
         shift = self.shift[keys & self.mask]
         shift = shift.tobytes() if shift.dtype == np.uint8 else shift.tolist()
         ends, at, last = [], m - block, n - block
@@ -147,9 +144,13 @@ def search(text: str | None, found: list[Searcher], spans: list[int] = (), items
     tokens = words(text)
     hits, ids, owners = set(zip(spans[::2], spans[1::2], strict=True)), set(items), set()
     if tokens and found:
-        hashes = _hashes(tokens)
+        hashes, keys = _hashes(tokens), {}
         for s in found:
-            for start, word in s.find(tokens, hashes):
+            if len(tokens) < s.m:
+                continue
+            if s.block not in keys:
+                keys[s.block] = _blocks_of(hashes, s.block)
+            for start, word in s.find(tokens, keys[s.block]):
                 hits.add((start, start + s.m))
                 owners.add(word)
         if owners:

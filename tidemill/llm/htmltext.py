@@ -20,7 +20,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -200,10 +199,15 @@ def _path_vector(path: Path) -> np.ndarray:
     return v
 
 
-_SENTENCE_END = tuple(".!?…。\"”»")
+_MARKS = ".,;:!?…\"“”'()|"
 
 
-_MARKS = ".,;:!?…\"“”'()|"
+@lru_cache(1 << 17)
+def _word(token: str) -> int:
+    return _bucket(token.strip(_MARKS), WORD_DIM)
+
+
+_SENTENCE_END = tuple(".!?…。\"”»")
 
 
 def features(found: list[tuple[str, Path, float]], start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -211,13 +215,13 @@ def features(found: list[tuple[str, Path, float]], start: int = 0, stop: int | N
     total, some = len(found), found[start:stop]
     x = np.zeros((len(some), DIM), np.float32)
     x[:, :PATH_DIM] = [_path_vector(path) for _, path, _ in some]
-    tail = []
+    tail, at = [], []
     for i, (text, _, linked) in enumerate(some):
-        words = text.count(" ") + 1
-        for w, n in Counter(text.lower().split(" ")).items():
-            x[i, PATH_DIM + _bucket(w.strip(_MARKS), WORD_DIM)] += n
+        own = list(map(_word, text.lower().split(" ")))
+        words = len(own)
+        at.append(np.array(own) + i * WORD_DIM)
         tail.append((math.log1p(words) / 4, linked, (start + i) / total, text.endswith(_SENTENCE_END), words > 8, math.log1p(total) / 5))
-    said = np.log1p(x[:, PATH_DIM : PATH_DIM + WORD_DIM])
+    said = np.log1p(np.bincount(np.concatenate(at), minlength=len(some) * WORD_DIM).reshape(-1, WORD_DIM))
     x[:, PATH_DIM : PATH_DIM + WORD_DIM] = said / np.maximum(np.linalg.norm(said, axis=1, keepdims=True), 1e-9)
     x[:, PATH_DIM + WORD_DIM :] = tail
     return x
