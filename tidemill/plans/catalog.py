@@ -73,7 +73,8 @@ def _(spark, d):
 #: Each document with one spelling more, in another setting each time.
 _MENTION = f"text || {pick([' ', ' (', ' x.', ' +', '. '], 'doc_id')} || {pick(_SPELLINGS, 'doc_id // 5')} || {pick([' ', '. ', '.js ', '+ ', ''], 'doc_id // 3')}"
 _EDGE = (r"(^|^\.|[^\p{L}\p{N}+#.]|[^\p{L}\p{N}]\.)", r"($|\.$|\.[^\p{L}\p{N}]|[^\p{L}\p{N}+#.])")
-_SKILLS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS skill FROM (SELECT doc_id, lower({_MENTION}) AS text FROM documents) WHERE regexp_matches(text, '{_EDGE[0]}({'|'.join(w.replace('+', '[+]').replace('.', '[.]') for w in ws)}){_EDGE[1]}')" for n, ws in TAXONOMY.items())
+_HIT = ", ".join(f"CASE WHEN regexp_matches(text, '{_EDGE[0]}({'|'.join(w.replace('+', '[+]').replace('.', '[.]') for w in ws)}){_EDGE[1]}') THEN '{n}' END" for n, ws in TAXONOMY.items())
+_SKILLS = f"SELECT doc_id, unnest(list_filter([{_HIT}], lambda x: x IS NOT NULL)) AS skill FROM (SELECT doc_id, lower({_MENTION}) AS text FROM documents)"
 
 
 def tagged(spark, d):

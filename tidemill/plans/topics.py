@@ -67,7 +67,7 @@ def _(spark, d):
 @query("r14_prompts", f"""WITH {_KW}, s AS (SELECT query_id, k.rank, doc_id, '[' || k.rank || '] ' || coalesce(lang, '?') || ' at ' || source || chr(10) || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 900) AS b
     FROM k JOIN documents USING (doc_id) WHERE k.rank <= 8 AND query_id IN (SELECT query_id FROM k WHERE k.rank <= 20 AND score >= 2.0)),
   p AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS b, string_agg(doc_id, ',' ORDER BY rank) AS sources, count(*) AS n FROM s GROUP BY query_id)
-  SELECT item_id AS query_id, md5(p.b || chr(10) || chr(10) || 'Question: ' || text) AS prompt, sources, coalesce(n, 0) AS n_sources FROM benchmark LEFT JOIN p ON query_id = item_id""")
+  SELECT item_id AS query_id, md5(p.b || chr(10) || chr(10) || 'Question: ' || text) AS prompt, sources, CAST(coalesce(n, 0) AS INT) AS n_sources FROM benchmark LEFT JOIN p ON query_id = item_id""")
 def _(spark, d):
     c = t(spark, d, "documents")
     docs = c.select("doc_id", F.coalesce("lang", F.lit("?")).alias("title"), F.col("source").alias("company"), F.lit(None).cast("string").alias("location"), F.lit(False).alias("remote"), F.col("text").alias("body"))

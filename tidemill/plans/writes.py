@@ -58,7 +58,7 @@ def _(spark, d):
     return got.groupBy("feature").agg(F.count("*").alias("calls"), F.count_if("ok").alias("ok"), F.round(F.sum("cost_usd"), 4).alias("usd"), F.sum("prompt_tokens").alias("tokens"))
 
 
-@query("g8_run_lifecycle", "SELECT 'run' || r_regionkey AS run_id, r_name AS source, CASE WHEN r_regionkey % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN r_regionkey % 2 = 0 THEN r_regionkey * 10 ELSE 0 END AS fetched, CASE WHEN r_regionkey % 2 = 1 THEN 'no ' || r_name END AS error FROM region")
+@query("g8_run_lifecycle", "SELECT 'run' || r_regionkey AS run_id, r_name AS source, CASE WHEN r_regionkey % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN r_regionkey % 2 = 0 THEN CAST(r_regionkey * 10 AS BIGINT) ELSE 0 END AS fetched, CASE WHEN r_regionkey % 2 = 1 THEN 'no ' || r_name END AS error FROM region")
 def _(spark, d):
     at = fresh_path(spark, "runs")
 
@@ -110,7 +110,7 @@ def _(spark, d):
     return embed.merged(old, new, rebuild=True).groupBy("strategy", "content").agg(F.count("*").alias("chunks"))
 
 
-@query("s13_first_vectors", "SELECT doc_id, round(embedding[1], 6) AS first FROM documents JOIN embeddings ON vec_id // 4 = doc_id WHERE vec_id % 4 = 0 AND label % 2 = 0")
+@query("s13_first_vectors", "SELECT doc_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM documents JOIN embeddings ON vec_id // 4 = doc_id WHERE vec_id % 4 = 0 AND label % 2 = 0")
 def _(spark, d):
     e = t(spark, d, "embeddings").select(F.expr("vec_id div 4").alias("doc_id"), (F.col("vec_id") % 4).alias("chunk_index"), F.when(F.col("label") % 2 == 0, "whole").otherwise("section").alias("strategy"), F.lit("m").alias("model"), "embedding")
     got = embed.first_vectors(t(spark, d, "documents").select("doc_id"), e, "whole", "m", "doc_id")
