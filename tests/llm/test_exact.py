@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import no_docs, odd_docs, odd_rows
 from tidemill.llm import common, exact
@@ -73,3 +74,16 @@ def test_empty(spark):
 def test_plan_has_no_python(spark, sf_dir):
     plan = exact.query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_any_table_has_row_keys(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (None, "a"), (2, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/p")
+    df.write.json(f"{tmp_path}/j")
+    parquet, text = spark.read.parquet(f"{tmp_path}/p"), spark.read.schema(df.schema).json(f"{tmp_path}/j")
+    for docs in (df, parquet, parquet.where("doc_id is not null").select("doc_id", "text"), text, parquet.unionByName(text), parquet.repartition(3), parquet.where("rand() >= 0"), parquet.withColumnRenamed("text", "_metadata").select("doc_id", F.col("_metadata").alias("text"), F.lit(1).alias("_metadata"))):
+        own, key = keyed(docs)
+        n = docs.count()
+        assert own.select(key).distinct().count() == n and own.drop(key).columns == docs.columns
+        assert sorted(r.text for r in exact.keep_first(docs).collect()) == ["a", "b"]

@@ -32,18 +32,20 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def _reads_files(plan) -> bool:
-    """Whether a plan only selects from one table of files, the same way each time."""
+    """Whether a plan only selects from one table of Parquet files, the same way each time."""
     while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
         if not plan.deterministic():
             return False
         plan = plan.children().head()
-    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"  # others don't number their rows
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with one more column, and its name: a key of each row, the same on every read.
 
-    Rows of files are known by 128 bits of their file's name and their place in it. Any other
+    Rows of Parquet files are known by 128 bits of their file's name and their place in it. Any other
     table is settled first with a number for each row.
     """
     name = fresh(docs, "row_key")
