@@ -84,7 +84,7 @@ def merged(index: DataFrame, new: DataFrame, key: str = "posting_id", rebuild: b
     """
     same = ["strategy", "model"] if rebuild else [key, "strategy", "model", "chunk_index"]
     gone = new.select(*same).distinct()
-    return index.join(F.broadcast(gone) if rebuild else gone, same, "left_anti").unionByName(new)
+    return index.join(gone, same, "left_anti").unionByName(new)
 
 
 def first_vectors(postings: DataFrame, index: DataFrame, strategy: str, model: str, key: str = "posting_id") -> DataFrame:

@@ -71,14 +71,22 @@ def kappa(df: DataFrame, a: str, b: str, weighted: bool = False) -> DataFrame:
     Full expected agreement gives 1, no rows give 0.
     """
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count("*").alias("n"))
-    ra = cells.groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("na"))
-    rb = cells.groupBy(F.col("b").alias("y")).agg(F.sum("n").alias("nb"))
-    weight = lambda x, y: F.abs(F.col(x) - F.col(y)) if weighted else (F.col(x) != F.col(y)).cast("double")
-    seen = cells.agg(F.sum(weight("a", "b") * F.col("n")).alias("o"), F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    # Categories are few, so the marginals' product is a grid of that many squared.
-    due = ra.crossJoin(rb).agg(F.sum(weight("x", "y") * F.col("na") * F.col("nb")).alias("e"))
-    k = F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).when(F.col("e") == 0, 1.0).otherwise(1 - F.col("o") * F.col("n") / F.col("e"))
-    return seen.crossJoin(due).select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.col("same") / F.col("n"), F.lit(0.0)).alias("agreement"), k.alias("kappa"))
+    weight = F.abs(F.col("a") - F.col("b")) if weighted else (F.col("a") != F.col("b")).cast("double")
+    seen = cells.agg(F.sum(weight * F.col("n")).alias("o"), F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
+    # How often each rater gives each category. What chance would give follows from these alone: by
+    # category for plain weights, and for linear ones by how many lie on either side of each gap.
+    side = lambda c, na, nb: cells.select(F.col(c).alias("v"), na.alias("na"), nb.alias("nb"))
+    gives = side("a", F.col("n"), F.lit(0)).unionByName(side("b", F.lit(0), F.col("n"))).groupBy("v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    if weighted:
+        up = Window.orderBy("v")
+        below = gives.select(F.sum("na").over(up).alias("ca"), F.sum("nb").over(up).alias("cb"), (F.lead("v").over(up) - F.col("v")).alias("gap"))
+        total = cells.agg(F.sum("n")).scalar()
+        due = below.agg(F.sum(F.col("gap") * (F.col("ca") * (total - F.col("cb")) + F.col("cb") * (total - F.col("ca")))))
+    else:
+        due = gives.agg((F.sum("na") * F.sum("nb") - F.sum(F.col("na") * F.col("nb"))).cast("double"))
+    e = F.coalesce(due.scalar(), F.lit(0.0))
+    k = F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).when(e == 0, 1.0).otherwise(1 - F.col("o") * F.col("n") / e)
+    return seen.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.col("same") / F.col("n"), F.lit(0.0)).alias("agreement"), k.alias("kappa"))
 
 
 def set_scores(df: DataFrame, gold: str, found: str) -> DataFrame:
@@ -138,11 +146,10 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two partitions; 1 where it is undefined."""
     pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    s = cells.agg(F.sum(pairs("n")).alias("both"), F.sum("n").alias("n"))
-    sa = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("pa"))
-    sb = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("pb"))
-    due, top = F.col("pa") * F.col("pb") / pairs("n"), (F.col("pa") + F.col("pb")) / 2
-    return s.crossJoin(sa).crossJoin(sb).select(F.when(top == due, 1.0).otherwise((F.col("both") - due) / (top - due)).alias("ari"))
+    of = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n"))).scalar()
+    pa, pb = of(a), of(b)
+    s = cells.agg(F.sum(pairs("n")).alias("both"), F.sum("n").alias("n")).withColumn("due", pa * pb / pairs("n")).withColumn("top", (pa + pb) / 2)
+    return s.select(F.when(F.col("top") == F.col("due"), 1.0).otherwise((F.col("both") - F.col("due")) / (F.col("top") - F.col("due"))).alias("ari"))
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
@@ -164,10 +171,10 @@ def winner(configs: DataFrame, base: str, metric: str, gain: float = 0.05, p95:
 
     Adds `passing` and `chosen`; of equal metrics the lower p95 is chosen.
     """
-    was = configs.where(F.col("config") == base).agg(F.max(metric).alias("_was"))
-    j = configs.crossJoin(F.broadcast(was)).withColumn("passing", F.coalesce((F.col("config") != base) & (F.col(metric) - F.col("_was") >= gain) & (F.col("p95_ms") < p95), F.lit(False)))
-    first = j.where("passing").agg(F.min_by("config", F.struct(-F.col(metric), "p95_ms", "config")).alias("_c"))
-    return j.crossJoin(F.broadcast(first)).withColumn("chosen", F.coalesce(F.col("config") == F.col("_c"), F.lit(False))).drop("_was", "_c")
+    was = configs.where(F.col("config") == base).agg(F.max(metric)).scalar()
+    j = configs.withColumn("passing", F.coalesce((F.col("config") != base) & (F.col(metric) - was >= gain) & (F.col("p95_ms") < p95), F.lit(False)))
+    first = j.where("passing").agg(F.min_by("config", F.struct(-F.col(metric), "p95_ms", "config"))).scalar()
+    return j.withColumn("chosen", F.coalesce(F.col("config") == first, F.lit(False)))
 
 
 def compare(metrics: DataFrame, left: str, right: str) -> DataFrame:
@@ -194,8 +201,8 @@ def calibration(df: DataFrame, pairs: dict[str, tuple[str, str]], key: str, at_l
     for name, (a, b) in pairs.items():
         k = kappa(df, a, b).select(F.lit(name).alias("dimension"), "n", "agreement", "kappa")
         out = k if out is None else out.unionByName(k)
-    own = out.agg(F.max(F.when(F.col("dimension") == key, (F.col("n") >= at_least) & (F.col("kappa") >= floor))).alias("trustworthy"))
-    return out.crossJoin(F.broadcast(own))
+    own = out.agg(F.max(F.when(F.col("dimension") == key, (F.col("n") >= at_least) & (F.col("kappa") >= floor)))).scalar()
+    return out.withColumn("trustworthy", own)
 
 
 def hit_share(hits: DataFrame, good: Column, k: int = 10, by: list[str] = ()) -> DataFrame:

@@ -44,8 +44,8 @@ def weights(docs: DataFrame, key: str, column: str, stop: Sequence[str] = (), mi
     rest the max_features most frequent stay, ties by term. Null texts have no terms.
     """
     counts = term_counts(docs, key, column, stop, bigrams)
-    total = docs.agg(F.count("*").alias("_n"))
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_all")).crossJoin(F.broadcast(total))
+    total = docs.agg(F.count("*")).scalar()
+    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_all")).withColumn("_n", total)
     vocabulary = vocabulary.where((F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
     if max_features:
         vocabulary = vocabulary.orderBy(F.desc("_all"), "term").limit(max_features)

@@ -11,8 +11,8 @@ BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0,
 
 def skill_counts(df: DataFrame, skills: str) -> DataFrame:
     """Rows of each skill and their share of all rows, rows without skills included."""
-    total = df.agg(F.count("*").alias("_n"))
-    return df.select(F.explode(skills).alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("skill", "n", (F.col("n") / F.col("_n")).alias("share"))
+    total = df.agg(F.count("*")).scalar()
+    return df.select(F.explode(skills).alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / total)
 
 
 def coverage(df: DataFrame, skills: str) -> DataFrame:
@@ -77,14 +77,18 @@ def summary(df: DataFrame, ts: str, now: Column, source: str, remote: str, skill
     Sources, skills and cities are few; each list is cut before it is gathered into the row.
     """
     rows = recent(df, ts, now, days)
-    line = lambda of, n, *cols: of.limit(n).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("l"))
+
+    def line(of: DataFrame, n: int, key: str, **names: str) -> Column:
+        """The first n rows as an array of structs, in order."""
+        rows = of.limit(n).agg(F.array_sort(F.collect_list(F.struct((-F.col(key)).alias("o"), *names.values()))).alias("l"))
+        return rows.select(F.transform("l", lambda x: F.struct(*[x[c].alias(k) for k, c in names.items()]))).scalar()
+
     of_skills = skill_counts(rows, skills).orderBy(F.desc("n"), "skill")
     of_cities = demand(rows, cities, remote).orderBy(F.desc("postings"), "city")
+    sources = value_counts(rows, source).agg(F.map_from_entries(F.collect_list(F.struct("value", "n")))).scalar()
     out = rows.agg(F.count("*").alias("postings"), F.round(F.coalesce(F.avg(F.col(remote).cast("double")), F.lit(0.0)), 3).alias("remote_share"))
-    out = out.crossJoin(value_counts(rows, source).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("sources")))
-    out = out.crossJoin(line(of_skills, top_skills, (-F.col("n")).alias("o"), "skill", "n", "share").select(F.transform("l", lambda x: F.struct(x["skill"].alias("skill"), x["n"].alias("postings"), x["share"].alias("share"))).alias("top_skills")))
-    out = out.crossJoin(line(of_cities, top_cities, (-F.col("postings")).alias("o"), "city", "postings", "remote_share").select(F.transform("l", lambda x: F.struct(x["city"].alias("city"), x["postings"].alias("postings"), x["remote_share"].alias("remote_share"))).alias("top_regions")))
-    return out.withColumn("window_days", F.lit(days))
+    top = {"top_skills": line(of_skills, top_skills, "n", skill="skill", postings="n", share="share"), "top_regions": line(of_cities, top_cities, "postings", city="city", postings="postings", remote_share="remote_share")}
+    return out.withColumns({"window_days": F.lit(days), "sources": sources} | top)
 
 
 def histogram(df: DataFrame, by: list[str], value: str, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:

@@ -461,8 +461,9 @@ def _(spark, d):
 def _(spark, d):
     docs, same, like = t(spark, d, "documents"), F.md5("text"), F.struct("n_chars", "source")
     like = F.when(F.col("n_chars").isNotNull() & F.col("source").isNotNull(), like)
-    counts = [history.pair_count(docs, *keys).withColumnRenamed("pairs", name) for name, keys in (("in_both", (same, like)), ("hash", (same,)), ("other", (like,)))]
-    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select("in_both", (F.col("hash") - F.col("in_both")).alias("only_hash"), (F.col("other") - F.col("in_both")).alias("only_other"))
+    both = history.pair_count(docs, same, like).withColumnRenamed("pairs", "in_both")
+    by = lambda key: history.pair_count(docs, key).scalar()
+    return both.select("in_both", (by(same) - F.col("in_both")).alias("only_hash"), (by(like) - F.col("in_both")).alias("only_other"))
 
 
 #: Tags, and the references that the shared pages use, replaced one by one: what stripping gives on them.

@@ -103,7 +103,7 @@ _EVAL = f"""{_Q}, {_fused('h', False, 10)}, c AS (SELECT 'keyword' AS config, qu
   i AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS pos FROM g),
   n AS (SELECT query_id, count(*) FILTER (grade > 0) AS rel, sum(grade / log2(pos + 1)) FILTER (pos <= 10) AS ideal FROM i GROUP BY query_id),
   m AS (SELECT config, query_id, count(*) FILTER (grade > 0) / any_value(rel) AS recall, count(*) FILTER (grade > 0) / count(*) AS precision, sum(grade / log2(rank + 1)) / any_value(ideal) AS ndcg, coalesce(1.0 / min(rank) FILTER (grade > 0), 0) AS mrr
-    FROM c JOIN g USING (query_id, doc_id) JOIN n USING (query_id) GROUP BY config, query_id)"""
+    FROM (SELECT config, query_id, rank, coalesce(grade, 0) AS grade FROM c LEFT JOIN g USING (query_id, doc_id)) JOIN n USING (query_id) GROUP BY config, query_id)"""
 
 
 @query("r16_evaluation", f"""WITH {_EVAL} SELECT config, count(*) AS queries, round(avg(recall), 6) AS recall_10, round(avg(precision), 6) AS precision_10, round(avg(ndcg), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr,
@@ -120,7 +120,10 @@ def _(spark, d):
     grades = found.distinct().join(docs, "key").join(want, "query_id").select("query_id", "key", grade.alias("grade"))
     # Documents of one language and source share their grade, so counts of these stand for all pairs.
     kinds = docs.groupBy("l", "s").agg(F.count("*").alias("n"))
-    counts = F.broadcast(want).join(kinds, (F.col("l") == F.col("wl")) | (F.col("s") == F.col("ws"))).groupBy("query_id", grade.alias("grade")).agg(F.sum("n").alias("n"))
+    of = lambda name, *on: kinds.groupBy(*[F.col(c).alias(f"w{c}") for c in on]).agg(F.sum("n").alias(name))
+    counted = want.join(of("nl", "l"), "wl").join(of("ns", "s"), "ws").join(of("nb", "l", "s"), ["wl", "ws"])
+    pairs = F.array(F.struct(F.lit(2).alias("grade"), F.col("nl").alias("n")), F.struct(F.lit(1).alias("grade"), (F.col("ns") - F.col("nb")).alias("n")))
+    counts = counted.select("query_id", F.explode(pairs).alias("g")).select("query_id", "g.grade", "g.n")
     took = None
     for name in configs:
         own = q.select(F.lit(name).alias("config"), (F.col("query_id") % 700).cast("double").alias("latency_ms"))

@@ -81,7 +81,7 @@ class Source:
         rows = items.select("source", "source_id", "slug", F.from_json("payload", self.schema).alias("j"))
         if self.by_company:
             own = companies.where(F.col("provider") == self.name).select("slug", F.col("name").alias("_company"))
-            rows = rows.join(F.broadcast(own), "slug", "left")
+            rows = rows.join(own, "slug", "left")
         else:
             rows = rows.withColumn("_company", F.lit(None).cast("string"))
         if self.before:
