@@ -23,9 +23,9 @@ def check(got, rows):
     assert sorted(kept, key=str) == sorted((min((x for x in ids if x is not None), default=None) for ids in groups.values()), key=str)
 
 
-@pytest.mark.parametrize("bits", [1 << 23, 64])
+@pytest.mark.parametrize("bits", [1 << 26, 64])
 def test_odd_rows(spark, monkeypatch, bits):
-    monkeypatch.setattr(exact, "BITS", bits)  # a full bitmap only means more rows are hashed
+    monkeypatch.setattr(exact, "MOST_BITS", bits)  # a full bitmap only means more rows are hashed
     got = exact.refine(*keyed(odd_docs(spark))).collect()
     check(got, [r[:2] for r in odd_rows()])
 
