@@ -120,3 +120,14 @@ def test_summary_of_nothing(spark):
     none = spark.createDataFrame([], "posted_at timestamp, source string, remote boolean, skills array<string>, cities array<string>")
     s = trends.summary(none, "posted_at", F.current_timestamp(), "source", "remote", "skills", "cities").first()
     assert (s.postings, s.remote_share, s.sources, s.top_skills) == (0, 0.0, {}, [])
+
+
+def test_too_few_rows_raise(spark):
+    from tidemill.operators import labels
+
+    split = spark.range(60).selectExpr("id", "IF(id < 49, 'train', 'test') AS part")
+    with pytest.raises(ValueError, match="training needs 50 rows or more, got 49"):
+        labels.training_part(split)
+    assert labels.training_part(spark.range(51).selectExpr("id", "'train' AS part")).count() == 51
+    with pytest.raises(ValueError, match="clustering needs 20"):
+        topics.cluster(topics.dense(spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v"), "k")

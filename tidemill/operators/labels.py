@@ -127,6 +127,19 @@ def hold_out(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return split(df, key, max(1, int(df.count() * share)), seed)
 
 
+#: Fixed value: labelled rows that a training needs.
+TRAINING_ROWS = 50
+
+
+def training_part(df: DataFrame, part: str = "part") -> DataFrame:
+    """The train rows of a split; fewer than TRAINING_ROWS raise."""
+    from tidemill.operators import topics
+
+    rows = df.where(F.col(part) == "train")
+    topics.require_rows(rows, TRAINING_ROWS, "training")
+    return rows
+
+
 def chat_rows(df: DataFrame, prompt: str, title: Column, description: Column, label: str) -> DataFrame:
     """One JSON column: a system, a user and an assistant turn that answers with the sorted label."""
     from tidemill.functions import text

@@ -124,10 +124,21 @@ def silhouettes(points: DataFrame, ks: Sequence[int] = range(3, 11), restarts: i
     return out
 
 
+def row_guard(df: DataFrame, minimum: int, what: str) -> DataFrame:
+    """(what, rows, enough): rows counted up to the minimum, and whether they reach it."""
+    return df.limit(minimum).agg(F.lit(what).alias("what"), F.count("*").alias("rows")).withColumn("enough", F.col("rows") >= minimum)
+
+
+def require_rows(df: DataFrame, minimum: int, what: str) -> None:
+    """Raises where there are too few rows for what is to be done with them."""
+    found = row_guard(df, minimum, what).first()
+    if not found.enough:
+        raise ValueError(f"{what} needs {minimum} rows or more, got {found.rows}")
+
+
 def cluster(points: DataFrame, key: str, k: int | None = None, ks: Sequence[int] = range(3, 11), restarts: int = 10, seed: int = 42, at_least: int = 20) -> DataFrame:
     """(key, cluster) by k-means; k is that of the best silhouette, the first of equals, if not given."""
-    if points.limit(at_least).count() < at_least:
-        raise ValueError(f"clustering needs {at_least} rows or more")
+    require_rows(points, at_least, "clustering")
     with held(points):
         if k is None:
             scores = silhouettes(points, ks, restarts, seed)

@@ -171,3 +171,12 @@ def _(spark, d):
 @query("x4_second_pass", "SELECT doc_id FROM labels ORDER BY md5('11' || doc_id), doc_id LIMIT 20")
 def _(spark, d):
     return labels.second_pass(t(spark, d, "labels"), "doc_id", 20, 11).select("doc_id")
+
+
+@query("p15_row_guards", "SELECT 'regions' AS what, least(count(*), 20) AS rows, count(*) >= 20 AS enough FROM region UNION ALL SELECT 'nations', least(count(*), 20), count(*) >= 20 FROM nation UNION ALL SELECT 'orders', least(count(*), 20), count(*) >= 20 FROM orders")
+def _(spark, d):
+    out = None
+    for what, name in (("regions", "region"), ("nations", "nation"), ("orders", "orders")):
+        part = topics.row_guard(t(spark, d, name), 20, what)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -86,12 +86,20 @@ _ASKING = f"""sk AS ({_SKILLS}), own AS (SELECT doc_id, coalesce(list(skill ORDE
   f AS (SELECT *, CASE WHEN len(wants) > 0 THEN len(list_intersect(wants, has)) / len(wants) END AS fit FROM m)"""
 
 
+@query("k7_best_matches", f"WITH {_ASKING} SELECT query_id, doc_id, round(fit, 6) AS fit FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fit DESC NULLS LAST, rank, doc_id) <= 3")
+def _(spark, d):
+    return r6(profile_matches(spark, d).where("position <= 3").select("query_id", "doc_id", "fit"))
+
+
 @query("r15_profile_matches", f"""WITH {_ASKING} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fit DESC NULLS LAST, rank, doc_id) AS INT) AS position, round(fit, 6) AS fit,
   array_to_string(list_sort(list_filter(wants, lambda x: NOT list_contains(has, x))), ',') AS gap FROM f""")
 def _(spark, d):
+    return r6(profile_matches(spark, d)).select("query_id", "doc_id", "position", "fit", F.array_join("gap", ",").alias("gap"))
+
+
+def profile_matches(spark, d):
     skilled = tagged(spark, d).select("doc_id", "skills")
     profiles = skilled.where("doc_id % 100 = 0").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
     asked = profiles.select(F.col("doc_id").alias("query_id"), "skills", answers.profile_query(F.col("skills"), F.col("text")).alias("text"))
     hits = search.keyword(search.posting_list(t(spark, d, "documents"), "doc_id", {"text": 1.0}), asked, "doc_id", 8)
-    got = answers.matches(hits, asked, skilled, "doc_id")
-    return r6(got).select("query_id", "doc_id", "position", "fit", F.array_join("gap", ",").alias("gap"))
+    return answers.matches(hits, asked, skilled, "doc_id")
