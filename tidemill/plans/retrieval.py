@@ -207,7 +207,7 @@ _ANALYSED = f"""d AS (SELECT doc_id, unnest({_OWN.format('source')}) AS term, 1.
 @query("r1_analysed_terms", f"WITH {_ANALYSED} SELECT doc_id, stem AS term, CAST(sum(weight) AS DOUBLE) AS weight, count(*) AS positions FROM ds GROUP BY ALL")
 def _(spark, d):
     rows = search.posting_list(corpus(spark, d).postings, "doc_id", {"title": 1.0, "description": 0.25}, english.terms)
-    return rows.groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"), F.count("*").alias("positions"))
+    return rows.groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"), F.sum("n").alias("positions"))
 
 
 @query("r2_analysed_search", f"WITH {_ANALYSED} SELECT query_id, doc_id, CAST(count(*) * 0.25 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS INT) AS rank FROM ds JOIN bs USING (stem) WHERE weight = 0.25 GROUP BY query_id, doc_id QUALIFY rank <= 20")

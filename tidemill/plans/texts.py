@@ -156,10 +156,10 @@ def _(spark, d):
     return own.select("vec_id", (F.round(F.col("v")[0], 6) + 0).alias("first"), (F.round(F.element_at("v", -1), 6) + 0).alias("last"))
 
 
-@query("d8_vector_literal", "SELECT vec_id, md5('[' || array_to_string(list_transform(embedding, lambda x: format('{:.6f}', CAST(x AS DOUBLE))), ',') || ']') AS literal, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))), 5) AS total FROM embeddings")
+@query("d8_vector_literal", "SELECT vec_id, md5('[' || array_to_string(list_transform(embedding, lambda x: format('{:.6f}', CAST(x AS DOUBLE))), ',') || ']') AS literal, CAST(round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))) * 1000000) AS BIGINT) AS total FROM embeddings")
 def _(spark, d):
     e, v = t(spark, d, "embeddings"), search.quantised(F.col("embedding"))
-    return e.select("vec_id", F.md5(search.literal(F.col("embedding"))).alias("literal"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    return e.select("vec_id", F.md5(search.literal(F.col("embedding"))).alias("literal"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) * 1_000_000).cast("long").alias("total"))
 
 
 _PRICES = {"small": (0.02, 0.0), "large": (3.0, 15.0)}

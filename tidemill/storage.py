@@ -27,6 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bytes for each core between which a table that comes in few files is dealt over all cores.
+DEALT_BYTES = 256 << 10, 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of files, dealt over all cores if it is small and comes in fewer files than there are cores.
+
+    A file of one row group is read by one task, however many cores wait. Beyond the upper bound the
+    table stays as it lies: its files are split, and dealing it would move too much.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    low, high = (b * cores for b in DEALT_BYTES)
+    return df.repartition(cores) if low <= size <= high and len(df.inputFiles()) < cores else df
+
+
 #: Settled tables that still stand, with their sessions, and the open scopes that own some of them.
 _TABLES: dict[str, SparkSession] = {}
 _SCOPES: list[list[str]] = []
