@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemill.storage import release, scratch, settle, shared_dir  # noqa: F401
+from tidemill.storage import release, scratch, settle, shared_dir, spread  # noqa: F401
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
@@ -20,7 +20,7 @@ BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -33,7 +33,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def _reads_files(plan) -> bool:
     """Whether a plan only selects from one table of Parquet files, the same way each time."""
-    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "Repartition"):
         if not plan.deterministic():
             return False
         plan = plan.children().head()

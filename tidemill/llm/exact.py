@@ -21,8 +21,8 @@ from tidemill.llm.common import drop_rows, join_groups, keyed, release, settle,
 
 #: Characters of the prefix that the second level hashes.
 PREFIX = 64
-#: Bits for each group in the bitmap that says which groups are left, and the most it has (8 MB).
-BITS_A_GROUP, MOST_BITS = 16, 1 << 26
+#: Bits of the bitmap that says which groups are left. It is kept as the words that have any set, 2^20 at most.
+BITS = 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -30,20 +30,21 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _shared(rows: DataFrame, *key: str) -> tuple[DataFrame, int]:
-    """The bitmap (word, bits) of the keys that two or more rows have, and its size: MOST_BITS / 64 rows at most."""
-    found = settle(rows.groupBy(*key).count().where("count > 1").select(F.xxhash64(*key).alias("h")), "exact-groups-left")
-    size = min(MOST_BITS, max(64, 1 << (BITS_A_GROUP * found.count()).bit_length()))
-    slot = F.pmod("h", F.lit(size))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-    words = settle(found.select(F.floor(slot / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "exact-shared")
-    release(found)
-    return words, size
+def _slot(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BITS))
 
 
-def _with_bit(rows: DataFrame, bitmap: DataFrame, size: int, *key: str) -> DataFrame:
+def _shared(rows: DataFrame, *key: str) -> DataFrame:
+    """The bitmap (word, bits) of the keys that two or more rows have: a row for each such key, BITS / 64 at most."""
+    found = rows.groupBy(*key).count().where("count > 1").select(_slot(*key).alias("s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
+    words = found.select(F.floor(F.col("s") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return settle(words, "exact-shared")
+
+
+def _with_bit(rows: DataFrame, bitmap: DataFrame, *key: str) -> DataFrame:
     """rows with `left`, which is true for every key of the bitmap."""
-    slot = F.pmod(F.xxhash64(*key), F.lit(size))
+    slot = _slot(*key)
     joined = rows.withColumn("word", F.floor(slot / 64)).join(F.broadcast(bitmap), "word", "left")
     bit = F.getbit(F.coalesce("bits", F.lit(0).cast("long")), F.pmod(slot, F.lit(64)).cast("int"))
     return joined.withColumn("left", bit == 1).drop("word", "bits")
@@ -58,10 +59,10 @@ def refine(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "t
     scan = docs.select(F.col(key).alias("key"), F.col(id_col).alias("id"), norm.alias("t"))
     scan = scan.select("key", "id", F.octet_length("t").cast("long").alias("n"), F.xxhash64(F.substring("t", 1, prefix)).alias("p"), "t")
     rows = settle(scan.drop("t", "key", "id"), "exact")
-    lengths, of_lengths = _shared(rows, "n")
-    prefixes, of_prefixes = _shared(_with_bit(rows, lengths, of_lengths, "n").where("left"), "n", "p")
+    lengths = _shared(rows, "n")
+    prefixes = _shared(_with_bit(rows, lengths, "n").where("left"), "n", "p")
     # The second scan hashes the full texts of surviving groups only; nothing of it is shuffled.
-    found = _with_bit(scan, prefixes, of_prefixes, "n", "p").select("key", "id", F.when(F.col("left"), F.sha2("t", 256)).alias("sha"))
+    found = _with_bit(scan, prefixes, "n", "p").select("key", "id", F.when(F.col("left"), F.sha2("t", 256)).alias("sha"))
     found = settle(found, "exact-full")
     release(rows, lengths, prefixes)
     first = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "key")).alias("first")
