@@ -80,11 +80,16 @@ def exists(spark: SparkSession, at: str) -> bool:
     return files.exists(path)
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes what is at a path, if anything is."""
+    files, path = _hadoop(spark, at)
+    files.delete(path, True)
+
+
 def _delete(at: str) -> None:
     spark = _TABLES.pop(at, None)
     if spark is not None and spark._jvm is not None:
-        files, path = _hadoop(spark, at)
-        files.delete(path, True)
+        remove(spark, at)
 
 
 def release(*tables: DataFrame) -> None:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.storage import exists
+from tidemill.storage import exists, remove
 
 LIMIT, SECONDS = 10, 60
 
@@ -39,7 +39,8 @@ def capture_changes(stream: DataFrame, path: str, keys: list[str], hash_col: str
     """Appends to the table at path what differs from its latest row of the same key.
 
     Beside the table stands the latest hash of each key, which is all a batch is compared with. Both
-    are written under the number of the batch, so a batch that is run again writes the same again.
+    are written under the number of the batch, so a batch that is run again writes the same again; of
+    the latest hashes the last two states are kept.
     """
     state = f"{path.rstrip('/')}_latest"
 
@@ -51,6 +52,7 @@ def capture_changes(stream: DataFrame, path: str, keys: list[str], hash_col: str
         changes(batch, latest, keys, hash_col, seq).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         last = batch.groupBy(*keys).agg(F.max_by(hash_col, seq).alias(hash_col))
         latest.join(last, keys, "left_anti").unionByName(last).write.mode("overwrite").parquet(f"{state}/{epoch}")
+        remove(spark, f"{state}/{epoch - 2}")  # a batch that is run again needs the one before, no earlier one
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
