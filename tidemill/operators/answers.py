@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import text
 from tidemill.operators import search
 
-# What a scorer reads of a document, header and all, and of its body's head; the gate; sources and matches.
+# What a model with a window reads of a document, header and all, and of its body's head; the gate.
 DOCUMENT_CHARS, HEAD_CHARS = 2000, 1600
 MIN_SIMILARITY = 0.30
 DOCUMENTS = ("snippet", "head", "section")
@@ -26,9 +26,10 @@ def overlap(query: Column, document: Column) -> Column:
     return F.when(F.size(q) > 0, shared / F.size(q)).otherwise(0.0)
 
 
-def document(parts: list[Column], body: Column) -> Column:
-    """Parts that aren't empty and the body, divided by full stops."""
-    return F.substring(F.array_join(F.filter(F.array(*parts, body), lambda x: x != ""), ". "), 1, DOCUMENT_CHARS)
+def document(parts: list[Column], body: Column, chars: int | None = None) -> Column:
+    """Parts that aren't empty and the body, divided by full stops; whole, or cut to what a model reads (DOCUMENT_CHARS)."""
+    whole = F.array_join(F.filter(F.array(*parts, body), lambda x: x != ""), ". ")
+    return F.substring(whole, 1, chars) if chars else whole
 
 
 def bodies(kind: str, hits: DataFrame, key: str, snippets: DataFrame | None = None, docs: DataFrame | None = None, chunks: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:

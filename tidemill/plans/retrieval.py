@@ -57,7 +57,7 @@ def _(spark, d):
 
 
 _TERMS = "list_distinct(" + _OWN.format("q.text") + ")"
-_READ = _OWN.format("substr(d.source || '. ' || d.text, 1, 2000)")
+_READ = _OWN.format("d.source || '. ' || d.text")
 
 
 @query("k5_rerank_pool", f"""WITH {_Q}, {_fused('h', False, 30)}, p AS (SELECT query_id, h.doc_id, h.rank AS first_stage, len(list_intersect({_TERMS}, {_READ})) / len({_TERMS}) AS s FROM h JOIN q USING (query_id) JOIN documents d USING (doc_id))

@@ -52,7 +52,7 @@ def _(spark, d):
 
 
 _ASKED = "list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
-_READ = "list_filter(regexp_split_to_array(lower(substr(d.source || '. ' || d.text, 1, 2000)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_READ = "list_filter(regexp_split_to_array(lower(d.source || '. ' || d.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 
 @query("r7_rerank", f"""WITH {_KW}, p AS (SELECT query_id, k.doc_id, CAST(k.rank AS INT) AS first_stage,
