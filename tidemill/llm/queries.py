@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, decontam, exact, htmltext, langid, licenses, quality, secrets, simhash, tokencounts
+from tidemill.llm import bpe, decontam, exact, htmltext, langid, licenses, pieces, quality, secrets, simhash, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_exact_dedup": exact.query,
     "op10_token_counts": tokencounts.query,
+    "op11_sentencepiece_round_trip": pieces.query,
 }
 ORACLES = {"op9_exact_dedup": exact.ORACLE}
