@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, decontam, exact, htmltext, langid, licenses, pieces, quality, secrets, simhash, tokencounts
+from tidemill.llm import bpe, decontam, exact, htmltext, langid, licenses, periods, pieces, quality, secrets, simhash, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_exact_dedup": exact.query,
     "op10_token_counts": tokencounts.query,
     "op11_sentencepiece_round_trip": pieces.query,
+    "op12_periodic_runs": periods.query,
 }
 ORACLES = {"op9_exact_dedup": exact.ORACLE}
