@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, decontam, exact, htmltext, langid, licenses, periods, pieces, quality, secrets, simhash, tokencounts
+from tidemill.llm import bpe, decontam, exact, htmltext, langid, licenses, periods, pieces, quality, secrets, simhash, tokencounts, variants
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_counts": tokencounts.query,
     "op11_sentencepiece_round_trip": pieces.query,
     "op12_periodic_runs": periods.query,
+    "op13_spelling_variants": variants.query,
 }
-ORACLES = {"op9_exact_dedup": exact.ORACLE}
+ORACLES = {"op9_exact_dedup": exact.ORACLE, "op13_spelling_variants": variants.ORACLE}
