@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.storage import settle
+
 
 def discount(position: Column) -> Column:
     """What a hit counts at a position from 1."""
@@ -152,9 +154,54 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.when(F.col("top") == F.col("due"), 1.0).otherwise((F.col("both") - F.col("due")) / (F.col("top") - F.col("due"))).alias("ari"))
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles: the value at position ceil(q n) of the sorted values."""
-    return df.groupBy(*by).agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, q in qs.items()])
+#: Values that a rank is sought among by sorting them; of more, the leading digits are counted first.
+SORTED, BUCKETS = 4096, 1024
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, qs: dict[str, float], at_once: int = SORTED) -> DataFrame:
+    """Nearest-rank percentiles: the value at position ceil(q n) of a group's sorted values, exact in bounded memory.
+
+    Values are counted by sign and exponent; the bucket that holds the rank is then cut into BUCKETS
+    parts of its range, as often as it takes until at_once values are left, which are sorted. So a pass
+    keeps a few thousand counts a group, however many values that has. Nulls don't count, NaN is the
+    greatest, and a group of nulls alone has null percentiles.
+    """
+    kind = df.schema[value].dataType
+    rows = df.select(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v"))
+    totals = settle(rows.groupBy("_g").agg(F.count("_v").alias("_n")), "totals")
+    asked = F.array(*[F.struct(F.lit(name).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n"))).cast("long").alias("rank")) for name, q in qs.items()])
+    sought = totals.where("_n > 0").select("_g", F.col("_n").alias("_c"), F.explode(asked).alias("_a")).select("_g", "_c", "_a.q", "_a.rank")
+    sought = sought.select("*", F.lit(float("-inf")).alias("_lo"), F.lit(float("nan")).alias("_hi"))
+    first = True
+    while True:
+        sought = settle(sought, "sought")
+        wide = sought.where((F.col("_c") > at_once) & (F.col("_lo") != F.col("_hi")))
+        if wide.isEmpty():
+            break
+        code = _exponent(F.col("_v")) if first else F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS).cast("int")
+        counted = _between(rows, wide).groupBy("_g", "q", "rank", code.alias("_code")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        up_to = F.sum("_c").over(Window.partitionBy("_g", "q").orderBy("_code"))
+        hit = counted.withColumn("_t", up_to).where((F.col("_t") >= F.col("rank")) & (F.col("_t") - F.col("_c") < F.col("rank")))
+        narrowed = hit.select("_g", "_c", "q", (F.col("rank") - F.col("_t") + F.col("_c")).alias("rank"), "_lo", "_hi")
+        sought, first = narrowed.unionByName(sought.where((F.col("_c") <= at_once) | (F.col("_lo") == F.col("_hi")))), False
+    place = F.row_number().over(Window.partitionBy("_g", "q").orderBy("_v"))
+    few = _between(rows, sought.where(F.col("_lo") != F.col("_hi"))).withColumn("_n", place).where(F.col("_n") == F.col("rank")).select("_g", "q", "_v")
+    found = few.unionByName(sought.where(F.col("_lo") == F.col("_hi")).select("_g", "q", F.col("_lo").alias("_v")))
+    wide = found.groupBy("_g").agg(*[F.max(F.when(F.col("q") == name, F.col("_v"))).cast(kind).alias(name) for name in qs])
+    return totals.select("_g").join(wide, "_g", "left").select("_g.*", *qs)
+
+
+def _exponent(v: Column) -> Column:
+    """A number that grows with v and is equal for values of one sign and exponent; NaN comes last."""
+    size = F.floor(F.log2(F.abs(v))).cast("int") + 1100
+    of = F.when(F.abs(v) == float("inf"), 4000).when(v == 0, 0).otherwise(size)
+    return F.when(F.isnan(v), 5000).when(v < 0, -of).otherwise(of)
+
+
+def _between(rows: DataFrame, sought: DataFrame) -> DataFrame:
+    """Each value of rows(_g, _v) with the percentiles of its group that lie between the same bounds."""
+    near = F.broadcast(sought) if sought.count() <= SORTED else sought
+    return rows.where(F.col("_v").isNotNull()).join(near.drop("_c"), "_g").where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
 
 def verdict(condition: Column) -> Column:

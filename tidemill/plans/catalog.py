@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import chunks, money, text
 from tidemill.functions.skills import SKILLS, skills_in
-from tidemill.operators import history, labels, measures, search, trends
+from tidemill.operators import cells, history, index, labels, measures, search, trends
+from tidemill.plans import stored
 from tidemill.plans.registry import query, r6, t
 from tidemill.sources import boards
 
@@ -245,7 +246,7 @@ def _(spark, d):
   FROM c a JOIN c b ON a.vec_id < b.vec_id AND a.g = b.g WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4
   UNION ALL SELECT c.vec_id, e.vec_id, 1.0 FROM embeddings e JOIN c ON e.label % 2 = c.g AND e.embedding = c.embedding AND e.vec_id > c.vec_id""")
 def _(spark, d):
-    return r6(search.similar_pairs(t(spark, d, "embeddings"), "vec_id", 0.4, F.col("label") % 2))
+    return r6(cells.similar(t(spark, d, "embeddings"), "vec_id", 0.4, F.col("label") % 2).pairs)
 
 
 _OWN = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -255,9 +256,8 @@ _KW = f"""w AS (SELECT doc_id, unnest({_OWN.format('text')}) AS term FROM docume
     FROM w JOIN q USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 50)"""
 
 
-def keyword_hits(spark, d, limit=20):
-    queries = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.keyword(search.posting_list(t(spark, d, "documents"), "doc_id", {"text": 0.5}), queries, "doc_id", limit)
+def keyword_hits(spark, d, limit=20, where="true"):
+    return index.find(stored.texts(spark, d), stored.benchmark(spark, d).where(where), limit, 0.5).hits
 
 
 @query("r3_keyword_search", f"WITH {_KW} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 20")
@@ -276,7 +276,7 @@ CANDIDATES = 50
 
 
 def two_lists(spark, d):
-    words = keyword_hits(spark, d, CANDIDATES).where("query_id % 100 = 0").select("query_id", F.col("doc_id").alias("id"), "rank")
+    words = keyword_hits(spark, d, CANDIDATES, "query_id % 100 = 0").select("query_id", F.col("doc_id").alias("id"), "rank")
     return words, hits(spark, d, CANDIDATES).select("query_id", F.col("vec_id").alias("id"), "rank")
 
 

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.functions import english
-from tidemill.operators import answers, measures, search, topics
+from tidemill.operators import answers, cells, index, measures, search, topics
 from tidemill.plans.catalog import _COS, _HITS, _LISTS, _OWN, hits, two_lists
-from tidemill.plans import stems
+from tidemill.plans import stems, stored
 from tidemill.plans.registry import query, r6, t
 from tidemill.plans.topics import STOP, _tfidf
 
@@ -182,9 +181,9 @@ def _(spark, d):
 _KWALL = f"""w AS (SELECT doc_id, unnest({_OWN.format('text')}) AS term FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest({_OWN.format('text')}) AS term FROM benchmark)"""
 
 
-def keyword_hits(spark, d, limit: int, analyse=search.terms):
-    queries = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.keyword(search.posting_list(t(spark, d, "documents"), "doc_id", {"text": 0.25}, analyse), queries, "doc_id", limit, analyse)
+def keyword_hits(spark, d, limit: int, stems: bool = False):
+    made = stored.analysed(spark, d) if stems else stored.texts(spark, d)
+    return index.find(made, stored.benchmark(spark, d), limit, 0.25).hits
 
 
 @query("k1_keyword_top_k", f"WITH {_KWALL} SELECT query_id, doc_id, CAST(count(*) * 0.25 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS INT) AS rank FROM w JOIN q USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 5")
@@ -194,7 +193,7 @@ def _(spark, d):
 
 @query("j12_query_matches", f"WITH {_KWALL} SELECT query_id, count(DISTINCT doc_id) AS docs FROM w JOIN q USING (term) GROUP BY query_id")
 def _(spark, d):
-    return keyword_hits(spark, d, 0).groupBy("query_id").agg(F.count("*").alias("docs"))
+    return index.matches(stored.texts(spark, d), stored.benchmark(spark, d)).groupBy("query_id").agg(F.count("*").alias("docs"))
 
 
 #: Words of documents and questions that are no stop words, and the stems of them all.
@@ -206,13 +205,12 @@ _ANALYSED = f"""d AS (SELECT doc_id, unnest({_OWN.format('source')}) AS term, 1.
 
 @query("r1_analysed_terms", f"WITH {_ANALYSED} SELECT doc_id, stem AS term, CAST(sum(weight) AS DOUBLE) AS weight, count(*) AS positions FROM ds GROUP BY ALL")
 def _(spark, d):
-    rows = search.posting_list(corpus(spark, d).postings, "doc_id", {"title": 1.0, "description": 0.25}, english.terms)
-    return rows.groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"), F.sum("n").alias("positions"))
+    return index.postings(stored.analysed(spark, d, title=True), spark).withColumnRenamed("n", "positions")
 
 
 @query("r2_analysed_search", f"WITH {_ANALYSED} SELECT query_id, doc_id, CAST(count(*) * 0.25 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS INT) AS rank FROM ds JOIN bs USING (stem) WHERE weight = 0.25 GROUP BY query_id, doc_id QUALIFY rank <= 20")
 def _(spark, d):
-    return keyword_hits(spark, d, 20, english.terms)
+    return keyword_hits(spark, d, 20, stems=True)
 
 
 @query("k3_top_terms", f"WITH {_tfidf('true', 'tf', 5000)} SELECT doc_id, string_agg(term, ',' ORDER BY raw DESC, term) AS terms FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, term) <= 3) GROUP BY doc_id")
@@ -224,7 +222,7 @@ def _(spark, d):
 @query("k4_top_pairs", """WITH p AS (SELECT a.vec_id AS low, b.vec_id AS high, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label % 2 = b.label % 2)
   SELECT * FROM p WHERE similarity >= 0.4 ORDER BY similarity DESC, low, high LIMIT 500""")
 def _(spark, d):
-    pairs = r6(search.similar_pairs(t(spark, d, "embeddings"), "vec_id", 0.3999, F.col("label") % 2)).where("similarity >= 0.4")
+    pairs = r6(cells.similar(t(spark, d, "embeddings"), "vec_id", 0.3999, F.col("label") % 2, top=500).pairs).where("similarity >= 0.4")
     return pairs.orderBy(F.desc("similarity"), "low", "high").limit(500)
 
 

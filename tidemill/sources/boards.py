@@ -7,8 +7,6 @@ parse is an item that is no posting, never an error of the job.
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions import chunks, money, text
+from tidemill.storage import settle
 
 # The fields that are read of each source's job.
 GREENHOUSE = "id STRING,title STRING,location STRUCT<name STRING>,content STRING,first_published STRING,updated_at STRING,absolute_url STRING"
@@ -25,9 +24,9 @@ ASHBY = "id STRING,title STRING,location STRING,secondaryLocations ARRAY<STRUCT<
 REMOTEOK = "id STRING,company STRING,position STRING,description STRING,location STRING,salary_min LONG,salary_max LONG,date STRING,url STRING"
 COMMENT = "id STRING,author STRING,created_at STRING,text STRING"
 COMPANY_CHARS, TITLE_CHARS = 80, 120
-#: What in a part of a comment's header says that it is pay, or a place.
-PAY_SIGNS, PAY_WORDS, PAY_ENDS, PAY_FIGURES = "$£€₹", ("salary",), ("comp",), (r"\d{2,3}\s*[kK]", r"\d{5,6}")
-PLACE_WORDS, PLACE_CODE = (",", "remote", "onsite", "on-site", "hybrid"), r"[A-Z]{2}"
+# What in a part of a comment's header says that it is pay, in any case, or a place.
+PAY_HINT = r"[\$£€₹]|\b\d{2,3}\s*[kK]\b|\b\d{5,6}\b|salary|comp\b"
+PLACE_HINT = r",|remote|onsite|on-site|hybrid|\b[A-Z]{2}\b"
 
 #: Columns of a posting, in order.
 POSTING = ("source", "source_id", "title", "company", "location", "remote_hint", "salary_raw", "html", "url", "posted_at")
@@ -147,21 +146,10 @@ def header_parts(pages):
     return lines.map(lambda x: [p.strip() for p in x.split("|") if p.strip()])
 
 
-def _is_pay(part: Column) -> Column:
-    low = F.lower(part)
-    figures = "|".join(PAY_FIGURES)
-    said = [F.contains(low, F.lit(w)) for w in (*PAY_WORDS, *PAY_SIGNS)] + [low.rlike(rf"(?U){w}\b") for w in PAY_ENDS]
-    return functools.reduce(operator.or_, said, part.rlike(rf"(?U)\b(?:{figures})\b"))
-
-
-def _is_place(part: Column) -> Column:
-    return functools.reduce(operator.or_, [F.contains(part, F.lit(w)) for w in PLACE_WORDS], part.rlike(rf"(?U)\b{PLACE_CODE}\b"))
-
-
 def _comment(j: Column, parts: Column) -> dict[str, Column]:
     company, title, rest = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))
-    pay = F.get(F.filter(rest, _is_pay), F.lit(0))
-    places = F.filter(rest, lambda x: _is_place(x) & ~F.coalesce(x == pay, F.lit(False)))
+    pay = F.get(F.filter(rest, lambda x: x.rlike(f"(?iU){PAY_HINT}")), F.lit(0))
+    places = F.filter(rest, lambda x: x.rlike(f"(?U){PLACE_HINT}") & ~F.coalesce(x == pay, F.lit(False)))
     return {
         "title": title, "company": company, "location": F.get(places, F.lit(0)), "salary_raw": pay, "html": j["text"], "url": F.concat(F.lit("https://news.ycombinator.com/item?id="), j["id"]),
         "posted_at": _date(j["created_at"]), "remote_hint": text.is_remote(F.array_join(parts, " ")),
@@ -221,9 +209,27 @@ def silver(parsed: DataFrame) -> DataFrame:
 
 
 def until_enough(boards: DataFrame, limit: int, order: str = "position", usable: str = "usable") -> DataFrame:
-    """Boards in order up to the one that brings the usable jobs to the limit; one row a board."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return boards.withColumn("_s", F.coalesce(F.sum(usable).over(before), F.lit(0))).where(F.col("_s") < limit).drop("_s")
+    """Boards in order up to the one that brings the usable jobs to the limit; one row a board.
+
+    Boards are dealt into ranges of their order, and the ranges' sums added up. Ranges that end before
+    the limit stay whole, the one that reaches it is ordered, and later ones are not looked at again.
+    """
+    ranges = settle(boards.repartitionByRange(order).withColumn("_r", F.spark_partition_id()), "ranges")
+    before, whole, last = 0, [], None
+    for r in ranges.groupBy("_r").agg(F.sum(F.coalesce(usable, F.lit(0))).alias("s")).orderBy("_r").collect():  # as many as there are partitions
+        if before >= limit:
+            break
+        if before + r.s >= limit:
+            last = (r._r, before)
+        else:
+            whole.append(r._r)
+        before += r.s
+    out = ranges.where(F.col("_r").isin(whole)).drop("_r")
+    if last is None:
+        return out
+    sums = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rest = ranges.where(F.col("_r") == last[0]).withColumn("_s", F.coalesce(F.sum(usable).over(sums), F.lit(0)))
+    return out.unionByName(rest.where(F.col("_s") < limit - last[1]).drop("_r", "_s"))
 
 
 def audit(parsed: DataFrame, failed: DataFrame | None = None) -> DataFrame:

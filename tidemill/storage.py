@@ -57,6 +57,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return at
 
 
+@contextlib.contextmanager
+def kept() -> Iterator[None]:
+    """What is settled inside stays until it is released or the process ends, whatever scope is around."""
+    open_scopes = _SCOPES[:]
+    _SCOPES.clear()
+    try:
+        yield
+    finally:
+        _SCOPES[:] = open_scopes
+
+
+def stamp(df: DataFrame) -> tuple:
+    """The files of a table with their lengths and times: what changes when the table does."""
+    out = []
+    for name in sorted(df.inputFiles()):
+        files, path = _hadoop(df.sparkSession, name)
+        status = files.getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts the lineage.
 
