@@ -107,6 +107,40 @@ def remove(spark: SparkSession, at: str) -> None:
     files.delete(path, True)
 
 
+def names(spark: SparkSession, at: str) -> list[str]:
+    """What stands in a folder; nothing if it isn't there."""
+    files, path = _hadoop(spark, at)
+    return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
+
+def claim(spark: SparkSession, at: str) -> bool:
+    """Makes an empty file; false if it is there."""
+    files, path = _hadoop(spark, at)
+    return files.createNewFile(path)
+
+
+def rename(spark: SparkSession, at: str, to: str) -> None:
+    files, path = _hadoop(spark, at)
+    if not files.rename(path, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"cannot rename {at} to {to}")
+
+
+def write_text(spark: SparkSession, at: str, text: str) -> None:
+    files, path = _hadoop(spark, at)
+    out = files.create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, at: str) -> str:
+    files, path = _hadoop(spark, at)
+    stream = files.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def _delete(at: str) -> None:
     spark = _TABLES.pop(at, None)
     if spark is not None and spark._jvm is not None:

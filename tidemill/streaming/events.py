@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.storage import exists, remove
+from tidemill.storage import exists, names, remove
 
 LIMIT, SECONDS = 10, 60
 
@@ -35,24 +35,39 @@ def changes(batch: DataFrame, latest: DataFrame, keys: list[str], hash_col: str,
     return rows.where(new | ~F.col(hash_col).eqNullSafe(F.col("_before"))).select(*batch.columns)
 
 
-def capture_changes(stream: DataFrame, path: str, keys: list[str], hash_col: str, seq: str, checkpoint: str):
+def capture_changes(stream: DataFrame, path: str, keys: list[str], hash_col: str, seq: str, checkpoint: str, buckets: int = 64):
     """Appends to the table at path what differs from its latest row of the same key.
 
-    Beside the table stands the latest hash of each key, which is all a batch is compared with. Both
-    are written under the number of the batch, so a batch that is run again writes the same again; of
-    the latest hashes the last two states are kept.
+    Beside the table stands the latest hash of each key, in buckets by key: a batch reads and rewrites
+    only the buckets that it touches. A manifest for each batch names the batch that last wrote each
+    bucket. All is written under the number of the batch, so a batch that is run again reads the manifest
+    before it and writes the same again; what only older manifests name is deleted.
     """
     state = f"{path.rstrip('/')}_latest"
 
+    def manifest(spark: SparkSession, epoch: int | None) -> dict[int, int]:
+        return {r.bucket: r.epoch for r in spark.read.parquet(f"{state}/manifest/{epoch}").collect()} if epoch is not None else {}
+
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        at = next((f"{state}/{n}" for n in range(epoch - 1, -1, -1) if exists(spark, f"{state}/{n}/_SUCCESS")), None)
-        latest = spark.read.parquet(at) if at else batch.select(*keys, hash_col).limit(0)
-        batch = batch.persist()
-        changes(batch, latest, keys, hash_col, seq).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        earlier = sorted(int(n) for n in names(spark, f"{state}/manifest") if n.isdigit() and int(n) < epoch and exists(spark, f"{state}/manifest/{n}/_SUCCESS"))
+        before = manifest(spark, earlier[-1] if earlier else None)
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in batch.select("_bucket").distinct().collect()]
+        at = [f"{state}/data/epoch={before[b]}/_bucket={b}" for b in touched if b in before]
+        kind = batch.select(*keys, hash_col)
+        latest = spark.read.schema(kind.schema).parquet(*at) if at else kind.limit(0)
+        changes(batch.drop("_bucket"), latest, keys, hash_col, seq).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         last = batch.groupBy(*keys).agg(F.max_by(hash_col, seq).alias(hash_col))
-        latest.join(last, keys, "left_anti").unionByName(last).write.mode("overwrite").parquet(f"{state}/{epoch}")
-        remove(spark, f"{state}/{epoch - 2}")  # a batch that is run again needs the one before, no earlier one
+        now = latest.join(last, keys, "left_anti").unionByName(last).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        now.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{state}/data/epoch={epoch}")
+        after = before | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(after.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{state}/manifest/{epoch}")
+        for n in earlier[:-1]:  # a batch that is run again needs the manifest before it, no earlier one
+            for b, e in manifest(spark, n).items():
+                if before.get(b) != e:
+                    remove(spark, f"{state}/data/epoch={e}/_bucket={b}")
+            remove(spark, f"{state}/manifest/{n}")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
