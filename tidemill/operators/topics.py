@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemill import storage
 from tidemill.functions import text
+from tidemill.operators import search
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 #: A vocabulary of at most this many terms is broadcast, a larger one is joined by shuffle.
@@ -25,7 +26,10 @@ def english() -> list[str]:
 
 
 def term_counts(docs: DataFrame, key: str, column: str, stop: Sequence[str], bigrams: bool = True) -> DataFrame:
-    """(key, term, tf) of words of two or more characters and of pairs of neighbours, stop words out first."""
+    """(key, term, tf) of words of two or more characters and of pairs of neighbours, stop words out first.
+
+    Terms are counted within their row, which key tells from others; nothing is shuffled.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(TOKEN), F.lit(1))
     if stop:
         words = F.filter(words, lambda x: ~x.isin(*stop))
@@ -34,7 +38,7 @@ def term_counts(docs: DataFrame, key: str, column: str, stop: Sequence[str], big
     if bigrams:
         pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.size("_w")), lambda a, b: F.concat_ws(" ", a, b))
         grams = F.when(F.size("_w") > 1, F.concat("_w", pairs)).otherwise(F.col("_w"))
-    return rows.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return rows.select(key, F.explode(search.counted(grams)).alias("_t")).select(key, "_t.term", F.col("_t.n").cast("long").alias("tf"))
 
 
 def weights(docs: DataFrame, key: str, column: str, stop: Sequence[str] = (), min_df: int = 1, max_df: float = 1.0, max_features: int | None = 5000, sublinear: bool = False, bigrams: bool = True) -> DataFrame:
@@ -73,7 +77,7 @@ def vectors(terms: DataFrame, key: str, max_features: int = 20_000) -> DataFrame
     from pyspark.ml.linalg import VectorUDT
 
     numbered = terms.select("term").distinct().withColumn("_i", F.row_number().over(Window.orderBy("term")) - 1)
-    rows = terms.join(F.broadcast(numbered) if max_features <= BROADCAST_TERMS else numbered, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "weight"))).alias("_p"))
+    rows = terms.join(F.broadcast(numbered) if numbered.count() <= BROADCAST_TERMS else numbered, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "weight"))).alias("_p"))
     features = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max_features).alias("size"), F.transform("_p", lambda x: x["_i"].cast("int")).alias("indices"), F.transform("_p", lambda x: x["weight"].cast("double")).alias("values"))
     out = rows.select(key, features.alias("features"))
     at = storage.fresh_path(terms.sparkSession, "vectors")

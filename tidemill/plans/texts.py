@@ -23,6 +23,12 @@ def _(spark, d):
     return t(spark, d, "orders").select("o_orderkey", text.payload_hash(payload).alias("hash"))
 
 
+@query("t6_number_text", """SELECT o_orderkey, md5('{"n":' || o_orderkey || ',"p":' || CAST(CAST(o_totalprice AS DOUBLE) AS VARCHAR) || ',"whole":' || o_orderkey || '.0,"é":"ü\\n"}') AS hash FROM orders""")
+def _(spark, d):
+    payload = F.expr("""'{"whole": ' || o_orderkey || '.000, "p": ' || cast(o_totalprice as decimal(18,4)) || ', "\\\\u00e9": "ü\\\\n", "n": ' || o_orderkey || '}'""")
+    return t(spark, d, "orders").select("o_orderkey", text.payload_hash(payload).alias("hash"))
+
+
 _HEAD = "source || CASE WHEN coalesce(lang, '') <> '' THEN ' at ' || lang ELSE '' END || CASE doc_id % 3 WHEN 0 THEN ', Pune' ELSE '' END"
 
 
