@@ -42,3 +42,56 @@ def test_new_shapes(net):
     found, y = secrets.shapes(1000, 123)
     hit = net.probability(np.stack([secrets.codes(*f) for f in found])) >= net.threshold
     assert hit[y == 1].mean() > 0.97 and hit[y == 0].mean() < 0.03
+
+
+def drawn(kind, r):
+    """Secrets that the module's own generator did not make."""
+    import string
+
+    letters, digits = string.ascii_letters, string.digits
+    alphabet, low, high = {"letters": (letters, 8, 15), "letters and digits": (letters + digits, 8, 15), "hex": (digits + "abcdef", 12, 23), "long": (letters + digits, 24, 40), "capitals": (string.ascii_uppercase + digits, 20, 32), "base64": (letters + digits + "+/", 32, 44)}[kind]
+    return "".join(r.choice(alphabet) for _ in range(r.randint(low, high)))
+
+
+@pytest.mark.parametrize("kind", ["letters", "letters and digits", "hex", "long", "capitals", "base64"])
+def test_recall_of_secrets_in_plain_sentences(net, kind):
+    import random
+
+    r, hit = random.Random(kind), 0
+    lines = ["The meeting starts at noon and {} was written on the board.", "Please note {} before you leave the office.", "Nous avons trouvé {} dans le dossier.", "Das steht dort: {} und sonst nichts."]
+    for n in range(300):
+        own = drawn(kind, r)
+        text = lines[n % 4].format(own)
+        at = text.index(own)
+        hit += any(a <= at and at + len(own) <= b for a, _, b in secrets.scan_many(net, [text])[0])
+    assert hit >= 0.9 * 300, hit / 300
+
+
+@pytest.mark.parametrize("text", ["DB_PASS='tr0ub4dor&3'", "the password hunter2!x is old", "pwd=P@ssw0rd!23"])
+def test_passwords_that_people_make_up(net, text):
+    assert any(k == 3 for _, k, _ in secrets.scan_many(net, [text])[0])
+
+
+def test_sentences_of_the_table_are_left_alone(net, spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sum(k == 3 for spans in secrets.scan_many(net, texts) for _, k, _ in spans) <= len(texts) / 50
+
+
+def test_a_probability_at_the_threshold_is_a_finding(net):
+    import copy
+
+    import numpy as np
+
+    text = "note Xk9vQ2hLm4Zt now"
+    a, b = secrets.candidates(text, [])[0]
+    own = copy.copy(net)
+    own.threshold = net.probability(np.stack([secrets.codes(text, a, b)]))[0]
+    assert (a, 3, b) in secrets.scan_many(own, [text])[0]
+    own.threshold = np.nextafter(np.float32(own.threshold), np.float32(2))
+    assert secrets.scan_many(own, [text]) == [[]]
+
+
+def test_a_very_long_text_of_keys(net):
+    text = " ".join([KEY] * 20_000)
+    spans = secrets.scan_many(net, [text])[0]
+    assert [(a, b) for a, _, b in spans] == [(25 * n, 25 * n + 24) for n in range(20_000)]

@@ -1,7 +1,8 @@
 """Secret scans: a character convolutional network over candidates in their context.
 
 Base findings come from three patterns and always stay. What is left of a run of token characters
-beside them is a candidate if it has 16 characters, or 8 and a digit; so is any value of 6
+beside them is a candidate if it has 16 characters, or 8 and is no plain word: a digit, a capital
+behind a small letter, or two capitals before one. So is any value of 6
 characters after a credential word. A run longer than the network's window is judged as a whole,
 by its head and tail, and in sliding windows; candidates found that meet are one span. A numpy
 network of two convolutions reads a candidate's characters and those around it. It is trained on
@@ -31,18 +32,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
-LONG = 16  # a shorter run needs a digit
+LONG = 16  # a shorter run must be odd
 #: A value after a credential word needs no digit and may hold other characters.
 NEAR = re.compile(r"""(?:pwd|pass|password|passwd|passphrase|secret|token|key|auth|credentials?|bearer|private)["']?\x20*[:=\x20]\x20*["']?([^\s"'<>,;()]{6,})""", re.I | re.A)
 _NEAR = ("pwd", "pass", "secret", "token", "key", "auth", "credential", "bearer", "private")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _DIGIT = re.compile(r"[0-9]")
+_ODD = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 
 #: Characters before, inside (half head, half tail if longer) and after a candidate.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
 CODES, DIM, FILTERS, KERNEL, HIDDEN = 100, 8, 16, 5, 16
-FINDINGS, EPOCHS, BATCH, RATE, RECALL = 6000, 6, 64, 4e-3, 0.99
+FINDINGS, SHAPES, EPOCHS, BATCH, RATE, RECALL = 6000, 11_000, 5, 64, 4e-3, 0.98
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -82,8 +84,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Runs of token characters and values near credential words, less base findings, with their windows."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() >= LONG or _DIGIT.search(m[0]):
-            out += [(a, b) for a, b in beside(*m.span(), base) if b - a >= LONG or b - a >= 8 and _DIGIT.search(text, a, b)]
+        if m.end() - m.start() >= LONG or _ODD.search(m[0]):
+            out += [(a, b) for a, b in beside(*m.span(), base) if b - a >= LONG or b - a >= 8 and _ODD.search(text, a, b)]
     low = text.lower()
     if any(k in low for k in _NEAR):
         out += [(a, b) for m in NEAR.finditer(text) for a, b in beside(*m.span(1), base) if b - a >= 6]
@@ -163,7 +165,7 @@ def findings(n: int = FINDINGS, seed: int = 7) -> tuple[list[tuple[str, int, int
     return out, y
 
 
-def shapes(n: int = FINDINGS, seed: int = 17) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+def shapes(n: int = SHAPES, seed: int = 17) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """Labelled findings that are short, have no digit, follow a credential word or lie in long runs."""
     r = np.random.default_rng(seed)
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -196,11 +198,32 @@ def shapes(n: int = FINDINGS, seed: int = 17) -> tuple[list[tuple[str, int, int]
     def dated() -> str:
         return str(r.choice([f"20{r.integers(10, 40)}-{r.integers(10, 13)}-{r.integers(10, 29)}", f"{r.integers(10**7, 10**9)}", f"{word(3)}{r.integers(10, 1000)}.{word(3, 5)}", f"{word(3)}-{word(3)}-{r.integers(3000)}", f"{word(4)}_{word(3)}{r.integers(100)}", f"v{r.integers(20)}.{r.integers(20)}.{r.integers(200)}-{word(2, 4)}", f"{word(6)}.20{r.integers(10, 40)}"]))
 
+    def plain_secret() -> str:
+        """A short secret that no credential word announces."""
+        size = int(r.integers(8, 16))
+        own = draw(str(r.choice([mixed, mixed, mixed + digits, mixed + digits, lower + digits, lower.upper() + digits])), size)
+        return draw(digits + "abcdef", int(r.integers(12, 24))) if r.random() < 0.3 else own
+
+    def plain_other() -> str:
+        """What is written in plain text with digits, capitals or clusters of consonants."""
+        a, b, n = word(3), word(3), int(r.integers(10, 10000))
+        return str(r.choice([
+            f"{a}{b.capitalize()}{word(3).capitalize()}", f"{a.capitalize()}{b.capitalize()}", f"{a.upper()}{n}{b}", f"{compound()}", f"{compound()}", f"{a.capitalize()}{n}", f"{a.upper()}-{n}", f"{word(6)}{n % 100}", f"{n}-{n}-{n}", f"20{n % 100:02d}-{n % 12 + 1:02d}-{n % 28 + 1:02d}",
+            f"{a.upper()}{20000000 + n}", f"{n}{word(4)}s", f"{a}.{b}.com", f"{a}{n % 100}.{b}", f"{n * 977}{n}", f"+{n}{n}{n}", f"{word(4)}{b}{word(3)}s", f"{a.upper()}{b.upper()}{word(3).upper()}", f"{a.upper()}s{b}{word(3)}", f"www.{a}{b}.org",
+        ]))
+
+    def human() -> str:
+        """A password made of words, with letters changed and marks put in."""
+        own = word(4, 8) + word(0, 5)
+        own = "".join({"a": "4@", "e": "3", "i": "1!", "o": "0", "s": "5$"}.get(c, c)[0 if r.random() < 0.7 else -1] if r.random() < 0.7 else c for c in own)
+        own = own.capitalize() if r.random() < 0.4 else own
+        return own + "".join(str(r.choice(list("!#$%&*@?0123456789"))) for _ in range(int(r.integers(1, 5))))
+
     out, y = [], []
     while len(out) < n:
-        kind, label = int(r.integers(4)), int(r.integers(2))
+        kind, label = int(r.integers(7)), int(r.integers(2))
         lead, after = " ".join(word() for _ in range(int(r.integers(1, 6)))) + " ", " " + word() + ". " + word()
-        named = str(r.choice(["pwd", "pass", "key", "auth", "credential", "bearer", "private key", "access key"])) + str(r.choice([": ", "=", ' = "', " "]))
+        named = str(r.choice(["pwd", "pass", "key", "auth", "credential", "bearer", "private key", "access key", "DB_PASS", "MYSQL_PWD", "passphrase"])) + str(r.choice([": ", "=", ' = "', " ", "='"]))
         if kind == 0:  # short runs with a digit
             own = draw(mixed + digits, int(r.integers(8, 17))) if label else dated()
             lead += named if r.random() < (0.7 if label else 0.15) else ""
@@ -208,8 +231,8 @@ def shapes(n: int = FINDINGS, seed: int = 17) -> tuple[list[tuple[str, int, int]
             own = draw(mixed if r.random() < 0.8 else lower, int(r.integers(16, 41))) if label else str(r.choice([fence().join(word(3) for _ in range(int(r.integers(3, 6)))), compound(), compound()]))
         elif kind == 2:  # any value after a credential word
             lead += named
-            own = draw(mixed + digits + "!#$%&*@?", int(r.integers(8, 17))) if label else str(r.choice([word(6), word(6) + ".", word(6).capitalize(), dated()]))
-        else:
+            own = (human() if r.random() < 0.5 else draw(mixed + digits + "!#$%&*@?", int(r.integers(8, 17)))) if label else str(r.choice([word(6), word(6) + ".", word(6).capitalize(), dated()]))
+        elif kind == 3:
             secret = draw(mixed + digits, int(r.integers(24, 41))) if label else word()
             own, at = long_run(secret)
             if len(own) <= INSIDE:
@@ -221,7 +244,9 @@ def shapes(n: int = FINDINGS, seed: int = 17) -> tuple[list[tuple[str, int, int]
                     out.append((text, a, b))
                     y.append(int(label and held > 0))
             continue
-        if len(own) >= 6 and (kind == 2 or CANDIDATE.fullmatch(own) and (len(own) >= LONG or _DIGIT.search(own))):
+        else:  # nothing announces it
+            own = plain_secret() if label else plain_other()
+        if len(own) >= 6 and (kind == 2 or CANDIDATE.fullmatch(own) and (len(own) >= LONG or _ODD.search(own))):
             out.append((lead + own + after, len(lead), len(lead) + len(own)))
             y.append(label)
     return out, np.array(y)
@@ -309,8 +334,8 @@ class Network:
         grid = np.exp(np.linspace(-2, 2, 81))
         self.temperature = float(grid[int(np.argmin([np.mean(np.logaddexp(0, np.where(ky == 1, -z, z) / g)) for g in grid]))])
         positive = np.sort(self.probability(x[kept])[ky == 1])
-        # The highest threshold that still finds the recall asked for, and 0.5 at most.
-        self.threshold = float(min(0.5, positive[int(np.floor((1 - recall) * len(positive)))]))
+        # The highest threshold that still finds the recall asked for.
+        self.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = self._forward(x)[-1]
@@ -318,7 +343,7 @@ class Network:
 
 
 def train(n: int = FINDINGS) -> Network:
-    (found, y), (more, z) = findings(n), shapes(n)
+    (found, y), (more, z) = findings(n), shapes()
     net = Network()
     net.fit(np.stack([codes(*f) for f in found + more]), np.concatenate([y, z]))
     return net
@@ -327,14 +352,11 @@ def train(n: int = FINDINGS) -> Network:
 def scan_many(net: Network, texts: list[str]) -> list[list[Span]]:
     """All spans of each text, base ones and those that the network adds."""
     out = [base_spans(t) for t in texts]
-    where, x = [], []
-    for k, t in enumerate(texts):
-        for a, b in candidates(t, out[k]):
-            where.append((k, a, b))
-            x.append(codes(t, a, b))
-    for s in range(0, len(x), 512):
-        p = net.probability(np.stack(x[s : s + 512]))
-        for (k, a, b), own in zip(where[s : s + 512], p, strict=True):
+    where = [(k, a, b) for k, t in enumerate(texts) for a, b in candidates(t, out[k])]
+    for s in range(0, len(where), 512):
+        some = where[s : s + 512]
+        p = net.probability(np.stack([codes(texts[k], a, b) for k, a, b in some]))
+        for (k, a, b), own in zip(some, p, strict=True):
             if own >= net.threshold:
                 last = out[k][-1] if out[k] else (0, 0, 0)
                 if last[1] == 3 and a <= last[2]:
