@@ -24,3 +24,11 @@ def test_long_blocks_have_words():
 def test_words_tell_in_neutral_tags(labeller, said):
     page = f"<html><body><div class=content><h1>The river</h1><p>{LEAD}</p><p>{NEXT}</p></div><div><p>{said}</p></div></body></html>"
     assert htmltext.extract_many(labeller, [page]) == [f"The river\n{LEAD}\n{NEXT}"]
+
+
+def test_formulas_and_stand_ins_are_text():
+    said = lambda page: [b[0] for b in htmltext.blocks(page)]
+    assert said("<p>Area is <math><mi>x</mi><mn>2</mn></math> here.</p>") == ["Area is x2 here."]
+    assert said("<p>An <svg><path d='M0'/><text>icon</text></svg> inside</p>") == ["An icon inside"]
+    assert said("<object data=a><p>no player</p></object><noscript><p>the article</p></noscript><canvas>a chart</canvas>") == ["no player", "the article", "a chart"]
+    assert said("<title>t</title><style>s</style><script>c</script><form><textarea>x</textarea></form>y") == ["y"]

@@ -9,8 +9,8 @@ layouts (seeded, of fixed size); nothing is learned from the pages that are extr
 Defined cases: null or empty html, and pages without main blocks, give an empty text; unclosed,
 stray and nested tags are taken as browsers do in outline (a block tag ends an open p; an end
 tag closes what is open inside); a quote opens an attribute's value only after an equals sign and
-if it is closed somewhere; a tag that never ends is text; scripts, styles, comments and head
-contents are never blocks; very long pages are read whole, in time that grows in proportion, and
+if it is closed somewhere; a tag that never ends is text; scripts, styles, text areas, comments
+and titles are never blocks, and formulas, graphics and what stands in for media are read as text; very long pages are read whole, in time that grows in proportion, and
 labelled in parts that hand their state on; a block whose score is exactly one half is main text;
 repeated rows are extracted each; an empty table gives an empty table; other columns are ignored.
 """
@@ -44,8 +44,10 @@ _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is no text, elements that run on inside a block, and void elements.
-_RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe", "title", "math", "object", "canvas"}
-_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = {"script", "style", "textarea", "title"}
+_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object canvas iframe picture audio video map".split())
+_INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover semantics annotation".split())
+_INLINE |= set("svg g path circle ellipse line polyline polygon rect text tspan use defs symbol desc lineargradient radialgradient stop clippath mask".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _END_RAW = {t: re.compile(rf"</{t}\s*>|</{t}\b|\Z", re.I) for t in _RAW}
 
