@@ -50,10 +50,11 @@ def _with_bit(rows: DataFrame, bitmap: DataFrame, *key: str) -> DataFrame:
     return joined.withColumn("left", bit == 1).drop("word", "bits")
 
 
-def refine(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
+def refine(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: str | None = None) -> DataFrame:
     """One row per input row: key, id, keep_id, group_size, kept.
 
-    docs and key are what common.keyed() gives.
+    docs and key are what common.keyed() gives. With digest the second scan also hashes each row's full
+    text into a column of that name, which the refinement does not use.
     """
     norm = normalised(F.col(text_col))
     scan = docs.select(F.col(key).alias("key"), F.col(id_col).alias("id"), norm.alias("t"))
@@ -62,13 +63,14 @@ def refine(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "t
     lengths = _shared(rows, "n")
     prefixes = _shared(_with_bit(rows, lengths, "n").where("left"), "n", "p")
     # The second scan hashes the full texts of surviving groups only; nothing of it is shuffled.
-    found = _with_bit(scan, prefixes, "n", "p").select("key", "id", F.when(F.col("left"), F.sha2("t", 256)).alias("sha"))
+    more = [digest] if digest else []
+    found = _with_bit(scan, prefixes, "n", "p").select("key", "id", F.when(F.col("left"), F.sha2("t", 256)).alias("sha"), *[F.sha2("t", 256).alias(c) for c in more])
     found = settle(found, "exact-full")
     release(rows, lengths, prefixes)
     first = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "key")).alias("first")
     groups = settle(found.where("sha is not null").groupBy("sha").agg(F.count("*").alias("c"), first).where("c > 1"), "exact-groups")
-    columns = ("key", "id", F.coalesce(F.col("first.id"), "id").alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("first.key") == F.col("key"), F.lit(True)).alias("kept"))
-    alone = found.where("sha is null").select("key", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    columns = ("key", "id", F.coalesce(F.col("first.id"), "id").alias("keep_id"), F.coalesce("c", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("first.key") == F.col("key"), F.lit(True)).alias("kept"), *more)
+    alone = found.where("sha is null").select("key", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
     return join_groups(found.where("sha is not null"), groups, "sha", "c").select(*columns).unionByName(alone)
 
 
@@ -81,8 +83,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def query(spark, sf_dir: str) -> DataFrame:
     """The groups, and beside them each row's digest, which the refinement has no need of."""
     docs, key = keyed(table(spark, sf_dir, "documents"))
-    digests = docs.select(F.col(key).alias("key"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    found = refine(docs, key).join(digests, "key")
+    found = refine(docs, key, digest="text_sha256")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
