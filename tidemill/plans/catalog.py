@@ -11,6 +11,7 @@ from tidemill.operators import cells, history, index, labels, measures, search,
 from tidemill.plans import stored
 from tidemill.plans.registry import query, r6, t
 from tidemill.sources import boards
+from tidemill.storage import settle
 
 #: Frequent words of the shared documents, which name no skill, beside all skills.
 TAXONOMY = SKILLS | {"the": ["the"], "and": ["and"], "of": ["of", "off"], "der": ["der", "die", "das"], "que": ["que"], "mit license": ["mit license"], "token": ["token"]}
@@ -290,7 +291,7 @@ def _(spark, d):
   FROM fr WHERE rank <= 45 AND id % 5 = query_id % 5), again AS (SELECT * FROM lists UNION ALL SELECT query_id, id, rank, 2 FROM city),
   {_FUSED.format('again').replace('f AS', 'f2 AS', 1).replace('fr AS', 'fr2 AS').replace('FROM f)', 'FROM f2)')} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM fr2 WHERE rank <= 15""")
 def _(spark, d):
-    a, b = two_lists(spark, d)
+    a, b = (settle(x, "list") for x in two_lists(spark, d))  # each is read three times
     both = a.unionByName(b).select("query_id", "id").distinct().where("id % 5 = query_id % 5")
     return r6(search.hybrid(a, b, "id", 15, both)).select("query_id", "id", "score", "rank")
 
