@@ -25,7 +25,9 @@ def test_recall_and_filled_limits(spark, tmp_path):
         assert len(got) == 600 and all(r.query_id != r.k for r in got)
         both = {(r.query_id, r.k) for r in got} & {(r.query_id, r.k) for r in want}
         assert len(both) >= 0.95 * 600
-    whole = cells.find(made, q, 10, probes=30)
+    again = cells.opened(spark, f"{tmp_path}/v")
+    assert (again.path, again.key, again.probes) == (made.path, made.key, made.probes) and (again.centres == made.centres).all()
+    whole = cells.find(again, q, 10, probes=30)
     assert sorted((r.query_id, r.k, round(r.score, 9), r["rank"]) for r in whole.collect()) == sorted((r.query_id, r.k, round(r.score, 9), r["rank"]) for r in search.vector(df, q, "k", 10).collect())
 
 

@@ -44,6 +44,8 @@ def test_hits_equal_those_of_the_whole_table(spark, tmp_path, monkeypatch, field
     assert rows(index.find(made, q, 10, scale=3.0).hits) == sorted((a, b, round(3 * s, 9), n) for a, b, s, n in rows(index.find(made, q, 10).hits))
     want = whole.groupBy("k", "term").agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).collect()
     assert {(r.k, r.term): (r.weight, r.n) for r in index.postings(made, spark).collect()} == {(r.k, r.term): (r.w, r.n) for r in want}
+    again = index.opened(spark, f"{tmp_path}/i")
+    assert again == made and rows(index.find(again, q, 3).hits) == rows(index.find(made, q, 3).hits)
     every = search.keyword(whole, q, "k", 0).select("query_id", "k")
     assert sorted(index.matches(made, q).collect()) == sorted(every.collect())
 

@@ -7,6 +7,7 @@ inequality says which vectors can come within an angle of any vector in it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.search import QUERY_CELLS, best, ranked, unit_rows
-from tidemill.storage import release, settle
+from tidemill.storage import read_text, release, settle, write_text
 
 #: Numbers of the sample that centroids are fitted on, rounds of k-means, and cells at most.
 FIT_NUMBERS, ROUNDS, MOST_CELLS = 4_000_000, 8, 4096
@@ -104,7 +105,17 @@ def build(vectors: DataFrame, key: str, path: str, column: str = "embedding", ce
     rows = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts", "angle")
     rows.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part").write.parquet(f"{path}/rows")
     release(placed)
-    return VectorIndex(path, key, centres, probes_for(sample, centres) if len(sample) else 1)
+    spark, probes = vectors.sparkSession, probes_for(sample, centres) if len(sample) else 1
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+    write_text(spark, f"{path}/index.json", json.dumps({"key": key, "probes": probes}))
+    return VectorIndex(path, key, centres, probes)
+
+
+def opened(spark: SparkSession, path: str) -> VectorIndex:
+    """The index that stands at path, made by any session."""
+    own = json.loads(read_text(spark, f"{path}/index.json"))
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # MOST_CELLS at most
+    return VectorIndex(path, own["key"], np.array([r.centre for r in rows]), own["probes"])
 
 
 def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:

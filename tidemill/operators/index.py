@@ -13,6 +13,7 @@ documents of like mass, the many short documents mostly stay below.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import search
-from tidemill.storage import release, remove, settle
+from tidemill.storage import read_text, release, remove, settle, write_text
 
 #: Documents of a cell and of a slice, about, and the most slices.
 CELL, SLICE, SLICES = 64, 65_536, 4096
@@ -50,12 +51,22 @@ class Index:
 
 
 def build(docs: DataFrame, key: str, fields: dict[str, float], path: str, analyse: Callable[[Column], Column] = search.terms, slices: int | None = None) -> Index:
-    """Writes the index of docs(key, fields) to path, where nothing may stand yet."""
+    """Writes the index of docs(key, fields) to path, where nothing may stand yet.
+
+    Rows of one key are one document; null fields have no terms.
+    """
     index = Index(path.rstrip("/"), key, tuple(fields.items()), slices or max(1, min(SLICES, -(-docs.count() // SLICE))), analyse)
-    _write(index, docs)
+    _store(index, _blocks(index, docs), "errorifexists")
+    write_text(docs.sparkSession, f"{index.path}/index.json", json.dumps({"key": key, "fields": fields, "slices": index.slices}))
     return index
 
 
+def opened(spark: SparkSession, path: str, analyse: Callable[[Column], Column] = search.terms) -> Index:
+    """The index that stands at path, made by any session; analyse must be what it was built with."""
+    own = json.loads(read_text(spark, f"{path.rstrip('/')}/index.json"))
+    return Index(path.rstrip("/"), own["key"], tuple(own["fields"].items()), own["slices"], analyse)
+
+
 def replace(index: Index, docs: DataFrame, slices: list[int]) -> None:
     """Writes the named slices anew from docs, which holds at least their documents; the others stay as they are."""
     spark = docs.sparkSession
@@ -67,10 +78,6 @@ def replace(index: Index, docs: DataFrame, slices: list[int]) -> None:
     release(made)
 
 
-def _write(index: Index, docs: DataFrame) -> None:
-    _store(index, _blocks(index, docs), "errorifexists")
-
-
 def _store(index: Index, blocks: DataFrame, mode: str) -> None:
     blocks.sortWithinPartitions("slice", "term", "cell").write.mode(mode).partitionBy("slice").parquet(f"{index.path}/blocks")
 

@@ -56,7 +56,8 @@ class _Recent(StatefulProcessor):
 def limited(events: DataFrame, by: str, ts: str, order: str, limit: int = LIMIT, seconds: float = SECONDS, late: str = "10 seconds") -> DataFrame:
     """(by, order, accepted) of a stream of calls, which come in the order of their times but for a batch's own.
 
-    Accepts while fewer than limit accepted calls are at most `seconds` old. A key's state is at most
+    Calls more than `late` behind the newest of an earlier batch are dropped. Accepts while fewer than
+    limit accepted calls are at most `seconds` old. A key's state is at most
     limit times; a timer clears it when the watermark passes the youngest of them by `seconds`.
     """
     kinds = dict(events.dtypes)
