@@ -72,3 +72,13 @@ def test_other_analysers_and_empty_tables(spark, tmp_path):
     assert rows(index.find(made, q, 5).hits) == rows(search.keyword(search.posting_list(docs, "k", {"body": 1.0}, english.terms), q, "k", 5, english.terms))
     none = index.build(docs.limit(0).union(docs.where("k = 2")), "k", {"body": 1.0}, f"{tmp_path}/j")
     assert index.find(none, q, 5).hits.count() == 0
+
+
+def test_a_task_writes_one_file(spark, tmp_path, monkeypatch):
+    """Hashes of slice and term once put the blocks of several files into one task."""
+    monkeypatch.setattr(index, "FILE", 64)
+    docs = spark.createDataFrame([(i, f"w{i % 50} x{i % 7}") for i in range(1000)], "k long, body string")
+    made = index.build(docs, "k", {"body": 1.0}, str(tmp_path / "i"), slices=3)
+    files = made.blocks(spark).select(F.input_file_name().alias("f"), "slice").distinct().collect()
+    parts = [f.f.rsplit("/", 1)[1].split("-")[1] for f in files]
+    assert len(files) > 3 and len(parts) == len(set(parts))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidemill.operators import search
 from tidemill.storage import read_text, release, remove, settle, write_text
 
-#: Documents of a cell and of a slice, about, and the most slices.
-CELL, SLICE, SLICES = 64, 65_536, 4096
+#: Documents of a cell, of a slice and of a file of a slice, about, and the most slices.
+CELL, SLICE, FILE, SLICES = 64, 65_536, 8192, 4096
 #: Cells are scored first until they have so many times the limit of documents with a term.
 FIRST = 2
 #: Kinds of mass for each doubling of it.
@@ -102,13 +102,14 @@ def _blocks(index: Index, docs: DataFrame) -> DataFrame:
         placed = placed.select("slice", "cell", "key", "t.term", "t.weight", "t.n")
     files = _files(sizes, index.slices)
     blocks = placed.groupBy("slice", "term", "cell").agg(F.max("weight").alias("top"), F.count("*").cast("int").alias("size"), F.collect_list(F.struct("key", "weight", "n")).alias("entries"))
-    return blocks.repartition(index.slices * files, F.col("slice"), F.pmod(F.xxhash64("term"), F.lit(files)))
+    # Numbered, not hashed: hashes would put the blocks of several files into one task.
+    return blocks.repartitionById(index.slices * files, (F.col("slice") * files + F.pmod(F.xxhash64("term"), F.lit(files))).cast("int"))
 
 
 def _files(sizes: DataFrame, slices: int) -> int:
-    """Files of a slice: one for each SLICE documents of the largest, and so many that all cores have some."""
+    """Files of a slice: one for each FILE documents of the largest, and so many that all cores have some."""
     largest = sizes.groupBy("slice").agg(F.sum("cells").alias("c")).agg(F.max("c")).first()[0] or 1
-    return max(1, -(-int(largest) * CELL // SLICE), -(-sizes.sparkSession.sparkContext.defaultParallelism // slices))
+    return max(1, -(-int(largest) * CELL // FILE), -(-sizes.sparkSession.sparkContext.defaultParallelism // slices))
 
 
 @dataclass
