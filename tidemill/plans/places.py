@@ -75,7 +75,8 @@ def _(spark, d):
 
 @query("p11_city_facets", f"WITH {_WITH} SELECT DISTINCT unnest({_cities('place')}) AS city FROM p")
 def _(spark, d):
-    return search.facets(placed(spark, d).select(text.cities_in(F.col("place")).alias("cities")))
+    spelled = placed(spark, d).select("place").distinct()  # each spelling is read once
+    return search.facets(spelled.select(text.cities_in(F.col("place")).alias("cities")))
 
 
 @query("a10_city_demand", f"""WITH {_WITH}, c AS (SELECT remote, unnest(CASE WHEN len({_cities('place')}) > 0 THEN {_cities('place')} ELSE ['City not stated'] END) AS city FROM p)
