@@ -67,3 +67,22 @@ def test_prompts_and_matches(spark):
     assert (m.fit, m.has, m.gap) == (0.5, ["sql"], ["go"])
     q = people.select(answers.profile_query(F.col("skills"), F.lit("x")).alias("a"), answers.profile_query(F.array().cast("array<string>"), F.lit("y" * 500)).alias("b")).first()
     assert q.a == "sql python" and len(q.b) == 400
+
+
+def test_texts_are_weighed_where_they_lie(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 17}é" for j in range(i % 9)) + " a  x_1, the B-b9") for i in range(60)] + [(60, None), (61, "")]
+    many = spark.createDataFrame(rows, "id long, text string").repartition(3).cache()
+    told = lambda df: sorted((r.id, r.term, r.tf, r.df, round(r.raw, 9), round(r.weight, 9)) for r in df.collect())
+    joined = told(topics.weights(many, "id", "text", ["the"], max_features=None))
+    monkeypatch.setattr(topics, "TALLIED", (4, 2))
+    monkeypatch.setattr(topics, "SLICE", 5)
+    own = topics.weights(many, "id", "text", ["the"])
+    assert told(own) == joined and ("x_1 b9" in {r[1] for r in joined})
+    top = topics.keywords(many, "id", "text", 2, stop=["the"])
+    for df in (own, top):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" not in plan and "Window" not in plan
+    best = {}
+    for r in sorted(joined, key=lambda r: (r[0], -r[4], r[1])):
+        best.setdefault(r[0], []).append(r[1])
+    assert {(r.id, r["rank"]): r.term for r in top.collect()} == {(i, n + 1): term for i, all_ in best.items() for n, term in enumerate(all_[:2])}

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill import storage
 from tidemill.functions import text
-from tidemill.operators import search
 
-TOKEN = r"([\p{L}\p{N}_]{2,})"
-#: A vocabulary of at most this many terms is broadcast, a larger one is joined by shuffle.
+#: What lies between words; a word is a run of two or more of the others.
+BETWEEN = r"[^\p{L}\p{N}_]+"
+#: A vocabulary of at most this many terms goes to the texts, a larger one meets their terms by shuffle.
 BROADCAST_TERMS = 100_000
+#: Distinct terms, and distinct words, that a task counts before it hands them on.
+TALLIED = 1 << 21, 1 << 20
+#: Rows of a batch that leaves Python.
+SLICE = 1 << 18
 
 
 def english() -> list[str]:
@@ -25,46 +33,217 @@ def english() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
+def _words(texts: pa.Array, stop: Sequence[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, row, at): the distinct words of a batch, and for each position its row and its number among these."""
+    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), BETWEEN)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary
+    fit = pc.and_(pc.greater_equal(pc.utf8_length(words), 2), pc.invert(pc.is_in(words, value_set=pa.array(stop, words.type))))
+    at = coded.indices.to_numpy().astype(np.int64)
+    keep = fit.to_numpy(zero_copy_only=False)[at]
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    return words, row[keep], at[keep]
+
+
+def _codes(row: np.ndarray, at: np.ndarray, words: int, bigrams: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of words and of pairs of neighbours; a code holds the first word and, plus one, the second. Words below 0 are none."""
+    known = at >= 0
+    rows, codes = [row[known]], [at[known] * (words + 1)]
+    if bigrams:
+        near = (row[1:] == row[:-1]) & known[1:] & known[:-1]
+        rows.append(row[1:][near])
+        codes.append((at[:-1] * (words + 1) + at[1:] + 1)[near])
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def _counted(row: np.ndarray, code: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n): the distinct codes below span of each row, in order."""
+    cell, n = np.unique(row * span + code, return_counts=True)
+    return cell // span, cell % span, n
+
+
+def _spelt(words: pa.Array, codes: np.ndarray) -> pa.Array:
+    first, second = np.divmod(codes, len(words) + 1)
+    one = words.take(pa.array(first))
+    return pc.if_else(pa.array(second > 0), pc.binary_join_element_wise(one, words.take(pa.array(np.maximum(second - 1, 0))), pa.scalar(" ", words.type)), one)
+
+
+def _read(docs: DataFrame, key: str, column: str) -> DataFrame:
+    storage.bounded(docs.sparkSession)
+    return docs.select(F.col(key), F.lower(F.coalesce(column, F.lit(""))).alias("_t"))
+
+
 def term_counts(docs: DataFrame, key: str, column: str, stop: Sequence[str], bigrams: bool = True) -> DataFrame:
     """(key, term, tf) of words of two or more characters and of pairs of neighbours, stop words out first.
 
     Terms are counted within their row, which key tells from others; nothing is shuffled.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(TOKEN), F.lit(1))
-    if stop:
-        words = F.filter(words, lambda x: ~x.isin(*stop))
-    rows = docs.select(F.col(key), words.alias("_w"))
-    grams = F.col("_w")
-    if bigrams:
-        pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.size("_w")), lambda a, b: F.concat_ws(" ", a, b))
-        grams = F.when(F.size("_w") > 1, F.concat("_w", pairs)).otherwise(F.col("_w"))
-    return rows.select(key, F.explode(search.counted(grams)).alias("_t")).select(key, "_t.term", F.col("_t.n").cast("long").alias("tf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, row, at = _words(batch.column(1), stop)
+            row, code, n = _counted(*_codes(row, at, len(words), bigrams), len(words) * (len(words) + 1))
+            for low in range(0, len(row), SLICE):
+                part = slice(low, low + SLICE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[part])), _spelt(words, code[part]), pa.array(n[part])], [key, "term", "tf"])
+
+    return _read(docs, key, column).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+
+
+def _tally(docs: DataFrame, column: str, stop: Sequence[str], bigrams: bool) -> DataFrame:
+    """(term, df, _all): in how many rows a term is and how often, added up over TALLIED terms of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def merge() -> None:
+            if len(parts) > 1:
+                code, df, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                code, at = np.unique(code, return_inverse=True)
+                parts[:] = [(code, np.bincount(at, df, len(code)).astype(np.int64), np.bincount(at, n, len(code)).astype(np.int64))]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            merge()
+            words = pa.array(list(numbers), pa.string())
+            for code, df, n in parts:
+                for low in range(0, len(code), SLICE):
+                    part = slice(low, low + SLICE)
+                    own = (code[part] >> 32) * (len(words) + 1) + (code[part] & 0xFFFFFFFF)
+                    yield pa.RecordBatch.from_arrays([_spelt(words, own), pa.array(df[part]), pa.array(n[part])], ["term", "df", "_all"])
+            numbers.clear()
+            parts.clear()
+
+        for batch in batches:
+            words, row, at = _words(batch.column(0), stop)
+            _, code, n = _counted(*_codes(row, at, len(words), bigrams), len(words) * (len(words) + 1))
+            code, at = np.unique(code, return_inverse=True)
+            first, second = np.divmod(code, len(words) + 1)
+            own = np.array([numbers.setdefault(w, len(numbers)) for w in words.to_pylist()], np.int64)
+            parts.append((own[first] << 32 | np.where(second > 0, own[second - 1] + 1, 0), np.bincount(at), np.bincount(at, n).astype(np.int64)))
+            if len(parts) > 1 and sum(len(p[0]) for p in parts) > 2 * TALLIED[0]:
+                merge()
+            if len(numbers) > TALLIED[1] or sum(len(p[0]) for p in parts) > TALLIED[0] and len(parts) == 1:
+                yield from told()
+        yield from told()
+
+    return _read(docs, docs.columns[0], column).select("_t").mapInArrow(run, "term string, df long, _all long")
+
+
+def vocabulary(docs: DataFrame, column: str, stop: Sequence[str] = (), min_df: int = 1, max_df: float = 1.0, max_features: int | None = 5000, bigrams: bool = True) -> DataFrame:
+    """(term, df, idf): terms in min_df documents or more, and in the share max_df at most; the max_features most frequent, ties by term."""
+    total = docs.agg(F.count("*")).scalar()
+    found = _tally(docs, column, stop, bigrams).groupBy("term").agg(F.sum("df").alias("df"), F.sum("_all").alias("_all")).withColumn("_n", total)
+    found = found.where((F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
+    if max_features:
+        found = found.orderBy(F.desc("_all"), "term").limit(max_features)
+    return found.select("term", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+@dataclass(frozen=True)
+class Terms:
+    """A vocabulary of bounded size in the order of its terms, with what is needed to weigh a text by it."""
+
+    terms: list[str]
+    df: np.ndarray
+    idf: np.ndarray
+    stop: tuple[str, ...]
+    sublinear: bool
+    bigrams: bool
+
+    def weigher(self) -> Callable[[pa.Array], tuple[np.ndarray, ...]]:
+        """Of a batch of texts (row, term number, tf, raw, weight), in order; weights of a row have length 1."""
+        cut = [t.split(" ") for t in self.terms]
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for t in cut for w in t))}
+        base = len(known) + 1
+        codes = np.array([known[t[0]] * base + (known[t[1]] + 1 if len(t) > 1 else 0) for t in cut], np.int64)
+        order = np.argsort(codes)
+        codes, spelt = codes[order], pa.array(list(known), pa.string())
+
+        def weigh(texts: pa.Array) -> tuple[np.ndarray, ...]:
+            words, row, at = _words(texts, self.stop)
+            own = pc.fill_null(pc.index_in(words, value_set=spelt.cast(words.type)), -1).to_numpy().astype(np.int64)
+            row, code = _codes(row, own[at], base - 1, self.bigrams)
+            place = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+            hit = codes[place] == code if len(codes) else np.zeros(len(code), bool)
+            row, term, n = _counted(row[hit], order[place[hit]], max(1, len(codes)))
+            raw = (1 + np.log(n) if self.sublinear else n) * self.idf[term]
+            return row, term, n, raw, raw / np.sqrt(np.bincount(row, raw * raw))[row]
+
+        return weigh
+
+
+def learned(docs: DataFrame, column: str, stop: Sequence[str] = (), sublinear: bool = False, bigrams: bool = True, **limits) -> Terms:
+    """A vocabulary whose size max_features bounds, so that it can go to the texts."""
+    rows = sorted(vocabulary(docs, column, stop, bigrams=bigrams, **limits).toLocalIterator(), key=lambda r: r.term)
+    return Terms([r.term for r in rows], np.array([r.df for r in rows], np.int64), np.array([r.idf for r in rows], float), tuple(stop), sublinear, bigrams)
 
 
 def weights(docs: DataFrame, key: str, column: str, stop: Sequence[str] = (), min_df: int = 1, max_df: float = 1.0, max_features: int | None = 5000, sublinear: bool = False, bigrams: bool = True) -> DataFrame:
     """(key, term, tf, df, raw, weight): tf-idf with a smoothed idf, weight being scaled to unit length.
 
     Terms in fewer than min_df documents or in more than the share max_df are left out; of the
-    rest the max_features most frequent stay, ties by term. Null texts have no terms.
+    rest the max_features most frequent stay, ties by term. Null texts have no terms. A row is
+    weighed where it lies, which key tells from others; a vocabulary without a bound is joined.
     """
-    counts = term_counts(docs, key, column, stop, bigrams)
-    total = docs.agg(F.count("*")).scalar()
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_all")).withColumn("_n", total)
-    vocabulary = vocabulary.where((F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
-    if max_features:
-        vocabulary = vocabulary.orderBy(F.desc("_all"), "term").limit(max_features)
-    vocabulary = vocabulary.select("term", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("_idf"))
-    small = max_features and max_features <= BROADCAST_TERMS
+    limits = {"min_df": min_df, "max_df": max_df, "max_features": max_features}
+    if max_features and max_features <= BROADCAST_TERMS:
+        return weighed(docs, key, column, learned(docs, column, stop, sublinear, bigrams, **limits))
+    known = vocabulary(docs, column, stop, bigrams=bigrams, **limits)
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    raw = counts.join(F.broadcast(vocabulary) if small else vocabulary, "term").withColumn("raw", tf * F.col("_idf"))
+    raw = term_counts(docs, key, column, stop, bigrams).join(known, "term").withColumn("raw", tf * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "tf", "df", "raw", (F.col("raw") / norm).alias("weight"))
 
 
-def keywords(docs: DataFrame, key: str, column: str, top: int = 10, **options) -> DataFrame:
+def weighed(docs: DataFrame, key: str, column: str, known: Terms, top: int | None = None) -> DataFrame:
+    """(key, term, tf, df, raw, weight) by a learned vocabulary; with top (key, term, rank, weight) of the top terms of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh, spelt = known.weigher(), pa.array(known.terms, pa.string())
+        for batch in batches:
+            row, term, n, raw, weight = weigh(batch.column(1))
+            if top:
+                order = np.lexsort((term, -raw, row))
+                row, term, weight = row[order], term[order], weight[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                first = rank <= top
+                row, term, weight = row[first], term[first], weight[first]
+                columns, names = [rank[first].astype(np.int32), weight], ["rank", "weight"]
+            else:
+                columns, names = [n, known.df[term], raw, weight], ["tf", "df", "raw", "weight"]
+            for low in range(0, len(row), SLICE):
+                part = slice(low, low + SLICE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[part])), spelt.take(pa.array(term[part])), *(pa.array(c[part]) for c in columns)], [key, "term", *names])
+
+    kinds = [("rank", T.IntegerType())] if top else [("tf", T.LongType()), ("df", T.LongType()), ("raw", T.DoubleType())]
+    fields = [docs.schema[key], T.StructField("term", T.StringType()), *(T.StructField(n, k) for n, k in kinds), T.StructField("weight", T.DoubleType())]
+    return _read(docs, key, column).mapInArrow(run, T.StructType(fields))
+
+
+def keywords(docs: DataFrame, key: str, column: str, top: int = 10, max_features: int | None = 5000, **options) -> DataFrame:
     """The top terms of each document with their rank; ties by term."""
+    if max_features and max_features <= BROADCAST_TERMS:
+        return weighed(docs, key, column, learned(docs, column, max_features=max_features, **options), top)
     w = Window.partitionBy(key).orderBy(F.desc("raw"), "term")
-    return weights(docs, key, column, **options).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(key, "term", "rank", "weight")
+    ranked = weights(docs, key, column, max_features=max_features, **options).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= top).select(key, "term", "rank", "weight")
+
+
+def arrays(docs: DataFrame, key: str, column: str, known: Terms) -> DataFrame:
+    """(key, indices, values): a row for each document with terms, their numbers in order and their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = known.weigher()
+        for batch in batches:
+            row, term, _, _, weight = weigh(batch.column(1))
+            own, starts = np.unique(row, return_index=True)
+            at = pa.array(np.append(starts, len(row)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(term, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weight))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), *lists], [key, "indices", "values"])
+
+    fields = [docs.schema[key], T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    return _read(docs, key, column).mapInArrow(run, T.StructType(fields))
 
 
 def vectors(terms: DataFrame, key: str, max_features: int = 20_000) -> DataFrame:

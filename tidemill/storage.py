@@ -43,6 +43,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if low <= size <= high and len(df.inputFiles()) < cores else df
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_BYTES at most, unless the session sets its own bound."""
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 #: Settled tables that still stand, with their sessions, and the open scopes that own some of them.
 _TABLES: dict[str, SparkSession] = {}
 _SCOPES: list[list[str]] = []
