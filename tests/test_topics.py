@@ -86,3 +86,33 @@ def test_texts_are_weighed_where_they_lie(spark, monkeypatch):
     for r in sorted(joined, key=lambda r: (r[0], -r[4], r[1])):
         best.setdefault(r[0], []).append(r[1])
     assert {(r.id, r["rank"]): r.term for r in top.collect()} == {(i, n + 1): term for i, all_ in best.items() for n, term in enumerate(all_[:2])}
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_fits_share_passes(spark, sparse, monkeypatch):
+    import numpy as np
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+
+    from tidemill.operators import kmeans
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 6)).round(3) + 4 * np.eye(6)[np.arange(90) % 3]
+    x[rng.random(x.shape) < 0.3] = 0
+    rows = [(i, Vectors.sparse(6, [(j, float(v)) for j, v in enumerate(p) if v]) if sparse else Vectors.dense(p)) for i, p in enumerate(x)]
+    points = spark.createDataFrame(rows, ["id", "features"]).repartition(3).cache()
+    passes, sums = [], kmeans.Points.sums
+    monkeypatch.setattr(kmeans.Points, "sums", lambda self, fits, *a, **k: passes.append(len(fits)) or sums(self, fits, *a, **k))
+    with topics.held(points):
+        scores = dict(topics.silhouettes(points, range(2, 7), 4))
+        assert passes[0] == 20 and len(passes) <= kmeans.STEPS + 2
+        for k in range(2, 7):
+            model = topics.k_means(points, k, 4)
+            far = ((x[:, None] - model.centers) ** 2).sum(axis=2)
+            found = model.transform(points).join(points, "id").cache()
+            assert {r.id: r.prediction for r in found.collect()} == dict(enumerate(far.argmin(axis=1).tolist()))
+            assert model.cost == pytest.approx(far.min(axis=1).sum(), rel=1e-5)
+            assert scores[k] == pytest.approx(ClusteringEvaluator().evaluate(found), rel=1e-5)
+            own = np.stack([x[far.argmin(axis=1) == c].mean(axis=0) for c in range(k)])
+            assert np.abs(own - model.centers).max() < 1e-3
+        assert len(passes) <= kmeans.STEPS + 2

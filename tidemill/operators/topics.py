@@ -9,12 +9,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill import storage
 from tidemill.functions import text
+from tidemill.operators import kmeans
 
 #: What lies between words; a word is a run of two or more of the others.
 BETWEEN = r"[^\p{L}\p{N}_]+"
@@ -253,15 +254,29 @@ def vectors(terms: DataFrame, key: str, max_features: int = 20_000) -> DataFrame
     stored as a struct, so the structs are written and read back as vectors, which also spares the
     many passes of a fit the work before.
     """
-    from pyspark.ml.linalg import VectorUDT
-
     numbered = terms.select("term").distinct().withColumn("_i", F.row_number().over(Window.orderBy("term")) - 1)
     rows = terms.join(F.broadcast(numbered) if numbered.count() <= BROADCAST_TERMS else numbered, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "weight"))).alias("_p"))
     features = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max_features).alias("size"), F.transform("_p", lambda x: x["_i"].cast("int")).alias("indices"), F.transform("_p", lambda x: x["weight"].cast("double")).alias("values"))
     out = rows.select(key, features.alias("features"))
-    at = storage.fresh_path(terms.sparkSession, "vectors")
-    out.write.parquet(at)
-    return terms.sparkSession.read.schema(T.StructType([out.schema[key], T.StructField("features", VectorUDT())])).parquet(at)
+    return _stored(out)
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """rows(key, features) written as structs and read back as vectors."""
+    from pyspark.ml.linalg import VectorUDT
+
+    at = storage.fresh_path(rows.sparkSession, "vectors")
+    rows.write.parquet(at)
+    fields = [T.StructField("features", VectorUDT()) if f.name == "features" else f for f in rows.schema]
+    out = rows.sparkSession.read.schema(T.StructType(fields)).parquet(at)
+    out._stored = True
+    return out
+
+
+def features(docs: DataFrame, key: str, column: str, known: Terms) -> DataFrame:
+    """(key, features): a sparse vector of each document with terms; nothing is shuffled."""
+    rows = arrays(docs, key, column, known)
+    return _stored(rows.select(key, F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(known.terms)).alias("size"), "indices", "values").alias("features")))
 
 
 def dense(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -270,41 +285,50 @@ def dense(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).select(key, array_to_vector(F.col(column).cast("array<double>")).alias("features"))
 
 
+#: What passes read of points that are held.
+_HELD: dict[int, kmeans.Points] = {}
+
+
 @contextmanager
-def held(points: DataFrame) -> Iterator[None]:
-    """Points are kept while they are fitted, as each fit is many passes; a caller's own cache stays."""
-    own = points.storageLevel
-    if own.useMemory or own.useDisk:
-        yield
+def held(points: DataFrame) -> Iterator[kmeans.Points]:
+    """Points are kept while they are fitted, with the models found; a caller's own cache stays, and so do stored points."""
+    if id(points) in _HELD:
+        yield _HELD[id(points)]
         return
-    points.persist()
+    level = points.storageLevel
+    own = not (level.useMemory or level.useDisk or getattr(points, "_stored", False))
+    if own:
+        points.persist()
     try:
-        yield
+        _HELD[id(points)] = kmeans.Points(points)
+        yield _HELD[id(points)]
     finally:
-        points.unpersist()
-
+        _HELD.pop(id(points), None)
+        if own:
+            points.unpersist()
 
-def k_means(points: DataFrame, k: int, restarts: int = 10, seed: int = 42):
-    """The model of the lowest cost of several seeds."""
-    from pyspark.ml.clustering import KMeans
 
-    with held(points):
-        fits = [KMeans(k=k, seed=seed + n).fit(points) for n in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def k_means(points: DataFrame, k: int, restarts: int = 10, seed: int = 42) -> kmeans.Model:
+    """The model of the lowest cost of several seeds; their passes are shared."""
+    seeds = range(seed, seed + restarts)
+    with held(points) as rows:
+        rows.fit([k], seeds)
+        return min((rows.found[k, s] for s in seeds), key=lambda m: m.cost)
 
 
 def silhouettes(points: DataFrame, ks: Sequence[int] = range(3, 11), restarts: int = 10, seed: int = 42) -> list[tuple[int, float]]:
-    """(k, silhouette over squared distances) of each k below the number of points that gives two clusters or more."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
+    """(k, silhouette over squared distances) of each k below the number of points that gives two clusters or more.
 
-    with held(points):
-        n, out = points.count(), []
-        for k in ks:
-            if k < n:
-                found = k_means(points, k, restarts, seed).transform(points)
-                if found.select("prediction").distinct().limit(2).count() > 1:
-                    out.append((k, ClusteringEvaluator().evaluate(found)))
-    return out
+    All fits of all k go through the same passes.
+    """
+    with held(points) as rows:
+        n = points.count()
+        ks = [k for k in ks if k < n]
+        if not ks:
+            return []
+        rows.fit(ks, range(seed, seed + restarts))
+        scores = rows.silhouettes([k_means(points, k, restarts, seed) for k in ks])
+        return [(k, float(s)) for k, s in zip(ks, scores, strict=True) if s is not None]
 
 
 def row_guard(df: DataFrame, minimum: int, what: str) -> DataFrame:
@@ -319,8 +343,8 @@ def require_rows(df: DataFrame, minimum: int, what: str) -> None:
         raise ValueError(f"{what} needs {minimum} rows or more, got {found.rows}")
 
 
-def cluster(points: DataFrame, key: str, k: int | None = None, ks: Sequence[int] = range(3, 11), restarts: int = 10, seed: int = 42, at_least: int = 20) -> DataFrame:
-    """(key, cluster) by k-means; k is that of the best silhouette, the first of equals, if not given."""
+def best_model(points: DataFrame, k: int | None = None, ks: Sequence[int] = range(3, 11), restarts: int = 10, seed: int = 42, at_least: int = 20) -> kmeans.Model:
+    """A model by k-means; k is that of the best silhouette, the first of equals, if not given."""
     require_rows(points, at_least, "clustering")
     with held(points):
         if k is None:
@@ -328,8 +352,20 @@ def cluster(points: DataFrame, key: str, k: int | None = None, ks: Sequence[int]
             if not scores:
                 raise ValueError("no usable k: too few or too uniform rows")
             k = max(scores, key=lambda s: s[1])[0]
-        model = k_means(points, k, restarts, seed)
-    return model.transform(points).select(key, F.col("prediction").alias("cluster"))
+        return k_means(points, k, restarts, seed)
+
+
+def cluster(points: DataFrame, key: str, k: int | None = None, ks: Sequence[int] = range(3, 11), restarts: int = 10, seed: int = 42, at_least: int = 20) -> DataFrame:
+    """(key, cluster) by the best model."""
+    return best_model(points, k, ks, restarts, seed, at_least).transform(points).select(key, F.col("prediction").alias("cluster"))
+
+
+def told(spark: SparkSession, model: kmeans.Model, known: Terms) -> DataFrame:
+    """(cluster, term, _s): the weights of each term of a vocabulary, added up over each cluster of a model of its vectors."""
+    sums = model.totals()
+    cluster, term = np.nonzero(sums)
+    columns = [pa.array(cluster, pa.int32()), pa.array(known.terms, pa.string()).take(pa.array(term)), pa.array(sums[cluster, term])]
+    return spark.createDataFrame(pa.table(columns, names=["cluster", "term", "_s"]))
 
 
 def describe(clusters: DataFrame, terms: DataFrame, skills: DataFrame, key: str, top_terms: int = 10, top_skills: int = 8) -> DataFrame:
@@ -337,6 +373,12 @@ def describe(clusters: DataFrame, terms: DataFrame, skills: DataFrame, key: str,
 
     terms(key, term, weight) and skills(key, skill) may lack documents; ties go by name.
     """
+    own = terms.join(clusters, key).groupBy("cluster", "term").agg(F.sum("weight").alias("_s"))
+    return described(clusters, own, skills, key, top_terms, top_skills)
+
+
+def described(clusters: DataFrame, sums: DataFrame, skills: DataFrame, key: str, top_terms: int = 10, top_skills: int = 8) -> DataFrame:
+    """As describe, of the weights added up: sums(cluster, term, _s)."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("postings"))
 
     def best(scored: DataFrame, name: str, limit: int, out: str) -> DataFrame:
@@ -344,7 +386,7 @@ def describe(clusters: DataFrame, terms: DataFrame, skills: DataFrame, key: str,
         top = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
         return top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", name))), lambda x: x[name]).alias(out))
 
-    own = best(terms.join(clusters, key).groupBy("cluster", "term").agg(F.sum("weight").alias("_s")), "term", top_terms, "top_terms")
+    own = best(sums, "term", top_terms, "top_terms")
     had = best(skills.join(clusters, key).groupBy("cluster", "skill").agg(F.count("*").alias("_s")), "skill", top_skills, "top_skills")
     none = F.array().cast("array<string>")
     j = sizes.join(own, "cluster", "left").join(had, "cluster", "left").select("cluster", "postings", F.coalesce("top_terms", none).alias("top_terms"), F.coalesce("top_skills", none).alias("top_skills"))
