@@ -131,3 +131,24 @@ def test_too_few_rows_raise(spark):
     assert labels.training_part(spark.range(51).selectExpr("id", "'train' AS part")).count() == 51
     with pytest.raises(ValueError, match="clustering needs 20"):
         topics.cluster(topics.dense(spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v"), "k")
+
+
+def test_texts_come_in_bounded_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    assert embed._counts("aa Bb" * 3, embed._Chars(), embed._Buckets(16), 16).tolist() == _stretched(monkeypatch, "aa Bb" * 3, 3)
+    seen = embed._Buckets(16)
+    for i in range(embed.REMEMBERED + 5):
+        seen[str(i)]
+    assert len(seen) <= embed.REMEMBERED
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    embed.hashing(16).encode(F.lit("x"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    if before:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def _stretched(monkeypatch, body, stretch):
+    monkeypatch.setattr(embed, "STRETCH", stretch)
+    return embed._counts(body, embed._Chars(), embed._Buckets(16), 16).tolist()

@@ -8,10 +8,11 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill import storage
 from tidemill.functions import chunks, text
 from tidemill.operators import history
 
@@ -46,23 +47,57 @@ class Embedder:
     encode: Callable[[Column], Column]
 
 
+#: Characters of a text that are read at once, and words whose buckets a batch remembers.
+STRETCH, REMEMBERED = 1 << 16, 1 << 16
+
+
+class _Chars(dict):
+    """What str.translate makes of each character: small letters and digits stay, others are blanks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = c.lower() if c.isalnum() else " "
+        return out
+
+
+class _Buckets(dict):
+    """The bucket of each word."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out = int(md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) % self.size
+        return out
+
+
+def _counts(body: str | None, chars: _Chars, seen: _Buckets, size: int) -> np.ndarray:
+    out, rest = np.zeros(size), ""
+    body = body or ""
+    for low in range(0, len(body), STRETCH):
+        part = rest + body[low : low + STRETCH].translate(chars)
+        words = part.split()
+        # A word may go on in the next stretch.
+        rest = words.pop() if words and not part[-1].isspace() and low + STRETCH < len(body) else ""
+        out += np.bincount([seen[w] for w in words], minlength=size)
+    return out / max(float(np.linalg.norm(out)), 1e-9)
+
+
 def hashing(size: int = 64) -> Embedder:
     """Words counted in buckets by the first hex digits of their md5, scaled to length 1: needs no model."""
 
-    def vector(body: str | None, seen: dict[str, int]) -> np.ndarray:
-        out = np.zeros(size)
-        for w in "".join(c.lower() if c.isalnum() else " " for c in body or "").split():
-            if w not in seen:
-                seen[w] = int(md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) % size
-            out[seen[w]] += 1
-        return out / max(float(np.linalg.norm(out)), 1e-9)
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def encode(texts: pd.Series) -> pd.Series:
-        seen: dict[str, int] = {}
-        return texts.map(lambda t: vector(t, seen))
+        chars, seen = _Chars(), _Buckets(size)
+        return texts.map(lambda t: _counts(t, chars, seen, size))
+
+    def bounded(c: Column) -> Column:
+        storage.bounded(SparkSession.active())
+        return encode(c)
 
-    return Embedder(f"hashing-{size}", size, encode)
+    return Embedder(f"hashing-{size}", size, bounded)
 
 
 def new_chunks(postings: DataFrame, index: DataFrame, strategy: str, embedder: Embedder, key: str = "posting_id") -> DataFrame:
