@@ -116,3 +116,47 @@ def test_fits_share_passes(spark, sparse, monkeypatch):
             own = np.stack([x[far.argmin(axis=1) == c].mean(axis=0) for c in range(k)])
             assert np.abs(own - model.centers).max() < 1e-3
         assert len(passes) <= kmeans.STEPS + 2
+
+
+def test_many_fits_multiply_few_directions(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemill.operators import kmeans
+
+    rng, size, n = np.random.default_rng(5), 400, 3000
+    themes = rng.random((12, size)) ** 8
+    x = np.stack([np.where(rng.random(size) < 0.1, themes[i % 12] + 0.01 * rng.random(size), 0.0) for i in range(n)])
+    x[7] = 0
+    x = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]).astype(np.float32)
+    row, at = np.nonzero(x)
+    each = np.bincount(row, minlength=n).astype(np.int32)
+    columns = [np.arange(n), each, np.square(x.astype(float)).sum(axis=1), at.astype(np.int32), x[row, at]]
+    block = kmeans._Block.packed(pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], list("abcde")))
+    pieces = list(block.pieces())
+    assert pieces[0][0] == 0 and pieces[-1][1] == n and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+    assert len(pieces) > 1 and max(each[a:b].sum() for a, b in pieces) <= kmeans.PACKED[0]
+
+    means = np.stack([x[np.arange(n) % 12 == c].mean(axis=0) for c in range(12)])
+    fits = [means[rng.permutation(12)[:k]] * 0.9 + rng.random((k, 12)) @ means / 60 + 2e-5 * rng.random((k, size)) for k in range(3, 11) for _ in range(6)]
+    whole, few = (kmeans._Centres(fits, size, np.float32, w) for w in (True, False))
+    pairs, chosen = [], kmeans._Block.chosen
+    monkeypatch.setattr(kmeans._Block, "chosen", lambda self, rows, *a: pairs.append(len(rows)) or chosen(self, rows, *a))
+    owners, far = few.owners(block, 0, n), whole.norms + block.squares[:, None] - 2.0 * (x @ whole.columns)
+    assert few.basis is not None and few.basis.shape[1] <= len(whole.norms) // 4 and sum(pairs) < 0.1 * far.size
+    best = np.stack([far[:, a:b].min(axis=1) for a, b in zip(whole.cuts[:-1], whole.cuts[1:], strict=True)], axis=1)
+    assert np.abs(np.take_along_axis(far, owners, axis=1) - best).max() < 1e-6
+
+    wrong = rng.integers(0, 3, owners.shape) + whole.cuts[:-1]
+    mixed = np.where((np.arange(n) % 50 == 0)[:, None], wrong, owners)  # more combinations than there is room for
+    own, total = np.zeros((n, len(whole.norms))), np.zeros((len(whole.norms), size))
+    np.put_along_axis(own, mixed, 1.0, axis=1)
+    groups = kmeans._together(owners, whole.cuts, size)
+    assert 1 <= len(groups) < len(fits) // 2
+    for low in (0, 1):
+        half = block if low else kmeans._Block.packed(pa.RecordBatch.from_arrays([pa.array([b""], pa.binary())] * 5, list("abcde")))
+        for group in groups:
+            group.add(half, half.values.astype(float), mixed[: half.n], total)
+    for group in groups:
+        group.told(total)
+    assert np.allclose(total, own.T @ x.astype(float), atol=1e-6)
