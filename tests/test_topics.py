@@ -160,3 +160,19 @@ def test_many_fits_multiply_few_directions(monkeypatch):
     for group in groups:
         group.told(total)
     assert np.allclose(total, own.T @ x.astype(float), atol=1e-6)
+
+
+@pytest.mark.parametrize("bigrams", [True, False])
+def test_rare_terms_are_not_handed_on(spark, monkeypatch, bigrams):
+    rows = [(i, " ".join(f"w{min(i * j % 97, j)}" for j in range(60)) + f" own{i} own{i}b and own{i}c") for i in range(200)] + [(200, None), (201, "")]
+    many = spark.createDataFrame(rows, "id long, text string").repartition(3).cache()
+    told = lambda n, **o: sorted(map(tuple, topics.vocabulary(many, "text", ["and"], max_features=n, bigrams=bigrams, **o).collect()))
+    limits = [(7, {}), (60, {"min_df": 2, "max_df": 0.6}), (7, {"max_df": 0.001})]
+    before = [told(n, **o) for n, o in limits]
+    handed, tally = [], topics._tally
+    monkeypatch.setattr(topics, "_tally", lambda *a: handed.append(tally(*a).count()) or tally(*a))
+    monkeypatch.setattr(topics, "HASHED_BYTES", 0)
+    for bits in (16, 6):  # 6: nearly all terms share their hash with others
+        monkeypatch.setattr(topics, "BITS", bits)
+        assert [told(n, **o) for n, o in limits] == before
+    assert min(handed) < 100 < 600 < max(handed)

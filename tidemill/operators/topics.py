@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ BROADCAST_TERMS = 100_000
 TALLIED = 1 << 21, 1 << 20
 #: Rows of a batch that leaves Python.
 SLICE = 1 << 18
+#: Bytes of a table from which on occurrences are first counted by hashes of terms, and the bits of a hash.
+HASHED_BYTES, BITS = 32 << 20, 22
 
 
 def english() -> list[str]:
@@ -91,8 +94,43 @@ def term_counts(docs: DataFrame, key: str, column: str, stop: Sequence[str], big
     return _read(docs, key, column).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
 
 
-def _tally(docs: DataFrame, column: str, stop: Sequence[str], bigrams: bool) -> DataFrame:
-    """(term, df, _all): in how many rows a term is and how often, added up over TALLIED terms of a task."""
+def _hashes(words: pa.Array, code: np.ndarray, kinds: int) -> np.ndarray:
+    """A hash below kinds, a power of two, of each word or pair of words, the same in every task."""
+    own = hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    first, second = np.divmod(code, len(words) + 1)
+    mixed = own.take(first) * np.uint64(0x9E3779B97F4A7C15) ^ np.append(np.uint64(0), own * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7)).take(second)
+    return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) & (kinds - 1)
+
+
+def _occurrences(docs: DataFrame, column: str, stop: Sequence[str], bigrams: bool) -> np.ndarray:
+    """How often terms of each hash occur: no term occurs more often than that."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    kinds, step, names = 1 << BITS, 1 << 18, ["part", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(kinds, np.int64)
+        for batch in batches:
+            words, row, at = _words(batch.column(0), stop)
+            if len(row):
+                counts += np.bincount(_hashes(words, _codes(row, at, len(words), bigrams)[1], kinds), minlength=kinds)
+        for n, low in enumerate(range(0, len(counts), step)):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([counts[low : low + step].tobytes()], pa.binary())], names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts[n] = parts.get(n, 0) + np.frombuffer(x, np.int64)
+        for n, x in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([x.tobytes()], pa.binary())], names)
+
+    schema = "part int, counts binary"
+    rows = _read(docs, docs.columns[0], column).select("_t").coalesce(cores).mapInArrow(run, schema).repartition(cores, "part").mapInArrow(added, schema).collect()
+    return np.concatenate([np.frombuffer(bytes(r.counts), np.int64) for r in sorted(rows, key=lambda r: r.part)] or [np.zeros(kinds, np.int64)])
+
+
+def _tally(docs: DataFrame, column: str, stop: Sequence[str], bigrams: bool, asked: np.ndarray | None = None) -> DataFrame:
+    """(term, df, _all): in how many rows a term is and how often, added up over TALLIED terms of a task; of all hashes or of those asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, int] = {}
@@ -117,9 +155,16 @@ def _tally(docs: DataFrame, column: str, stop: Sequence[str], bigrams: bool) ->
 
         for batch in batches:
             words, row, at = _words(batch.column(0), stop)
-            _, code, n = _counted(*_codes(row, at, len(words), bigrams), len(words) * (len(words) + 1))
+            row, code = _codes(row, at, len(words), bigrams)
+            if asked is not None and len(row):
+                had = asked.take(_hashes(words, code, len(asked)))
+                row, code = row[had], code[had]
+            _, code, n = _counted(row, code, len(words) * (len(words) + 1))
             code, at = np.unique(code, return_inverse=True)
             first, second = np.divmod(code, len(words) + 1)
+            if asked is not None:
+                used = np.unique(np.concatenate([first, second[second > 0] - 1]))
+                words, first, second = words.take(pa.array(used)), np.searchsorted(used, first), np.where(second > 0, np.searchsorted(used, second - 1) + 1, 0)
             own = np.array([numbers.setdefault(w, len(numbers)) for w in words.to_pylist()], np.int64)
             parts.append((own[first] << 32 | np.where(second > 0, own[second - 1] + 1, 0), np.bincount(at), np.bincount(at, n).astype(np.int64)))
             if len(parts) > 1 and sum(len(p[0]) for p in parts) > 2 * TALLIED[0]:
@@ -131,11 +176,36 @@ def _tally(docs: DataFrame, column: str, stop: Sequence[str], bigrams: bool) ->
     return _read(docs, docs.columns[0], column).select("_t").mapInArrow(run, "term string, df long, _all long")
 
 
+def _bytes(docs: DataFrame) -> int:
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _frequent(docs: DataFrame, column: str, stop: Sequence[str], bigrams: bool, limit: int, fit: Callable[..., DataFrame]) -> DataFrame:
+    """Terms that fit, the limit most frequent and all that occur as often among them: most terms are never handed on.
+
+    Only terms whose hash occurs often enough are tallied. If limit of these that fit occur as often themselves, no other
+    term is among the most frequent; else terms of rarer hashes are tallied too.
+    """
+    counts = _occurrences(docs, column, stop, bigrams)
+    falling, most = np.sort(counts)[::-1], 2 * limit
+    while most <= 32 * limit and most < len(falling) and falling[most] > 1:
+        least = int(falling[most])
+        found = fit(counts >= least).where(F.col("_all") >= least).toArrow()
+        if found.num_rows >= limit:
+            return docs.sparkSession.createDataFrame(found)
+        most *= 4
+    return fit()
+
+
 def vocabulary(docs: DataFrame, column: str, stop: Sequence[str] = (), min_df: int = 1, max_df: float = 1.0, max_features: int | None = 5000, bigrams: bool = True) -> DataFrame:
     """(term, df, idf): terms in min_df documents or more, and in the share max_df at most; the max_features most frequent, ties by term."""
     total = docs.agg(F.count("*")).scalar()
-    found = _tally(docs, column, stop, bigrams).groupBy("term").agg(F.sum("df").alias("df"), F.sum("_all").alias("_all")).withColumn("_n", total)
-    found = found.where((F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
+
+    def fit(asked: np.ndarray | None = None) -> DataFrame:
+        found = _tally(docs, column, stop, bigrams, asked).groupBy("term").agg(F.sum("df").alias("df"), F.sum("_all").alias("_all")).withColumn("_n", total)
+        return found.where((F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
+
+    found = _frequent(docs, column, stop, bigrams, max_features, fit) if max_features and _bytes(docs) >= HASHED_BYTES else fit()
     if max_features:
         found = found.orderBy(F.desc("_all"), "term").limit(max_features)
     return found.select("term", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
