@@ -216,8 +216,13 @@ class _Together:
 
     def told(self, total: np.ndarray) -> None:
         """Adds the sums of combinations to those of their owners."""
-        for owners, sums in zip(self.owners, self.sums, strict=False):
-            total[owners] += sums
+        if not len(self.codes):
+            return
+        low, many = self.owners.min(), len(self.codes)
+        own = np.zeros((self.owners.max() + 1 - low, many))
+        own[self.owners - low, np.arange(many)[:, None]] = 1.0
+        for i in range(0, self.size, ROWS):
+            total[low : low + len(own), i : i + ROWS] += own @ self.sums[:many, i : i + ROWS]
         self.sums = np.zeros((0, self.size))
 
 
